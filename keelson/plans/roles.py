@@ -354,3 +354,29 @@ def with_roles(body: str) -> str:
     if stripped[:4].upper() == "WITH":
         return head.rstrip() + ",\n" + stripped[4:].lstrip()
     return head + body
+
+
+# ------------------------------------------------------------- telemetry / power
+# Readings are the events table: one electrical reading per event, the user is
+# the asset.  ``k`` is the integer in the props JSON.
+_K = ("cast(get_json_object(props, '$.k') as int)", "cast(json_extract_string(props, '$.k') as integer)")
+_role("assets", "customer", [
+    ("asset_id", "c_custkey"),
+    ("asset_name", "c_name"),
+    ("phases", "CASE WHEN c_nationkey % 2 = 0 THEN 3 ELSE 1 END"),
+    ("voltage_v", "cast(CASE WHEN c_nationkey % 2 = 0 THEN 480 ELSE 240 END as double)"),
+    ("rated_current_a", "cast(20 + c_nationkey * 4 as double)"),
+])
+_role("telemetry_readings", "events", [
+    ("reading_id", "event_id"),
+    ("asset_id", "user_id"),
+    ("recorded_at", "ts"),
+    ("real_power_kw", "value"),
+    ("power_factor", tuple(f"cast(greatest(68, least(99, 70 + {k} % 30)) as double) / 100" for k in _K)),
+    ("equipment_temperature_c", tuple(f"cast(2800 + {k} * 31 + CASE WHEN event_type = 'error' THEN 2500 ELSE 0 END"
+                                      f" as double) / 100" for k in _K)),
+    ("health_pct", tuple(f"cast(CASE WHEN event_type = 'error' THEN 392 - {k} ELSE 392 END as double) / 4"
+                         for k in _K)),
+    ("fault_code", tuple(f"CASE WHEN event_type = 'error' AND {k} >= 80 THEN 'OVERCURRENT_TRIP' "
+                         f"WHEN event_type = 'error' AND {k} < 15 THEN 'BEARING_WEAR' END" for k in _K)),
+])
