@@ -288,8 +288,8 @@ _role("weighing_transactions", "lineitem", [
     ("pharma_batch_material_id", LINE_ID),
     ("target_quantity", Q4),
     ("actual_quantity", f"CASE WHEN l_linestatus = 'F' THEN {Q4} ELSE NULL END"),
-    ("tare_confirmed", "l_linestatus = 'F' OR l_tax > 0.02"),
-    ("status", "CASE WHEN l_linestatus = 'F' THEN 'verified' ELSE 'ready' END"),
+    ("tare_confirmed", "l_linestatus = 'F' OR l_tax > 0.06"),
+    ("status", "CASE WHEN l_linestatus = 'F' THEN 'verified' WHEN l_tax > 0.05 THEN 'weighed' ELSE 'ready' END"),
 ], where="l_linestatus = 'F' OR l_returnflag = 'A'")
 _role("material_issues", "lineitem", [
     ("material_issue_id", LINE_ID),
@@ -380,3 +380,70 @@ _role("telemetry_readings", "events", [
     ("fault_code", tuple(f"CASE WHEN event_type = 'error' AND {k} >= 80 THEN 'OVERCURRENT_TRIP' "
                          f"WHEN event_type = 'error' AND {k} < 15 THEN 'BEARING_WEAR' END" for k in _K)),
 ])
+
+
+# --------------------------------------------------------------- change sets
+# Deterministic change batches derived from the driver tables.
+_NEW_ID = "CASE WHEN p_size = 1 THEN -p_partkey - 1 ELSE p_partkey END"
+_role("catalog_updates", "part", [
+    ("supply_material_id", _NEW_ID),
+    ("material_code", f"concat('M-', cast({_NEW_ID} as string))"),
+    ("material_name", "concat('NEW ', p_name)"),
+    ("material_type", "'excipient'"),
+    ("unit_of_measure", "'kg'"),
+    ("preferred_supplier_id", "(p_partkey + 1) % 10"),
+    ("reorder_point", "cast(p_size * 15 as decimal(18,4))"),
+    ("reorder_quantity", "cast(p_size * 25 as decimal(18,4))"),
+    ("active", "p_size <> 14"),
+], where="p_size % 7 = 0 OR p_size = 1")
+
+# Admin control plane: one reset request per conversation, decisions from turn 1.
+_REQ_STATUS = ("CASE conv_id % 5 WHEN 0 THEN 'Requested' WHEN 1 THEN 'Pending Admin Reconciliation' "
+               "WHEN 2 THEN 'Approved' WHEN 3 THEN 'Completed' ELSE 'Rejected' END")
+_role("reset_requests", "conversations", [
+    ("request_id", "conv_id"),
+    ("session_id", "conv_id"),
+    ("reset_scope", "'session'"),
+    ("operator", "concat('operator-', cast(conv_id % 3 as string))"),
+    ("reason", "'demo reset'"),
+    ("status", _REQ_STATUS),
+    ("requested_at", _hours_after("timestamp '2024-01-01 00:00:00'", "conv_id")),
+    ("completed_at", tuple(f"CASE WHEN conv_id % 5 >= 3 THEN {x} END"
+                           for x in _hours_after("timestamp '2024-01-01 00:00:00'", "conv_id + 1"))),
+    ("admin_note", "cast(NULL as string)"),
+    ("reviewed_by", "cast(NULL as string)"),
+    ("reviewed_at", "cast(NULL as timestamp)"),
+], where="turn = 0")
+_role("reset_decisions", "conversations", [
+    ("request_id", "conv_id"),
+    ("status", "CASE length(text) % 6 WHEN 0 THEN 'Requested' WHEN 1 THEN 'Pending Admin Reconciliation' "
+               "WHEN 2 THEN 'Approved' WHEN 3 THEN 'Completed' WHEN 4 THEN 'Rejected' ELSE 'Archived' END"),
+    ("admin_note", "concat('turn ', cast(turn as string))"),
+    ("reviewed_by", "'admin'"),
+], where="turn = 1")
+_role("demo_sessions", "conversations", [
+    ("session_id", "conv_id"),
+    ("status", "'Active'"),
+    ("created_at", _hours_after("timestamp '2024-01-01 00:00:00'", "conv_id")),
+    ("last_seen_at", _hours_after("timestamp '2024-01-01 00:00:00'", "conv_id + 2")),
+], where="turn = 0")
+_role("demo_session_entities", "conversations", [
+    ("session_id", "conv_id"),
+    ("entity_type", "role"),
+    ("entity_id", "cast(turn as string)"),
+    ("active", "role <> 'system'"),
+])
+# Table-editor change batch against suppliers: one change per customer.
+_role("supplier_changes", "customer", [
+    ("change_id", "c_custkey"),
+    ("op", "CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'update' WHEN 'BUILDING' THEN 'delete' "
+           "WHEN 'FURNITURE' THEN 'insert' WHEN 'MACHINERY' THEN 'update' ELSE 'upsert' END"),
+    ("supplier_id", "CASE WHEN c_mktsegment = 'FURNITURE' THEN 100000 + c_custkey "
+                    "WHEN c_mktsegment = 'HOUSEHOLD' AND c_custkey % 2 = 0 THEN NULL ELSE cast(c_nationkey as bigint) END"),
+    ("values", ("CASE WHEN c_mktsegment = 'MACHINERY' THEN map('supplier_id', '7', 'created_at', 'x') "
+                "ELSE map('supplier_name', c_name, 'status', lower(c_mktsegment), 'supplier_code', "
+                "concat('SUP-', cast(c_custkey as string))) END",
+                "CASE WHEN c_mktsegment = 'MACHINERY' THEN MAP {'supplier_id': '7', 'created_at': 'x'} "
+                "ELSE MAP {'supplier_name': c_name, 'status': lower(c_mktsegment), 'supplier_code': "
+                "concat('SUP-', cast(c_custkey as string))} END")),
+])
