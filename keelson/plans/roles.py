@@ -47,6 +47,7 @@ class Role:
     source: str
     columns: list  # (name, expr) with expr str or (spark, duckdb)
     where: str | None = None
+    distinct: bool = False
     doc: str = field(default="")
 
     def spark_exprs(self):
@@ -59,8 +60,8 @@ class Role:
 ROLES: dict[str, Role] = {}
 
 
-def _role(name, source, columns, where=None):
-    ROLES[name] = Role(name, source, columns, where)
+def _role(name, source, columns, where=None, distinct=False):
+    ROLES[name] = Role(name, source, columns, where, distinct)
 
 
 # ---------------------------------------------------------------- process model
@@ -327,7 +328,8 @@ class Roles:
             df = self.table(role.source)
             if role.where:
                 df = df.where(role.where)
-            self._cache[name] = df.selectExpr(*role.spark_exprs())
+            df = df.selectExpr(*role.spark_exprs())
+            self._cache[name] = df.distinct() if role.distinct else df
         return self._cache[name]
 
     __getattr__ = lambda self, name: self[name] if not name.startswith("_") else object.__getattribute__(self, name)
@@ -339,7 +341,8 @@ def role_ctes(*names: str) -> str:
     for n in names:
         r = ROLES[n]
         where = f" WHERE {r.where}" if r.where else ""
-        parts.append(f"{n} AS (SELECT {', '.join(r.sql_exprs())} FROM {r.source}{where})")
+        dist = "DISTINCT " if r.distinct else ""
+        parts.append(f"{n} AS (SELECT {dist}{', '.join(r.sql_exprs())} FROM {r.source}{where})")
     return "WITH " + ",\n".join(parts) + "\n"
 
 
@@ -447,3 +450,48 @@ _role("supplier_changes", "customer", [
                 "ELSE MAP {'supplier_name': c_name, 'status': lower(c_mktsegment), 'supplier_code': "
                 "concat('SUP-', cast(c_custkey as string))} END")),
 ])
+
+
+# ------------------------------------------------------------ baseline / live
+# Live lots = the lot table with deterministic drift against its baseline:
+# partkey % 7 = 0 gains one unit, = 1 is marked depleted, and first lines of
+# partkey % 7 = 2 are missing from live.
+_role("live_lots", "lineitem", [
+    ("internal_lot_number", LINE_ID),
+    ("material_code", "concat('M-', cast(l_partkey as string))"),
+    ("available_quantity", f"CASE WHEN l_partkey % 7 = 0 THEN (CASE WHEN l_linestatus = 'F' THEN "
+                           f"cast(0 as decimal(18,4)) ELSE {Q4} END) + 1 WHEN l_linestatus = 'F' THEN "
+                           f"cast(0 as decimal(18,4)) ELSE {Q4} END"),
+    ("reserved_quantity", f"CASE WHEN l_linestatus = 'O' AND l_returnflag = 'N' THEN {Q4} "
+                          "ELSE cast(0 as decimal(18,4)) END"),
+    ("status", "CASE WHEN l_partkey % 7 = 1 THEN 'depleted' WHEN l_returnflag = 'A' THEN 'released' "
+               "WHEN l_returnflag = 'N' THEN 'available' ELSE 'blocked' END"),
+], where="NOT (l_partkey % 7 = 2 AND l_linenumber = 1)")
+
+# ------------------------------------------------------------------ registry
+_role("systems", "customer", [
+    ("system_id", "c_custkey"),
+    ("system_key", "lower(replace(c_name, '#', '-'))"),
+    ("system_name", "c_name"),
+    ("domain", "lower(c_mktsegment)"),
+    ("system_type", "'application'"),
+    ("status", "CASE WHEN c_mktsegment = 'BUILDING' THEN 'offline' ELSE 'active' END"),
+])
+_role("datasets", "events", [
+    ("dataset_id", "concat(cast(user_id as string), ':', event_type)"),
+    ("system_id", "user_id"),
+    ("dataset_key", "concat('events.', event_type)"),
+    ("dataset_name", "event_type"),
+    ("domain", "'events'"),
+    ("schema_name", "'events'"),
+    ("object_name", "event_type"),
+    ("object_type", "'collection'"),
+    ("source_type", "'mongodb'"),
+    ("is_active", "event_type <> 'error'"),
+], distinct=True)
+_role("dataset_relationships", "events", [
+    ("relationship_id", "concat(cast(user_id as string), ':view->purchase')"),
+    ("source_dataset_id", "concat(cast(user_id as string), ':view')"),
+    ("target_dataset_id", "concat(cast(user_id as string), ':purchase')"),
+    ("relationship_type", "'feeds'"),
+], where="event_type = 'purchase'", distinct=True)
