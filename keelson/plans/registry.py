@@ -35,6 +35,9 @@ def query(name: str, sql: str | None = None, bench: bool = False):
     """Register ``fn(roles)`` as query ``name`` with an optional oracle."""
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # Every operator is written for UTC session time (naive driver
+            # timestamps are UTC wall time).
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
             return normalize(fn(Roles(spark, sf_dir)))
         run.__name__ = name
         run.__doc__ = fn.__doc__

@@ -495,3 +495,53 @@ _role("dataset_relationships", "events", [
     ("target_dataset_id", "concat(cast(user_id as string), ':purchase')"),
     ("relationship_type", "'feeds'"),
 ], where="event_type = 'purchase'", distinct=True)
+
+
+# ------------------------------------------------------------------- ingest
+# One ingest request per user and day; each event posted with a type from the
+# event kind, its own identity on two thirds of the events (else inherited
+# from the request), and timestamps in the forms clients send (Z, naive,
+# missing, garbage).  k is the integer in props.
+_TS_Z = ("date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'\")", "strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ')")
+_TS_N = ("date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\")", "strftime(ts, '%Y-%m-%dT%H:%M:%S.%f')")
+
+
+def _j(s, d):
+    return (s.replace("{k}", _K[0]), d.replace("{k}", _K[1]))
+
+
+_role("ingest_events", "events", [
+    ("source_event_id", "event_id"),
+    ("batch_id", ("concat(cast(user_id as string), '@', cast(cast(ts as date) as string))",
+                  "concat(cast(user_id as varchar), '@', cast(cast(ts as date) as varchar))")),
+    ("batch_system_key", "concat('customer-', lpad(cast(user_id as string), 9, '0'))"),
+    ("batch_system_id", "cast(NULL as string)"),
+    ("raw_type", _j("CASE event_type WHEN 'error' THEN 'alert' WHEN 'click' THEN 'telemetry' WHEN 'view' THEN 'log' "
+                    "WHEN 'signup' THEN (CASE WHEN {k} >= 95 THEN 'metrics' ELSE 'snapshot' END) "
+                    "ELSE 'EventType.ai_interaction' END",
+                    "CASE event_type WHEN 'error' THEN 'alert' WHEN 'click' THEN 'telemetry' WHEN 'view' THEN 'log' "
+                    "WHEN 'signup' THEN (CASE WHEN {k} >= 95 THEN 'metrics' ELSE 'snapshot' END) "
+                    "ELSE 'EventType.ai_interaction' END")),
+    ("system_key", "cast(NULL as string)"),
+    ("system_id", _j("CASE WHEN {k} = 0 THEN 'bad id!' WHEN {k} % 3 = 0 THEN NULL "
+                     "WHEN {k} % 11 = 5 THEN cast(user_id + 100000 as string) ELSE cast(user_id as string) END",
+                     "CASE WHEN {k} = 0 THEN 'bad id!' WHEN {k} % 3 = 0 THEN NULL "
+                     "WHEN {k} % 11 = 5 THEN cast(user_id + 100000 as varchar) ELSE cast(user_id as varchar) END")),
+    ("timestamp_text", tuple(f"CASE WHEN {k} % 4 = 0 THEN {z} WHEN {k} % 4 = 1 THEN {n} WHEN {k} % 4 = 2 THEN NULL "
+                             f"WHEN {k} > 90 THEN 'not-a-time' ELSE {z} END"
+                             for k, z, n in zip(_K, _TS_Z, _TS_N))),
+    ("body", tuple(
+        f"CASE event_type "
+        f"WHEN 'click' THEN concat('{{\"metric\":\"', CASE WHEN {k} % 9 = 0 THEN '' ELSE 'clicks' END, "
+        f"'\",\"value\":', cast(value as {s}), ',\"unit\":\"count\"}}') "
+        f"WHEN 'error' THEN concat('{{\"severity\":\"high\",\"message\":\"error ', cast({k} as {s}), '\",\"tags\":{{\"k\":', "
+        f"cast({k} as {s}), '}}}}') "
+        f"WHEN 'view' THEN concat('{{\"level\":\"info\",\"message\":\"view ', cast({k} as {s}), '\",\"service\":\"web\"', "
+        f"CASE WHEN {k} % 10 = 7 THEN ',\"$set\":1' ELSE '' END, '}}') "
+        f"WHEN 'signup' THEN concat('{{\"snapshot_type\":\"signup\",\"state\":{{\"k\":', cast({k} as {s}), "
+        f"CASE WHEN {k} % 10 = 3 THEN ',\"a.b\":2' ELSE '' END, '}}}}') "
+        f"ELSE concat('{{\"role\":\"user\",\"content\":\"purchase ', cast(value as {s}), '\",\"session_id\":\"s', "
+        f"cast(user_id as {s}), '\",\"context\":{{\"items\":[{{\"sku\":', cast({k} as {s}), "
+        f"CASE WHEN {k} % 10 = 9 THEN ',\"$price\":1' ELSE '' END, '}}]}}}}') END"
+        for k, s in zip(_K, ("string", "varchar")))),
+])
