@@ -232,27 +232,34 @@ def ingest_batch(df: DataFrame, systems: DataFrame, now: Column, strict: bool =
 
 
 # ------------------------------------------------------------ E9 / E10
+def _event_time(df: DataFrame, ts: str, watermark: str | None) -> DataFrame:
+    """Watermarks need instant time: wall-clock (NTZ, UTC) columns are cast first."""
+    if not watermark:
+        return df
+    return df.withColumn(ts, C(ts).cast("timestamp")).withWatermark(ts, watermark)
+
+
 def windowed_rollup(df: DataFrame, ts: str, keys: list[str], value: str, window: str,
                     slide: str | None = None, watermark: str | None = None) -> DataFrame:
     """Tumbling (or sliding) window counts and DECIMAL sums per key; same code for streams."""
-    if watermark:
-        df = df.withWatermark(ts, watermark)
+    df = _event_time(df, ts, watermark)
     w = F.window(ts, window, slide) if slide else F.window(ts, window)
     g = df.groupBy(w.alias("w"), *keys).agg(F.count(F.lit(1)).alias("events"),
                                             F.sum(C(value).cast("decimal(18,4)")).alias("value_sum"),
                                             F.max(value).alias("value_max"))
-    return g.select(C("w.start").alias("window_start"), C("w.end").alias("window_end"), *keys, "events",
+    return g.select(C("w.start").cast("timestamp_ntz").alias("window_start"),
+                    C("w.end").cast("timestamp_ntz").alias("window_end"), *keys, "events",
                     C("value_sum").cast("double").alias("value_sum"), "value_max")
 
 
 def session_rollup(df: DataFrame, ts: str, keys: list[str], value: str, gap: str,
                    watermark: str | None = None) -> DataFrame:
     """Session windows (inactivity ``gap``) per key."""
-    if watermark:
-        df = df.withWatermark(ts, watermark)
+    df = _event_time(df, ts, watermark)
     g = df.groupBy(F.session_window(ts, gap).alias("s"), *keys).agg(
         F.count(F.lit(1)).alias("events"), F.sum(C(value).cast("decimal(18,4)")).alias("value_sum"))
-    return g.select(C("s.start").alias("session_start"), C("s.end").alias("session_end"), *keys, "events",
+    return g.select(C("s.start").cast("timestamp_ntz").alias("session_start"),
+                    C("s.end").cast("timestamp_ntz").alias("session_end"), *keys, "events",
                     C("value_sum").cast("double").alias("value_sum"))
 
 
