@@ -316,3 +316,25 @@ def check_constraints(df: DataFrame, key: str, *, not_null: Sequence[str] = (),
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+# ------------------------------------------------------------------ C5 documents
+def patch_key_error(patch: Column) -> Column:
+    """Reason a ``$set`` patch is refused: ``_id`` forbidden, keys may not start with '$' or contain '.'."""
+    keys = F.json_object_keys(patch)
+    bad = F.filter(keys, lambda k: (k == "_id") | k.startswith("$") | k.contains("."))
+    return (F.when(patch.isNull() | keys.isNull(), F.lit("Patch must be a JSON object."))
+            .when(F.size(bad) > 0, F.concat(F.lit("Invalid field name '"), F.element_at(bad, 1), F.lit("'."))))
+
+
+def patch_documents(docs: DataFrame, patches: DataFrame, id_col: str = "_id", doc_col: str = "doc",
+                    patch_col: str = "patch") -> DataFrame:
+    """Top-level ``$set`` merge of a patch into each matching document.
+
+    Returns every document with ``doc`` patched where a valid patch exists,
+    plus ``patch_error`` for refused patches (the document is left as is).
+    """
+    p = patches.select(id_col, C(patch_col).alias("_patch"), patch_key_error(C(patch_col)).alias("patch_error"))
+    j = docs.join(p, id_col, "left")
+    ok = C("_patch").isNotNull() & C("patch_error").isNull()
+    return j.withColumn(doc_col, F.when(ok, json_merge(C(doc_col), C("_patch"))).otherwise(C(doc_col))).drop("_patch")

@@ -163,3 +163,8 @@ def doc_sample(df: DataFrame, n: int, id_col: str, seed: int = 0) -> DataFrame:
 def doc_union(df: DataFrame, other: DataFrame) -> DataFrame:
     """D12 $unionWith: missing fields become NULL."""
     return df.unionByName(other, allowMissingColumns=True)
+
+
+def capped_query(df: DataFrame, n: int, order: list) -> DataFrame:
+    """cap a query result at ``n`` rows with a stated order (plan-level limit, a top-k)."""
+    return df.orderBy(*order).limit(int(n))

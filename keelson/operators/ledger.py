@@ -184,3 +184,47 @@ def sync_state(state: DataFrame, processed: DataFrame, direction: str = "outboun
         F.lit(None).cast("string").alias("last_error"))
     return upsert(state, src, ["system_key", "dataset_key"],
                   update_cols=["last_success_at", "last_attempt_at", "last_status", "records_processed", "last_error"])
+
+
+def post_pick(reservations: DataFrame, picks: DataFrame, picked_at: Column) -> dict:
+    """I3 pick: one picking movement per reserved reservation, once; status -> picked."""
+    todo = reservations.where(C("status") == "reserved").join(picks.select("reservation_id").distinct(),
+                                                              "reservation_id", "left_anti")
+    moves = todo.select(F.sha2(F.concat_ws("|", F.lit("pick"), C("reservation_id")), 256).alias("picking_transaction_id"),
+                        "reservation_id", C("reserved_quantity").alias("picked_quantity"), picked_at.alias("picked_at"))
+    hit = moves.select("reservation_id", F.lit(True).alias("_picked"))
+    state = (reservations.join(hit, "reservation_id", "left")
+             .withColumn("status", F.when(C("_picked"), F.lit("picked")).otherwise(C("status"))).drop("_picked"))
+    return {"picks": moves, "reservations": state}
+
+
+def post_weigh(reservations: DataFrame, weighings: DataFrame) -> DataFrame:
+    """I3 weigh: picked/reserved reservations with a weighing move to 'weighed' when the tare is confirmed.
+
+    Returns one row per weighed candidate: reservation_id, status, reason
+    (tare not confirmed -> stays, with the reason).
+    """
+    w = weighings.groupBy("reservation_id").agg(F.bool_and(C("tare_confirmed")).alias("_tare"),
+                                                F.count(F.lit(1)).alias("_weighings"))
+    cand = reservations.where(C("status").isin("reserved", "picked")).select("reservation_id", "status") \
+        .join(w, "reservation_id")
+    ok = F.coalesce(C("_tare"), F.lit(False))
+    return cand.select("reservation_id", C("status").alias("previous_status"),
+                       F.when(ok, F.lit("weighed")).otherwise(C("status")).alias("status"),
+                       F.when(~ok, F.lit("Tare must be confirmed before weighing is recorded.")).alias("reason"))
+
+
+def complete_request(requests: DataFrame, lines: DataFrame, issues: DataFrame) -> DataFrame:
+    """A request whose every line has issued >= requested is fulfilled at its last issue time."""
+    per = lines.groupBy("material_request_id").agg(
+        F.count(F.lit(1)).alias("lines"),
+        F.count_if(C("issued_quantity") >= C("requested_quantity")).alias("issued_lines"))
+    last = issues.groupBy("material_request_id").agg(F.max("issued_at").alias("_last"))
+    j = requests.select("material_request_id", "request_number", "status", "fulfilled_at") \
+        .join(per, "material_request_id", "left").join(last, "material_request_id", "left")
+    done = (C("lines") > 0) & (C("lines") == C("issued_lines"))
+    return j.select("material_request_id", "request_number",
+                    F.coalesce(C("lines"), F.lit(0)).cast("long").alias("lines"),
+                    F.coalesce(C("issued_lines"), F.lit(0)).cast("long").alias("issued_lines"),
+                    F.when(done, F.lit("fulfilled")).otherwise(C("status")).alias("status"),
+                    F.when(done, C("_last")).otherwise(C("fulfilled_at")).alias("fulfilled_at"))

@@ -66,4 +66,4 @@ def load_all():
 
 _OPTIONAL = ["relational_plans", "change_plans", "ledger_plans", "baseline_plans", "report_plans",
              "event_plans", "document_plans", "catalog_plans", "chart_plans", "load_plans",
-             "telemetry_plans", "stream_plans"]
+             "telemetry_plans", "upkeep_plans", "stream_plans"]

@@ -311,6 +311,7 @@ class Roles:
     """Lazy access to role DataFrames over one scale-factor directory."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        # plain attributes first: __getattr__ below resolves everything else as a role
         self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
         self._cache: dict[str, DataFrame] = {}
 
