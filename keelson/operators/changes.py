@@ -132,36 +132,17 @@ def json_set(js: Column, key: str, value: Column) -> Column:
 def json_merge(js: Column, patch: Column) -> Column:
     """C9 ``jsonb || jsonb`` shallow merge of two JSON object texts; right side wins.
 
-    Values are kept as raw JSON text (nested objects stay intact).
+    Values are parsed as VARIANT, so nested objects, numbers, strings and
+    nulls keep their JSON types; keys come out sorted.
     """
-    m = "map<string,string>"
-    left = F.coalesce(F.from_json(js, m), F.create_map().cast(m))
+    m = "map<string,variant>"
+    left = F.from_json(js, m)
     right = F.coalesce(F.from_json(patch, m), F.create_map().cast(m))
-    # keep left keys not in right, then all of right
     kept = F.map_filter(left, lambda k, v: ~F.array_contains(F.map_keys(right), k))
     merged = F.map_concat(kept, right)
-    # Re-emit values as raw JSON: strings that were JSON scalars come back as text.
-    return _map_to_json_object(merged)
-
-
-def _map_to_json_object(m: Column) -> Column:
-    entries = F.transform(
-        F.array_sort(F.map_keys(m)),
-        lambda k: F.concat(F.to_json(F.array(k)).substr(F.lit(2), F.length(F.to_json(F.array(k))) - 2),
-                           F.lit(":"), _json_value(F.element_at(m, k))))
-    return F.concat(F.lit("{"), F.array_join(entries, ","), F.lit("}"))
-
-
-def _json_value(v: Column) -> Column:
-    """A map<string,string> value from ``from_json`` back to JSON text.
-
-    ``from_json`` into strings keeps nested objects/arrays as JSON text and
-    turns scalars into their text; numbers, booleans and null are re-emitted
-    bare, anything else quoted.
-    """
-    bare = v.rlike(r"^(-?\d+(\.\d+)?([eE][+-]?\d+)?|true|false|null|\{.*\}|\[.*\])$")
-    return F.when(v.isNull(), F.lit("null")).when(bare, v) \
-        .otherwise(F.to_json(F.array(v)).substr(F.lit(2), F.length(F.to_json(F.array(v))) - 2))
+    by_key = F.array_sort(F.map_entries(merged),
+                          lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
+    return F.when(left.isNotNull(), F.to_json(F.map_from_entries(by_key)))
 
 
 # ------------------------------------------------------------------ C4 editor

@@ -18,7 +18,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 C = F.col
 
@@ -46,7 +46,20 @@ ENVELOPE_LIMITS = [("system_key", 200), ("system_id", 200), ("asset_id", 250), (
                    ("environment", 100), ("correlation_id", 250)]
 
 
-def _field(name: str) -> Column:
+BODY_FIELDS = sorted({n for n, _ in ENVELOPE_LIMITS} | {n for fs in BODY_LIMITS.values() for n, _, _ in fs}
+                     | {"event_type", "system_name"})
+# Every known field read as text (objects/numbers keep their JSON text): the
+# body is parsed once per row instead of once per field.
+BODY_SCHEMA = StructType([StructField(n, StringType()) for n in BODY_FIELDS])
+
+
+def parsed_body() -> Column:
+    return F.from_json(C("body"), BODY_SCHEMA)
+
+
+def _field(name: str, parsed: Column | None = None) -> Column:
+    if parsed is not None and name in BODY_FIELDS:
+        return parsed[name]
     return F.get_json_object(C("body"), f"$.{name}")
 
 
@@ -57,21 +70,22 @@ def event_type(raw: Column) -> Column:
 
 def validate_events(df: DataFrame) -> DataFrame:
     """Per-type required fields and length limits -> ``reject_reason`` (NULL = valid)."""
-    t = event_type(C("raw_type"))
+    df = df.withColumn("event_type", event_type(C("raw_type"))).withColumn("_body", parsed_body())
+    t, body = C("event_type"), C("_body")
     reason = F.lit(None).cast("string")
     checks = []
     for name, limit in ENVELOPE_LIMITS:
-        v = _field(name)
+        v = _field(name, body)
         checks.append((F.length(v) > limit, f"{name} is longer than {limit} characters."))
     for typ, fields in BODY_LIMITS.items():
         for name, lo, hi in fields:
-            v = _field(name)
+            v = _field(name, body)
             if lo > 0:
                 checks.append(((t == typ) & (v.isNull() | (F.length(v) < lo)), f"{typ}: {name} is required."))
             checks.append(((t == typ) & (F.length(v) > hi), f"{typ}: {name} is longer than {hi} characters."))
     for cond, msg in reversed(checks):
         reason = F.when(F.coalesce(cond, F.lit(False)), F.lit(msg)).otherwise(reason)
-    return df.withColumn("event_type", t).withColumn("reject_reason", reason)
+    return df.withColumn("reject_reason", reason).drop("_body")
 
 
 def safe_identity(c: Column) -> Column:
@@ -196,9 +210,10 @@ def envelope(df: DataFrame, received_at: Column) -> DataFrame:
     JSON text in ``payload`` with the reserved identity/time keys removed.
     """
     eid = F.sha2(F.concat_ws("|", C("source_event_id").cast("string"), C("event_type"), C("body")), 256)
-    out = df.withColumn("event_id", eid).withColumn("received_at", received_at)
+    out = df.withColumn("event_id", eid).withColumn("received_at", received_at).withColumn("_body", parsed_body())
     for name in ENVELOPE_STRING_FIELDS:
-        out = out.withColumn(name, F.coalesce(_field(name), C(name)))
+        out = out.withColumn(name, F.coalesce(_field(name, C("_body")), C(name)))
+    out = out.drop("_body")
     m = F.from_json(C("body"), "map<string,string>")
     payload = F.map_filter(m, lambda k, v: ~k.isin("system_key", "system_id", "timestamp"))
     return out.withColumn("payload", F.to_json(payload))

@@ -48,6 +48,7 @@ class Role:
     columns: list  # (name, expr) with expr str or (spark, duckdb)
     where: str | None = None
     distinct: bool = False
+    prelude: list = field(default_factory=list)  # helper columns computed once, before ``columns``
     doc: str = field(default="")
 
     def spark_exprs(self):
@@ -60,8 +61,8 @@ class Role:
 ROLES: dict[str, Role] = {}
 
 
-def _role(name, source, columns, where=None, distinct=False):
-    ROLES[name] = Role(name, source, columns, where, distinct)
+def _role(name, source, columns, where=None, distinct=False, prelude=()):
+    ROLES[name] = Role(name, source, columns, where, distinct, list(prelude))
 
 
 # ---------------------------------------------------------------- process model
@@ -329,6 +330,8 @@ class Roles:
             df = self.table(role.source)
             if role.where:
                 df = df.where(role.where)
+            if role.prelude:
+                df = df.selectExpr("*", *[f"{e if isinstance(e, str) else e[0]} AS {n}" for n, e in role.prelude])
             df = df.selectExpr(*role.spark_exprs())
             self._cache[name] = df.distinct() if role.distinct else df
         return self._cache[name]
@@ -343,7 +346,11 @@ def role_ctes(*names: str) -> str:
         r = ROLES[n]
         where = f" WHERE {r.where}" if r.where else ""
         dist = "DISTINCT " if r.distinct else ""
-        parts.append(f"{n} AS (SELECT {dist}{', '.join(r.sql_exprs())} FROM {r.source}{where})")
+        src = r.source
+        if r.prelude:
+            pre = ", ".join(f"{e if isinstance(e, str) else e[1]} AS {pn}" for pn, e in r.prelude)
+            src = f"(SELECT *, {pre} FROM {r.source}) {r.source}"
+        parts.append(f"{n} AS (SELECT {dist}{', '.join(r.sql_exprs())} FROM {src}{where})")
     return "WITH " + ",\n".join(parts) + "\n"
 
 
@@ -371,18 +378,18 @@ _role("assets", "customer", [
     ("voltage_v", "cast(CASE WHEN c_nationkey % 2 = 0 THEN 480 ELSE 240 END as double)"),
     ("rated_current_a", "cast(20 + c_nationkey * 4 as double)"),
 ])
-_role("telemetry_readings", "events", [
+_role("telemetry_readings", "events", prelude=[("k", _K)], columns=[
     ("reading_id", "event_id"),
     ("asset_id", "user_id"),
     ("recorded_at", "ts"),
     ("real_power_kw", "value"),
-    ("power_factor", tuple(f"cast(greatest(68, least(99, 70 + {k} % 30)) as double) / 100" for k in _K)),
+    ("power_factor", tuple(f"cast(greatest(68, least(99, 70 + {k} % 30)) as double) / 100" for k in ("k", "k"))),
     ("equipment_temperature_c", tuple(f"cast(2800 + {k} * 31 + CASE WHEN event_type = 'error' THEN 2500 ELSE 0 END"
-                                      f" as double) / 100" for k in _K)),
+                                      f" as double) / 100" for k in ("k", "k"))),
     ("health_pct", tuple(f"cast(CASE WHEN event_type = 'error' THEN 392 - {k} ELSE 392 END as double) / 4"
-                         for k in _K)),
+                         for k in ("k", "k"))),
     ("fault_code", tuple(f"CASE WHEN event_type = 'error' AND {k} >= 80 THEN 'OVERCURRENT_TRIP' "
-                         f"WHEN event_type = 'error' AND {k} < 15 THEN 'BEARING_WEAR' END" for k in _K)),
+                         f"WHEN event_type = 'error' AND {k} < 15 THEN 'BEARING_WEAR' END" for k in ("k", "k"))),
 ])
 
 
@@ -508,10 +515,10 @@ _TS_N = ("date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\")", "strftime(ts, '%Y-
 
 
 def _j(s, d):
-    return (s.replace("{k}", _K[0]), d.replace("{k}", _K[1]))
+    return (s.replace("{k}", "k"), d.replace("{k}", "k"))
 
 
-_role("ingest_events", "events", [
+_role("ingest_events", "events", prelude=[("k", _K)], columns=[
     ("source_event_id", "event_id"),
     ("batch_id", ("concat(cast(user_id as string), '@', cast(cast(ts as date) as string))",
                   "concat(cast(user_id as varchar), '@', cast(cast(ts as date) as varchar))")),
@@ -530,7 +537,7 @@ _role("ingest_events", "events", [
                      "WHEN {k} % 11 = 5 THEN cast(user_id + 100000 as varchar) ELSE cast(user_id as varchar) END")),
     ("timestamp_text", tuple(f"CASE WHEN {k} % 4 = 0 THEN {z} WHEN {k} % 4 = 1 THEN {n} WHEN {k} % 4 = 2 THEN NULL "
                              f"WHEN {k} > 90 THEN 'not-a-time' ELSE {z} END"
-                             for k, z, n in zip(_K, _TS_Z, _TS_N))),
+                             for k, z, n in zip(("k", "k"), _TS_Z, _TS_N))),
     ("body", tuple(
         f"CASE event_type "
         f"WHEN 'click' THEN concat('{{\"metric\":\"', CASE WHEN {k} % 9 = 0 THEN '' ELSE 'clicks' END, "
@@ -544,5 +551,5 @@ _role("ingest_events", "events", [
         f"ELSE concat('{{\"role\":\"user\",\"content\":\"purchase ', cast(value as {s}), '\",\"session_id\":\"s', "
         f"cast(user_id as {s}), '\",\"context\":{{\"items\":[{{\"sku\":', cast({k} as {s}), "
         f"CASE WHEN {k} % 10 = 9 THEN ',\"$price\":1' ELSE '' END, '}}]}}}}') END"
-        for k, s in zip(_K, ("string", "varchar")))),
+        for k, s in zip(("k", "k"), ("string", "varchar")))),
 ])
