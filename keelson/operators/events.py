@@ -16,7 +16,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -268,14 +268,34 @@ def windowed_rollup(df: DataFrame, ts: str, keys: list[str], value: str, window:
 
 
 def session_rollup(df: DataFrame, ts: str, keys: list[str], value: str, gap: str,
-                   watermark: str | None = None) -> DataFrame:
-    """Session windows (inactivity ``gap``) per key."""
-    df = _event_time(df, ts, watermark)
-    g = df.groupBy(F.session_window(ts, gap).alias("s"), *keys).agg(
-        F.count(F.lit(1)).alias("events"), F.sum(C(value).cast("decimal(18,4)")).alias("value_sum"))
-    return g.select(C("s.start").cast("timestamp_ntz").alias("session_start"),
-                    C("s.end").cast("timestamp_ntz").alias("session_end"), *keys, "events",
-                    C("value_sum").cast("double").alias("value_sum"))
+                   watermark: str | None = None, chunk: str | None = "day") -> DataFrame:
+    """Session windows (inactivity ``gap``) per key: start, end (last event + gap), count, sum.
+
+    Batch form (``chunk`` = a ``date_trunc`` unit): sessions are first built
+    inside (key, time chunk) groups, so one key holding a third of all events is spread over
+    as many tasks as it has chunks; partial sessions that overlap across a
+    chunk boundary (next start < previous end) are then merged -- the same
+    sessions as one pass over the key, exactly.  Streaming form
+    (``watermark`` set, or ``chunk=None``): Spark's ``session_window`` state.
+    """
+    if watermark or not chunk:
+        df = _event_time(df, ts, watermark)
+        g = df.groupBy(F.session_window(ts, gap).alias("s"), *keys).agg(
+            F.count(F.lit(1)).alias("events"), F.sum(C(value).cast("decimal(18,4)")).alias("value_sum"))
+        return g.select(C("s.start").cast("timestamp_ntz").alias("session_start"),
+                        C("s.end").cast("timestamp_ntz").alias("session_end"), *keys, "events",
+                        C("value_sum").cast("double").alias("value_sum"))
+    part = (df.groupBy(*keys, F.date_trunc(chunk, ts).alias("_chunk"), F.session_window(ts, gap).alias("s"))
+            .agg(F.count(F.lit(1)).alias("_n"), F.sum(C(value).cast("decimal(18,4)")).alias("_v"))
+            .select(*keys, C("s.start").cast("timestamp_ntz").alias("_s"), C("s.end").cast("timestamp_ntz").alias("_e"),
+                    "_n", "_v"))
+    w = Window.partitionBy(*keys).orderBy("_s", "_e").rowsBetween(Window.unboundedPreceding, -1)
+    starts = part.withColumn("_new", F.coalesce(C("_s") >= F.max("_e").over(w), F.lit(True)).cast("int"))
+    grouped = starts.withColumn("_grp", F.sum("_new").over(
+        Window.partitionBy(*keys).orderBy("_s", "_e").rowsBetween(Window.unboundedPreceding, 0)))
+    out = grouped.groupBy(*keys, "_grp").agg(F.min("_s").alias("session_start"), F.max("_e").alias("session_end"),
+                                            F.sum("_n").alias("events"), F.sum("_v").alias("_v"))
+    return out.select("session_start", "session_end", *keys, "events", C("_v").cast("double").alias("value_sum"))
 
 
 def dedupe_events(df: DataFrame, keys: list[str], ts: str, order_col: str, window: str = "1 hour") -> DataFrame:
