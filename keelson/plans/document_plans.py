@@ -45,12 +45,12 @@ FROM documents
 def q_doc_project(r):
     """D2 $project with computed fields over whole texts."""
     return D.doc_project(r.table("documents"), {
-        "doc_id": "doc_id", "lang_upper": F.upper("lang"), "n_lines": F.size(F.split("text", "\n")),
-        "n_words": F.size(F.split("text", " ")), "has_at": F.col("text").contains("@")})
+        "doc_id": "doc_id", "lang_upper": F.upper("lang"), "n_lines": F.size(F.split("text", "\n")).cast("long"),
+        "n_words": F.size(F.split("text", " ")).cast("long"), "has_at": F.col("text").contains("@")})
 
 
 @query("doc_group", """
-SELECT source AS _id, COUNT(*) AS docs, SUM(n_chars) AS total_chars,
+SELECT source AS _id, COUNT(*) AS docs, CAST(SUM(n_chars) AS BIGINT) AS total_chars,
        CAST(SUM(n_chars) AS DOUBLE) / COUNT(n_chars) AS avg_chars, min(n_chars) AS min_chars,
        max(n_chars) AS max_chars, arg_min(lang, doc_id) AS first_lang,
        array_to_string(list_sort(list_distinct(list(lang))), ',') AS langs
@@ -74,7 +74,7 @@ def q_doc_sort_by_count(r):
 SELECT CASE WHEN n_chars >= 0 AND n_chars < 500 THEN '0' WHEN n_chars >= 500 AND n_chars < 2000 THEN '500'
             WHEN n_chars >= 2000 AND n_chars < 10000 THEN '2000' WHEN n_chars >= 10000 AND n_chars < 50000 THEN '10000'
             ELSE 'Other' END AS _id,
-       COUNT(*) AS count, SUM(n_chars) AS total_chars
+       COUNT(*) AS count, CAST(SUM(n_chars) AS BIGINT) AS total_chars
 FROM documents GROUP BY 1
 """)
 def q_doc_bucket(r):
@@ -91,7 +91,8 @@ def q_doc_unwind(r):
     """D7 $unwind every line of every document, with its index."""
     d = r.table("documents").select("doc_id", F.split("text", "\n").alias("lines"))
     u = D.doc_unwind(d, C("lines"), "line", index_name="line_no")
-    return u.select("doc_id", "line_no", F.length("line").alias("line_length"))
+    return u.select("doc_id", C("line_no").cast("long").alias("line_no"),
+                    F.length("line").cast("long").alias("line_length"))
 
 
 @query("doc_lookup", """

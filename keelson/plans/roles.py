@@ -29,7 +29,9 @@ LINE_ID = ("concat_ws('-', cast(l_orderkey as string), cast(l_linenumber as stri
 
 
 def _hours_after(ts: str, hours: str):
-    return (f"{ts} + make_interval(0, 0, 0, 0, cast({hours} as int), 0, 0)",
+    # A literal base is written TIMESTAMP '...'; Spark gets the wall-clock (NTZ) form.
+    spark_ts = ts.replace("timestamp '", "timestamp_ntz '")
+    return (f"{spark_ts} + make_interval(0, 0, 0, 0, cast({hours} as int), 0, 0)",
             f"{ts} + to_hours(cast({hours} as bigint))")
 
 
@@ -115,8 +117,8 @@ _role("equipment", "supplier", [
     ("equipment_type", "'line'"),
     ("area", "cast(s_nationkey as string)"),
     ("status", "CASE WHEN s_acctbal < 0 THEN 'maintenance' ELSE 'available' END"),
-    ("last_calibration_at", "cast(NULL as timestamp)"),
-    ("next_calibration_due", "cast(NULL as timestamp)"),
+    ("last_calibration_at", ("cast(NULL as timestamp_ntz)", "cast(NULL as timestamp)")),
+    ("next_calibration_due", ("cast(NULL as timestamp_ntz)", "cast(NULL as timestamp)")),
 ])
 _role("process_runs", "lineitem", [
     ("process_run_id", LINE_ID),
@@ -281,7 +283,7 @@ _role("material_reservations", "lineitem", [
     ("status", "CASE WHEN l_linestatus = 'F' THEN 'issued' WHEN l_returnflag = 'R' THEN 'cancelled' "
                "ELSE 'reserved' END"),
     ("reserved_at", "l_shipdate"),
-    ("released_at", "cast(NULL as timestamp)"),
+    ("released_at", ("cast(NULL as timestamp_ntz)", "cast(NULL as timestamp)")),
 ])
 _role("weighing_transactions", "lineitem", [
     ("weighing_transaction_id", LINE_ID),
@@ -423,7 +425,7 @@ _role("reset_requests", "conversations", [
                            for x in _hours_after("timestamp '2024-01-01 00:00:00'", "conv_id + 1"))),
     ("admin_note", "cast(NULL as string)"),
     ("reviewed_by", "cast(NULL as string)"),
-    ("reviewed_at", "cast(NULL as timestamp)"),
+    ("reviewed_at", ("cast(NULL as timestamp_ntz)", "cast(NULL as timestamp)")),
 ], where="turn = 0")
 _role("reset_decisions", "conversations", [
     ("request_id", "conv_id"),
