@@ -147,6 +147,18 @@ def q_route_events(r):
     return events.route_events(r.ingest_events).select("source_event_id", "event_type", "collection", "reject_reason")
 
 
+INGEST_EVENTS_SQL = f"""
+WITH v AS ({VALIDATE_SQL}), ro AS ({ROUTE_SQL}), rs AS ({_resolve_sql(True)}), t AS ({TS_SQL}), k AS ({KEYS_SQL})
+SELECT e.source_event_id, v.event_type, ro.collection, rs.system_id, rs.system_key, rs.registry_validated,
+       t.timestamp, COALESCE(v.reject_reason, ro.reject_reason, rs.reject_reason, t.reject_reason, k.reject_reason)
+           AS reject_reason
+FROM ingest_events e
+JOIN v ON v.source_event_id = e.source_event_id JOIN ro ON ro.source_event_id = e.source_event_id
+JOIN rs ON rs.source_event_id = e.source_event_id JOIN t ON t.source_event_id = e.source_event_id
+JOIN k ON k.source_event_id = e.source_event_id
+"""
+
+
 @query("ingest_batch", f"""
 WITH v AS ({VALIDATE_SQL}), ro AS ({ROUTE_SQL}), rs AS ({_resolve_sql(True)}), t AS ({TS_SQL}), k AS ({KEYS_SQL}),
 sz AS (SELECT batch_id, COUNT(*) AS n FROM ingest_events GROUP BY batch_id),
@@ -166,12 +178,15 @@ def q_ingest_batch(r):
     return events.ingest_batch(r.ingest_events, r.systems, _now(), strict=True)
 
 
-@query("windowed_rollup", """
+WINDOWED_SQL = """
 SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end,
        event_type, COUNT(*) AS events, CAST(SUM(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS value_sum,
        max(value) AS value_max
 FROM events GROUP BY 1, 2, 3
-""")
+"""
+
+
+@query("windowed_rollup", WINDOWED_SQL)
 def q_windowed_rollup(r):
     """E9 hourly tumbling roll-up per event type."""
     return events.windowed_rollup(r.table("events"), "ts", ["event_type"], "value", "1 hour")

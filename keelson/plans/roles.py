@@ -324,6 +324,25 @@ class Roles:
             self._cache[key] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self._cache[key]
 
+    def stream(self, name: str) -> DataFrame:
+        """A driver table or role as a streaming DataFrame (file source over the table's file).
+
+        The path is a one-file glob (``x.parque[t]``) because the file stream
+        source lists a directory or a glob; the role's filter and projection
+        apply to the stream unchanged.
+        """
+        table = name if name in DRIVER_TABLES else ROLES[name].source
+        path = f"{self.sf_dir}/{table}.parque[t]"
+        df = self.spark.readStream.schema(self.table(table).schema).parquet(path)
+        if name in DRIVER_TABLES:
+            return df
+        role = ROLES[name]
+        if role.where:
+            df = df.where(role.where)
+        if role.prelude:
+            df = df.selectExpr("*", *[f"{e if isinstance(e, str) else e[0]} AS {n}" for n, e in role.prelude])
+        return df.selectExpr(*role.spark_exprs())
+
     def __getitem__(self, name: str) -> DataFrame:
         if name in DRIVER_TABLES:
             return self.table(name)

@@ -59,7 +59,7 @@ def q_classify_alerts(r):
     return telemetry.classify_alerts(metrics(r))
 
 
-@query("grid_snapshot", f"""
+GRID_SQL = f"""
 SELECT time_bucket(INTERVAL 1 HOUR, recorded_at) AS tick_start,
        time_bucket(INTERVAL 1 HOUR, recorded_at) + INTERVAL 1 HOUR AS tick_end,
        COUNT(*) AS asset_count,
@@ -68,7 +68,10 @@ SELECT time_bucket(INTERVAL 1 HOUR, recorded_at) AS tick_start,
        COALESCE({rh('max(breaker_utilization_pct)', 3)}, 0.0) AS max_breaker_utilization_pct
 FROM ({METRICS_FULL_SQL}) m
 GROUP BY 1, 2
-""")
+"""
+
+
+@query("grid_snapshot", GRID_SQL)
 def q_grid_snapshot(r):
     """V21 hourly grid snapshot (tumbling window)."""
     return telemetry.grid_snapshot(metrics(r))

@@ -76,10 +76,31 @@ def grid_snapshot_stream(readings: DataFrame, assets: DataFrame, tick: str = "1
     return T.grid_snapshot(T.electrical_metrics(r, assets), tick)
 
 
+def run_to_table(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """Drive a stream over the available input into parquet under the shared checkpoint folder.
+
+    Append mode uses the file sink (exactly-once via its commit log);
+    complete mode rewrites the result table in ``foreachBatch``.  The result
+    is read back as an ordinary distributed DataFrame -- nothing is held on
+    the driver.  Each run gets fresh output and checkpoint folders.
+    """
+    spark = df.sparkSession
+    run = f"{name}-{uuid.uuid4().hex}"
+    out, ck = scratch_path(spark, f"stream-out-{run}"), scratch_path(spark, f"stream-ckpt-{run}")
+    w = df.writeStream.outputMode(mode).option("checkpointLocation", ck).trigger(availableNow=True)
+    if mode == "append":
+        q = w.format("parquet").option("path", out).start()
+    else:
+        q = w.foreachBatch(lambda batch, _id: batch.write.mode("overwrite").parquet(out)).start()
+    q.awaitTermination()
+    return spark.read.schema(df.schema).parquet(out)
+
+
 def run_to_memory(df: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None):
-    """Drive a streaming query to completion over the available input (tests / backfills)."""
+    """Drive a streaming query to completion into the memory sink (small test outputs only)."""
     spark = df.sparkSession
-    ck = checkpoint or scratch_path(spark, f"stream-{name}-{uuid.uuid4().hex}")
+    name = f"{name}_{uuid.uuid4().hex}"
+    ck = checkpoint or scratch_path(spark, f"stream-{name}")
     q = (df.writeStream.outputMode(mode).format("memory").queryName(name)
          .option("checkpointLocation", ck).trigger(availableNow=True).start())
     q.awaitTermination()
