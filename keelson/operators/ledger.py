@@ -243,3 +243,16 @@ def complete_request(requests: DataFrame, lines: DataFrame, issues: DataFrame) -
                     F.coalesce(C("issued_lines"), F.lit(0)).cast("long").alias("issued_lines"),
                     F.when(done, F.lit("fulfilled")).otherwise(C("status")).alias("status"),
                     F.when(done, C("_last")).otherwise(C("fulfilled_at")).alias("fulfilled_at"))
+
+
+def derive_po_lines(purchase_orders: DataFrame, material_catalog: DataFrame, existing: DataFrame) -> DataFrame:
+    """I11 order lines: one per catalog material whose preferred supplier is the order's supplier; skip existing."""
+    po = purchase_orders.select("purchase_order_id", "supplier_id", "ordered_at")
+    mc = material_catalog.where(C("active")).select("supply_material_id", C("preferred_supplier_id").alias("supplier_id"),
+                                                    "reorder_quantity", "unit_of_measure")
+    lines = po.join(mc, "supplier_id").select(
+        F.concat_ws("|", C("purchase_order_id").cast("string"), C("supply_material_id").cast("string"))
+        .alias("purchase_order_line_id"), "purchase_order_id", "supply_material_id",
+        C("reorder_quantity").alias("ordered_quantity"), "unit_of_measure")
+    return lines.join(existing.select("purchase_order_id", "supply_material_id").distinct(),
+                      ["purchase_order_id", "supply_material_id"], "left_anti")

@@ -173,3 +173,94 @@ def q_add_relationship(r):
                      F.concat(u, F.lit(":purchase")).alias("target_dataset_id"),
                      F.lit("feeds").alias("relationship_type")).distinct()
     return catalog.add_relationship(r.dataset_relationships, cand)
+
+
+# ------------------------------------------------------------------ D2/D4/D5/D6, C9 set, I11 lines, L1
+@query("doc_add_fields", """
+SELECT doc_id, lang, n_chars, n_chars > 1000 AS is_long, upper(substr(source, 1, 3)) AS source_prefix FROM documents
+""")
+def q_doc_add_fields(r):
+    """D2 $addFields: computed fields next to the existing ones."""
+    d = r.table("documents").select("doc_id", "lang", "n_chars", "source")
+    out = documents.doc_add_fields(d, {"is_long": C("n_chars") > 1000,
+                                       "source_prefix": F.upper(F.substring("source", 1, 3))})
+    return out.drop("source")
+
+
+@query("doc_sort", """
+SELECT doc_id, lang, n_chars FROM documents ORDER BY lang NULLS FIRST, n_chars DESC NULLS LAST, doc_id
+""")
+def q_doc_sort(r):
+    """D4 $sort over the whole collection (range-partitioned global sort)."""
+    return documents.doc_sort(r.table("documents").select("doc_id", "lang", "n_chars"),
+                              [("lang", 1), ("n_chars", -1)], "doc_id")
+
+
+@query("doc_skip_limit", """
+SELECT doc_id, lang, n_chars FROM documents ORDER BY n_chars DESC NULLS LAST, doc_id LIMIT 25 OFFSET 10
+""")
+def q_doc_skip_limit(r):
+    """D5 $sort + $skip 10 + $limit 25."""
+    d = documents.doc_sort(r.table("documents").select("doc_id", "lang", "n_chars"), [("n_chars", -1)], "doc_id")
+    return documents.doc_limit(d, 25, skip=10)
+
+
+@query("doc_count", "SELECT COUNT(*) AS matched FROM documents WHERE lang = 'de'")
+def q_doc_count(r):
+    """D6 $match + $count."""
+    return documents.doc_count(documents.doc_match(r.table("documents"), C("lang") == "de"), "matched")
+
+
+@query("json_set", """
+SELECT event_id,
+       CASE WHEN event_type = 'error' THEN '{"k":' || json_extract_string(props, '$.k') || ',"reviewed":true}'
+            ELSE props END AS props
+FROM events
+""")
+def q_json_set(r):
+    """C9 jsonb_set of one top-level key on error events."""
+    e = r.table("events")
+    return e.select("event_id", F.when(C("event_type") == "error",
+                                       changes.json_set(C("props"), "reviewed", F.lit(True)))
+                    .otherwise(C("props")).alias("props"))
+
+
+@query("derive_po_lines", """
+WITH po AS (SELECT supplier_id AS purchase_order_id, supplier_id, TIMESTAMP '2024-01-01 00:00:00' AS ordered_at
+            FROM suppliers WHERE status = 'approved'),
+lines AS (SELECT CAST(po.purchase_order_id AS VARCHAR) || '|' || CAST(mc.supply_material_id AS VARCHAR)
+                     AS purchase_order_line_id, po.purchase_order_id, mc.supply_material_id,
+                 CAST(mc.reorder_quantity AS DOUBLE) AS ordered_quantity, mc.unit_of_measure
+          FROM po JOIN material_catalog mc ON mc.preferred_supplier_id = po.supplier_id WHERE mc.active)
+SELECT * FROM lines l
+WHERE NOT EXISTS (SELECT 1 FROM material_lots x WHERE x.status = 'released'
+                  AND x.supplier_id = l.purchase_order_id AND x.supply_material_id = l.supply_material_id)
+""")
+def q_derive_po_lines(r):
+    """I11 purchase-order lines for the preferred supplier's materials, skipping pairs already received."""
+    po = r.suppliers.where(C("status") == "approved").select(
+        C("supplier_id").alias("purchase_order_id"), "supplier_id",
+        F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("ordered_at"))
+    existing = r.material_lots.where(C("status") == "released").select(
+        C("supplier_id").alias("purchase_order_id"), "supply_material_id")
+    return ledger.derive_po_lines(po, r.material_catalog, existing)
+
+
+@query("csv_source", """
+SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderstatus,
+       CAST(o_totalprice AS VARCHAR) AS o_totalprice, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate,
+       o_orderpriority
+FROM orders
+""")
+def q_csv_source(r):
+    """L1 orders written as a semicolon file with a BOM header in the shared folder, read back as text."""
+    import uuid
+    from keelson.session import scratch_path
+    from keelson.sources import csv as csvsrc
+    path = scratch_path(r.spark, f"csv-{uuid.uuid4().hex}")
+    o = r.table("orders").selectExpr("cast(o_orderkey as string) as `﻿O_OrderKey`", "o_custkey AS `O CustKey`",
+                                     "o_orderstatus", "cast(o_totalprice as string) as o_totalprice",
+                                     "date_format(o_orderdate, 'yyyy-MM-dd HH:mm:ss') as o_orderdate",
+                                     "o_orderpriority")
+    o.write.option("header", True).option("sep", ";").csv(path)
+    return csvsrc.csv_source(r.spark, path)  # header names normalised: o_orderkey, o_custkey, ...

@@ -64,13 +64,13 @@ def sniff_delimiter(head: str) -> str:
 def csv_source(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
     """L1: every column as STRING, header names normalised, BOM dropped, quoted newlines kept.
 
-    The delimiter is sniffed from the first 8 KiB of one file (read through
-    Spark's binary file source, so it works on any Hadoop file system).
+    The delimiter is sniffed from the header line (first 8 KiB at most) of one
+    file: a ``limit(1)`` over the text source reads only that line, on any
+    Hadoop file system.
     """
     if delimiter is None:
-        head_row = spark.read.format("binaryFile").load(path).select("content").limit(1).collect()
-        head = bytes(head_row[0][0][:SNIFF_BYTES]).decode("utf-8", "replace") if head_row else ""
-        delimiter = sniff_delimiter(head)
+        head_row = spark.read.text(path).select(F.substring("value", 1, SNIFF_BYTES)).limit(1).collect()
+        delimiter = sniff_delimiter(head_row[0][0] if head_row else "")
     df = (spark.read.option("header", True).option("sep", delimiter).option("multiLine", True)
           .option("quote", '"').option("escape", '"').option("encoding", "UTF-8")
           .option("inferSchema", False).csv(path))
