@@ -42,7 +42,7 @@ def discover(spark, paths: dict[str, str], include=None, exclude=()) -> DataFram
     """
     rows = []
     for name, path in sorted(paths.items()):
-        if include is not None and name not in include or name in exclude:
+        if (include is not None and name not in include) or name in exclude:
             continue
         df = spark.read.parquet(path)
         rows.append(df.agg(F.count(F.lit(1)).alias("estimated_rows")).select(

@@ -314,7 +314,6 @@ class Roles:
     """Lazy access to role DataFrames over one scale-factor directory."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        # plain attributes first: __getattr__ below resolves everything else as a role
         self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
         self._cache: dict[str, DataFrame] = {}
 
@@ -357,7 +356,11 @@ class Roles:
             self._cache[name] = df.distinct() if role.distinct else df
         return self._cache[name]
 
-    __getattr__ = lambda self, name: self[name] if not name.startswith("_") else object.__getattribute__(self, name)
+    def __getattr__(self, name: str) -> DataFrame:
+        # Only called for names that are not real attributes: roles and tables.
+        if name.startswith("_"):
+            raise AttributeError(name)
+        return self[name]
 
 
 def role_ctes(*names: str) -> str:
