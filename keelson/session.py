@@ -68,3 +68,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark)
     return base.rstrip("/") + "/" + name
+
+
+def cut_lineage(df):
+    """Reliable checkpoint of ``df`` into the shared folder named by ``spark.checkpoint.dir``.
+
+    Later stages then recompute from the checkpoint, not from the sources,
+    when an executor is lost.  (Never ``localCheckpoint``: it keeps blocks on
+    executors that may disappear.)
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

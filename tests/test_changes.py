@@ -63,3 +63,26 @@ def test_emit_events_once(spark):
 def test_json_merge(spark):
     df = spark.createDataFrame([('{"a":1,"b":{"c":2},"s":"t"}', '{"a":5,"d":true}')], "l string, r string")
     assert df.select(changes.json_merge(F.col("l"), F.col("r"))).first()[0] == '{"a":5,"b":{"c":2},"d":true,"s":"t"}'
+
+
+def test_ledger_cycle_idempotent_with_checkpoints(spark):
+    from keelson.session import cut_lineage
+    lots = spark.createDataFrame(
+        [("L1", "n1", Decimal("10.0000"), Decimal("10.0000"), Decimal("0.0000")),
+         ("L2", "n2", Decimal("5.0000"), Decimal("5.0000"), Decimal("0.0000"))],
+        "material_lot_id string, internal_lot_number string, received_quantity decimal(18,4), "
+        "available_quantity decimal(18,4), reserved_quantity decimal(18,4)")
+    lines = spark.createDataFrame([("a", "L1", Decimal("4.0000")), ("b", "L2", Decimal("6.0000"))],
+                                  "material_request_line_id string, material_lot_id string, requested_quantity decimal(18,4)")
+    res0 = spark.createDataFrame([], "reservation_id string, material_request_line_id string, material_lot_id string, "
+                                     "reserved_quantity decimal(18,4), status string")
+    iss0 = spark.createDataFrame([], "material_issue_id string, reservation_id string, material_lot_id string, "
+                                     "issued_quantity decimal(18,4)")
+    at = F.lit(dt.datetime(2024, 2, 1))
+    one = ledger.ledger_cycle(lines, lots, res0, iss0, at, cut=cut_lineage)
+    bal = {r.material_lot_id: r for r in one["balances"].collect()}
+    assert bal["L1"].issued_quantity == Decimal("4.0000") and bal["L1"].available_quantity == Decimal("6.0000")
+    assert bal["L2"].issued_quantity == Decimal("0.0000")  # shortage: 6 > 5, nothing reserved
+    two = ledger.ledger_cycle(lines, lots, one["reservations"], one["issues"], at, cut=cut_lineage)
+    assert _sorted(two["balances"]) == _sorted(one["balances"])
+    assert two["issues"].count() == one["issues"].count() == 1
