@@ -128,10 +128,10 @@ def resolve_system(df: DataFrame, systems: DataFrame, strict: bool = True) -> Da
     res_key = F.when(found, F.coalesce(C("_match.key"), F.coalesce(C("_key"), res_id))).otherwise(
         F.coalesce(C("_key"), C("_id")))
     res_name = F.when(found, F.coalesce(C("_match.name"), res_key)).otherwise(F.coalesce(C("_key"), C("_id")))
-    reason = (F.when(~valid_ident, F.lit("Invalid EES system identifier."))
+    reason = (F.when(~valid_ident, F.lit("Invalid system identifier."))
               .when(~has_ident, F.lit("system_key or system_id is required.")))
     if strict:
-        reason = reason.when(~found, F.lit("EES system is not registered."))
+        reason = reason.when(~found, F.lit("System is not registered."))
     prior = C("reject_reason") if "reject_reason" in df.columns else F.lit(None).cast("string")
     out = (ev.withColumn("system_id", F.when(found, C("_match.id")).otherwise(C("_id")))
            .withColumn("system_key", res_key).withColumn("system_name", res_name)
@@ -196,7 +196,7 @@ def route_events(df: DataFrame) -> DataFrame:
     prior = C("reject_reason") if "reject_reason" in df.columns else F.lit(None).cast("string")
     return (df.withColumn("event_type", t).withColumn("collection", coll)
             .withColumn("reject_reason", F.coalesce(prior, F.when(coll.isNull(), F.concat(
-                F.lit("Unsupported EES event type '"), t, F.lit("'."))))))
+                F.lit("Unsupported event type '"), t, F.lit("'."))))))
 
 
 ENVELOPE_STRING_FIELDS = ["event_type", "system_id", "system_key", "system_name"]

@@ -12,8 +12,8 @@ C = F.col
 OPEN_REQUEST_STATUSES = ["requested", "pending admin reconciliation", "approved"]
 PENDING_REVIEW_STATUSES = ["requested", "pending admin reconciliation"]
 CLOSED_REQUEST_STATUSES = ["completed", "rejected"]
-# The key names the reference's pre-push check looks for.
-SECRET_KEY_NAMES = ["EES_INGEST_API_KEY", "OPENAI_API_KEY", "DATABASE_URL", "MONGODB_URL"]
+# The key names the pre-push secret check looks for (any prefix on the ingest key).
+SECRET_KEY_NAMES = ["[A-Z0-9_]*INGEST_API_KEY", "OPENAI_API_KEY", "DATABASE_URL", "MONGODB_URL"]
 
 
 def session_overview(sessions: DataFrame, requests: DataFrame) -> DataFrame:

@@ -95,7 +95,7 @@ def saved_charts(r):
     m = F.create_map(*[F.lit(x) for kv in COLLECTION_BY_EVENT_TYPE.items() for x in kv])
     g = r.table("events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
     t = F.expr(_TYPE_OF)
-    return g.select(C("event_type").alias("chart_id"), F.lit("EES Operations Overview").alias("dashboard_name"),
+    return g.select(C("event_type").alias("chart_id"), F.lit("Operations Overview").alias("dashboard_name"),
                     F.element_at(m, t).alias("collection"),
                     F.when(C("event_type") == "signup", F.lit(None)).otherwise(F.concat(F.lit("sys-"), t))
                     .alias("system_key"),
@@ -113,7 +113,7 @@ FROM c2
 """)
 def q_dashboard_summary(r):
     """G5 dashboard chart, collection, system and data-point counts (all systems)."""
-    return charts.dashboard_summary(saved_charts(r), "EES Operations Overview")
+    return charts.dashboard_summary(saved_charts(r), "Operations Overview")
 
 
 # ------------------------------------------------------------------ catalog

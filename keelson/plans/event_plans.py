@@ -62,9 +62,9 @@ def _resolve_sql(strict: bool) -> str:
     pick = lambda f: ("CASE " + " ".join(f"WHEN r{i}.ri IS NOT NULL THEN r{i}.{f}" for i in range(1, 5))
                       + " END")
     found = "(r1.ri IS NOT NULL OR r2.ri IS NOT NULL OR r3.ri IS NOT NULL OR r4.ri IS NOT NULL)"
-    reason = (f"CASE WHEN NOT ({_ok('ev.k')} AND {_ok('ev.i')}) THEN 'Invalid EES system identifier.' "
+    reason = (f"CASE WHEN NOT ({_ok('ev.k')} AND {_ok('ev.i')}) THEN 'Invalid system identifier.' "
               f"WHEN ev.k IS NULL AND ev.i IS NULL THEN 'system_key or system_id is required.' "
-              + (f"WHEN NOT {found} THEN 'EES system is not registered.' " if strict else "") + "END")
+              + (f"WHEN NOT {found} THEN 'System is not registered.' " if strict else "") + "END")
     return f"""
 WITH ev AS (SELECT source_event_id, {_ident('COALESCE(system_key, batch_system_key)')} AS k,
                    {_ident('COALESCE(system_id, batch_system_id)')} AS i FROM ingest_events),
@@ -136,7 +136,7 @@ def q_validate_keys(r):
 _COLL = "CASE " + " ".join(f"WHEN {_TYPE} = '{t}' THEN '{c}'" for t, c in events.COLLECTION_BY_EVENT_TYPE.items()) + " END"
 ROUTE_SQL = f"""
 SELECT source_event_id, {_TYPE} AS event_type, {_COLL} AS collection,
-       CASE WHEN {_COLL} IS NULL THEN 'Unsupported EES event type ''' || {_TYPE} || '''.' END AS reject_reason
+       CASE WHEN {_COLL} IS NULL THEN 'Unsupported event type ''' || {_TYPE} || '''.' END AS reject_reason
 FROM ingest_events
 """
 

@@ -29,8 +29,8 @@ def test_resolution_rules(spark):
     assert (strict[1].system_id, strict[1].system_name, strict[1].registry_validated) == ("7", "Plant A", True)
     # '7' is system 7's id and system 8's key: id=id comes before key=id in the fixed priority
     assert strict[2].system_key == "plant-a" and strict[2].system_id == "7"
-    assert strict[3].reject_reason == "Invalid EES system identifier."
-    assert strict[4].reject_reason == "EES system is not registered."
+    assert strict[3].reject_reason == "Invalid system identifier."
+    assert strict[4].reject_reason == "System is not registered."
     assert lenient[4].reject_reason is None and lenient[4].registry_validated is False
     assert lenient[4].system_name == "ghost"
     assert strict[5].reject_reason == "system_key or system_id is required."
@@ -52,7 +52,7 @@ def test_validation_timestamps_keys_and_routing(spark):
     assert k[2] == "Invalid field name 'a.b' in payload.tags."
     assert k[4] == "Invalid field name '$x' in payload.ctx[1]."
     r = {x.source_event_id: x for x in E.route_events(df).collect()}
-    assert r[2].collection == "alert_events" and r[3].reject_reason == "Unsupported EES event type 'metrics'."
+    assert r[2].collection == "alert_events" and r[3].reject_reason == "Unsupported event type 'metrics'."
 
 
 def test_batch_over_500_rejected(spark):
