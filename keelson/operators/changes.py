@@ -202,6 +202,8 @@ def apply_changes(table: DataFrame, changes: DataFrame, pk: Sequence[str], edita
 
 
 # ------------------------------------------------------------------ C6 review
+# The reset-request statuses, the terminal ones, and the session
+# status each decision maps to.
 REVIEW_STATUSES = ["Requested", "Pending Admin Reconciliation", "Approved", "Completed", "Rejected"]
 TERMINAL = ["Completed", "Rejected"]
 SESSION_STATUS_FOR = {"Approved": "Reset Approved", "Completed": "Reset Complete", "Rejected": "Reset Rejected"}

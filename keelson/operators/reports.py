@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 C = F.col
 
+# Request statuses counted as open / pending review / closed (lower case).
 OPEN_REQUEST_STATUSES = ["requested", "pending admin reconciliation", "approved"]
 PENDING_REVIEW_STATUSES = ["requested", "pending admin reconciliation"]
 CLOSED_REQUEST_STATUSES = ["completed", "rejected"]
