@@ -216,3 +216,18 @@ WHERE rn = 1
 def q_dedupe_events(r):
     """E10 (batch form) first event per content key and hour."""
     return events.dedupe_events(r.table("events"), ["user_id", "event_type", "props"], "ts", "event_id")
+
+
+@query("events_per_system", f"""
+WITH x AS ({INGEST_EVENTS_SQL}),
+sz AS (SELECT batch_id, COUNT(*) AS n FROM ingest_events GROUP BY batch_id)
+SELECT x.collection, CAST(x.timestamp AS DATE) AS event_date, x.system_key, x.timestamp,
+       sha256(concat_ws('|', CAST(e.source_event_id AS VARCHAR), x.event_type, e.body)) AS event_id
+FROM x JOIN ingest_events e ON e.source_event_id = x.source_event_id JOIN sz ON sz.batch_id = e.batch_id
+WHERE x.reject_reason IS NULL AND sz.n <= 500
+""")
+def q_events_per_system(r):
+    """E8 stored events laid out per collection and day, sorted by (system, time desc) inside each partition."""
+    x = events.ingest(r.ingest_events, r.systems, _now()).where(C("reject_reason").isNull())
+    out = x.select("collection", F.to_date("timestamp").alias("event_date"), "system_key", "timestamp", "event_id")
+    return out.repartition("collection", "event_date").sortWithinPartitions("system_key", C("timestamp").desc())
