@@ -86,3 +86,40 @@ def test_ledger_cycle_idempotent_with_checkpoints(spark):
     two = ledger.ledger_cycle(lines, lots, one["reservations"], one["issues"], at, cut=cut_lineage)
     assert _sorted(two["balances"]) == _sorted(one["balances"])
     assert two["issues"].count() == one["issues"].count() == 1
+
+
+def test_review_transition_rules(spark):
+    req = spark.createDataFrame(
+        [(1, 10, "Requested", None, None, None, None), (2, 20, "Approved", None, None, None, None),
+         (3, 30, "Completed", None, None, None, None), (4, 40, "Requested", None, None, None, None)],
+        "request_id long, session_id long, status string, completed_at timestamp, admin_note string, "
+        "reviewed_by string, reviewed_at timestamp")
+    dec = spark.createDataFrame([(1, "Completed", "n1", "adm"), (2, "Completed", "n2", "adm"),
+                                 (3, "Rejected", "n3", "adm"), (4, "Bogus", "n4", "adm"), (9, "Approved", "n9", "adm")],
+                                "request_id long, status string, admin_note string, reviewed_by string")
+    at = F.lit(dt.datetime(2024, 2, 1))
+    out = changes.review_transitions(req, dec, reviewed_at=at)
+    st = {r.request_id: r for r in out["state"].collect()}
+    rej = {r.request_id: r.reason for r in out["rejected"].collect()}
+    assert st[1].status == "Requested" and "must be Approved" in rej[1]
+    assert st[2].status == "Completed" and st[2].completed_at == dt.datetime(2024, 2, 1) and st[2].admin_note == "n2"
+    assert st[3].status == "Completed" and rej[3] == "Reset request is already terminal (Completed)."
+    assert rej[4] == "Unsupported reset-request status." and rej[9] == "Reset request not found."
+    assert {(r.session_id, r.status) for r in out["sessions"].collect()} == {(20, "Reset Complete")}
+
+
+def test_apply_changes_rules(spark):
+    table = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "id long, name string, created string")
+    ch = spark.createDataFrame([
+        (1, "update", 1, {"name": "A1"}), (2, "update", 1, {"name": "A2"}),      # 2 supersedes 1
+        (3, "update", 2, {"created": "z", "id": "9"}),                             # nothing editable
+        (4, "delete", 5, {}), (5, "insert", 2, {"name": "dup"}), (6, "insert", 3, {"name": "c"}),
+        (7, "delete", None, {})], "change_id long, op string, id long, values map<string,string>")
+    out = changes.apply_changes(table, ch, ["id"], ["name"])
+    audit = {r.change_id: (r.status, r.reason) for r in out["audit"].collect()}
+    assert audit[2] == ("applied", None) and audit[1][0] == "rejected" and "Superseded" in audit[1][1]
+    assert audit[3] == ("rejected", "No editable column changes were supplied.")
+    assert audit[4] == ("rejected", "Expected one row; affected 0.")
+    assert audit[5] == ("rejected", "Row already exists.") and audit[6] == ("applied", None)
+    assert audit[7] == ("rejected", "Complete primary key values are required.")
+    assert _sorted(out["state"]) == [(1, "A2", "x"), (2, "b", "y"), (3, "c", None)]
