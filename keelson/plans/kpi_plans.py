@@ -291,9 +291,8 @@ LEFT JOIN mat_a ON mat_a.batch_id = bk.batch_id
 
 def dashboard(r):
     bk = kpi.batch_kpis(*_v1_args(r))
-    cpp = kpi.cpp_performance(r.process_parameters, r.process_runs, r.batches, r.process_steps, r.equipment)
-    qual = kpi.quality_performance(r.quality_results, r.batches)
-    return kpi.production_dashboard(bk, cpp, qual, r.packaging_records, r.batch_materials)
+    return kpi.production_dashboard(bk, r.process_parameters, r.process_runs, r.batches, r.process_steps,
+                                    r.quality_results, r.packaging_records, r.batch_materials)
 
 
 @query("production_dashboard", V9_SQL, bench=True)
