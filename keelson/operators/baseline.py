@@ -86,14 +86,21 @@ def grouped_totals(df: DataFrame, group: str, sums: Sequence[str]) -> DataFrame:
 def group_diff(baseline: DataFrame, live: DataFrame, group: str, sums: Sequence[str], both: bool = True) -> DataFrame:
     """Grouped sums of baseline EXCEPT live (U2); with ``both`` the symmetric difference.
 
-    A ``side`` column says which side the row came from.
+    Set semantics as SQL EXCEPT (distinct rows, NULLs equal): the two grouped
+    sides are tagged, unioned and grouped on every value column once -- one
+    shuffle answers both directions -- and a row is kept when only one side
+    has it.  A ``side`` column says which.
     """
-    b = grouped_totals(baseline, group, sums)
-    lv = grouped_totals(live, group, sums)
-    one = b.subtract(lv).withColumn("side", F.lit("baseline_only"))
+    b = grouped_totals(baseline, group, sums).withColumn("_side", F.lit(0))
+    lv = grouped_totals(live, group, sums).withColumn("_side", F.lit(1))
+    values = [c for c in b.columns if c != "_side"]
+    g = (b.unionByName(lv).groupBy(*values)
+         .agg(F.max(C("_side") == 0).alias("_in_b"), F.max(C("_side") == 1).alias("_in_l")))
+    side = F.when(C("_in_b") & ~C("_in_l"), F.lit("baseline_only")).when(C("_in_l") & ~C("_in_b"), F.lit("live_only"))
+    out = g.withColumn("side", side).where(C("side").isNotNull())
     if not both:
-        return one
-    return one.unionByName(lv.subtract(b).withColumn("side", F.lit("live_only")))
+        out = out.where(C("side") == "baseline_only")
+    return out.select(*values, "side")
 
 
 def before_after(before: DataFrame, after: DataFrame, qty: str) -> DataFrame:
