@@ -160,7 +160,13 @@ def apply_changes(table: DataFrame, changes: DataFrame, pk: Sequence[str], edita
     """
     pk = list(pk)
     editable = list(editable)
-    hits = table.groupBy(*pk).agg(F.count(F.lit(1)).alias("_hits"))
+    # Row counts only for the keys the batch touches: the table's key column is
+    # semi-joined to the change keys first (AQE broadcasts a small change set),
+    # so the table is never aggregated as a whole.
+    touched = changes.select(*pk).where(F.greatest(*[C(c).isNotNull() for c in pk]) if len(pk) > 1
+                                         else C(pk[0]).isNotNull()).distinct()
+    hits = (table.select(*pk).join(touched, pk, "left_semi")
+            .groupBy(*pk).agg(F.count(F.lit(1)).alias("_hits")))
     ch = changes.join(hits, pk, "left").withColumn("_hits", F.coalesce(C("_hits"), F.lit(0)))
     clean = F.map_filter(C("values"), lambda k, v: k.isin(editable))
     ch = ch.withColumn("_clean", clean)
