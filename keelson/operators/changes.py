@@ -24,6 +24,21 @@ def _keys(key) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
+def absent(candidates: DataFrame, existing: DataFrame, key) -> DataFrame:
+    """Rows of ``candidates`` whose key is not in ``existing`` (NOT EXISTS), for a batch against a big table.
+
+    A plain ``left_anti`` can only broadcast ``existing``.  Here the keys of
+    ``existing`` that the batch touches are found first with ``existing`` as
+    the streamed side of a semi-join (the batch keys are the build side, which
+    AQE broadcasts when the batch is small), so the big table is scanned but
+    not shuffled; the anti-join then runs between two batch-sized frames.
+    """
+    k = _keys(key)
+    batch_keys = candidates.select(*k).distinct()
+    present = existing.select(*k).join(batch_keys, k, "left_semi").distinct()
+    return candidates.join(present, k, "left_anti")
+
+
 def duplicate_keys(df: DataFrame, key) -> DataFrame:
     """Keys that occur more than once (the uniqueness check of C1/C7)."""
     k = _keys(key)
@@ -57,7 +72,7 @@ def upsert(target: DataFrame, source: DataFrame, key, update_cols: Sequence[str]
         else:
             out.append(C(c))
     updated = j.select(*k, *out)
-    inserted = source.join(target.select(*k), k, "left_anti")
+    inserted = absent(source, target, k)
     inserted = inserted.select(*[(C(c) if c in source.columns else F.lit(None)).cast(target.schema[c].dataType).alias(c)
                                  for c in target.columns])
     return updated.select(*target.columns).unionByName(inserted)
@@ -75,7 +90,7 @@ def insert_if_absent(target: DataFrame, candidates: DataFrame, key) -> DataFrame
         firsts = candidates.groupBy(*k).agg(F.min(F.struct(*others)).alias("_r")).select(*k, "_r.*")
     else:
         firsts = candidates.dropDuplicates(k)
-    return firsts.join(target.select(*k), k, "left_anti").select(*candidates.columns)
+    return absent(firsts, target, k).select(*candidates.columns)
 
 
 def insert_if_absent_state(target: DataFrame, candidates: DataFrame, key) -> DataFrame:

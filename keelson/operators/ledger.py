@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keelson.operators.changes import insert_if_absent, upsert
+from keelson.operators.changes import absent, insert_if_absent, upsert
 
 C = F.col
 DEC = "decimal(18,4)"
@@ -62,8 +62,7 @@ def reserve(lines: DataFrame, lots: DataFrame, reservations: DataFrame, reserved
     ``outcome`` (line, lot, quantity, reserved|shortage), ``reservations``
     (new rows) and ``lots`` (new state of the touched lots).
     """
-    new = lines.join(reservations.select("material_request_line_id").distinct(), "material_request_line_id",
-                     "left_anti")
+    new = absent(lines, reservations, "material_request_line_id")
     demand = new.groupBy("material_lot_id").agg(F.sum("requested_quantity").alias("_demand"))
     lot_ok = (lots.select("material_lot_id", "available_quantity", "reserved_quantity")
               .join(demand, "material_lot_id")
@@ -90,7 +89,7 @@ def post_issue(to_issue: DataFrame, issues: DataFrame, lots: DataFrame, issued_a
     'depleted' when available <= 0 and reserved - q <= 0 (old reserved), else
     'available'.
     """
-    new = to_issue.join(issues.select("reservation_id").distinct(), "reservation_id", "left_anti")
+    new = absent(to_issue, issues, "reservation_id")
     new_issues = new.select(
         F.sha2(F.concat_ws("|", F.lit("issue"), C("reservation_id")), 256).alias("material_issue_id"),
         "reservation_id", "material_lot_id", C("reserved_quantity").cast(DEC).alias("issued_quantity"),
@@ -203,8 +202,7 @@ def sync_state(state: DataFrame, processed: DataFrame, direction: str = "outboun
 
 def post_pick(reservations: DataFrame, picks: DataFrame, picked_at: Column) -> dict:
     """I3 pick: one picking movement per reserved reservation, once; status -> picked."""
-    todo = reservations.where(C("status") == "reserved").join(picks.select("reservation_id").distinct(),
-                                                              "reservation_id", "left_anti")
+    todo = absent(reservations.where(C("status") == "reserved"), picks, "reservation_id")
     moves = todo.select(F.sha2(F.concat_ws("|", F.lit("pick"), C("reservation_id")), 256).alias("picking_transaction_id"),
                         "reservation_id", C("reserved_quantity").alias("picked_quantity"), picked_at.alias("picked_at"))
     hit = moves.select("reservation_id", F.lit(True).alias("_picked"))
