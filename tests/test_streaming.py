@@ -46,3 +46,22 @@ def test_dedupe_stream_drops_repeats(spark):
     src = S.read_stream(spark, f"{d}/events", ev.schema)
     got = S.run_to_memory(S.dedupe_stream(src, ["event_id"], watermark="40 days"), "dd_stream")
     assert got.count() == ev.count()  # event ids are unique
+
+
+def test_route_to_collections_foreach_batch(spark):
+    import glob
+    import os
+    from keelson.plans.roles import Roles
+    r = Roles(spark, SF_SMALL)
+    now = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+    out = tempfile.mkdtemp(prefix="keelson-route-") + "/events"
+    ck = tempfile.mkdtemp(prefix="keelson-route-ck-")
+    stream = S.ingest_stream(r.stream("ingest_events"), r.systems, now)
+    q = (stream.writeStream.foreachBatch(S.route_to_collections(out)).option("checkpointLocation", ck)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    stored = spark.read.parquet(out)
+    want = E.ingest(r.ingest_events, r.systems, now).where("reject_reason IS NULL").count()
+    assert stored.count() == want > 0
+    colls = {os.path.basename(p) for p in glob.glob(out + "/collection=*")}
+    assert colls <= {f"collection={c}" for c in E.COLLECTION_BY_EVENT_TYPE.values()} and len(colls) >= 3
