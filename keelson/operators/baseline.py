@@ -54,6 +54,16 @@ def restore(live: DataFrame, baseline: DataFrame, key: str = "internal_lot_numbe
     return res.withColumn("mirror_status", mirror_status("status"))
 
 
+def rebuild_staged(staged: DataFrame, baseline_staged: DataFrame, scope=None) -> DataFrame:
+    """R2 staged rows: delete the live staged rows in scope (DELETE keeps rows whose test
+    is NULL) and insert the baseline rows of that scope again."""
+    from keelson.operators.changes import delete_where
+    cond = scope if scope is not None else F.lit(True)
+    kept = delete_where(staged, cond)
+    fresh = baseline_staged.where(cond) if scope is not None else baseline_staged
+    return kept.unionByName(fresh.select(*staged.columns))
+
+
 def _differs(cols):
     d = F.lit(False)
     for c in cols:

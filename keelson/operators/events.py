@@ -214,7 +214,7 @@ def envelope(df: DataFrame, received_at: Column) -> DataFrame:
     for name in ENVELOPE_STRING_FIELDS:
         out = out.withColumn(name, F.coalesce(_field(name, C("_body")), C(name)))
     out = out.drop("_body")
-    m = F.from_json(C("body"), "map<string,string>")
+    m = F.from_json(C("body"), "map<string,variant>")  # VARIANT keeps each value's JSON type
     payload = F.map_filter(m, lambda k, v: ~k.isin("system_key", "system_id", "timestamp"))
     return out.withColumn("payload", F.to_json(payload))
 

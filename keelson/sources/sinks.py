@@ -20,13 +20,18 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def write_table(df: DataFrame, path: str, mode: str = "create", partition_by=None) -> None:
-    """Create (fail if exists) / append (fail if missing) / replace (overwrite)."""
+    """Create (fail if exists) / append (fail if missing, or if a column is not in the table) / replace."""
     spark = df.sparkSession
     exists = _exists(spark, path)
     if mode == "create" and exists:
         raise FileExistsError(f"Table already exists: {path}")
     if mode == "append" and not exists:
         raise FileNotFoundError(f"Table does not exist: {path}")
+    if mode == "append":
+        have = set(spark.read.parquet(path).columns)
+        missing = [c for c in df.columns if c not in have and c not in (partition_by or [])]
+        if missing:
+            raise ValueError(f"Append target is missing columns: {', '.join(missing)}")
     spark_mode = {"create": "errorifexists", "append": "append", "replace": "overwrite"}[mode]
     w = df.write.mode(spark_mode)
     if partition_by:

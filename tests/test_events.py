@@ -76,3 +76,13 @@ def test_chunked_sessions_equal_single_pass(spark):
     u2 = sorted((r.session_start, r.events) for r in chunked.where("user_id = 2").collect())
     assert u2 == [(base, 3), (base + dt.timedelta(hours=3), 1)]
     assert chunked.where("user_id = 1").count() == 1
+
+
+def test_envelope_body_wins_and_reserved_keys_leave_payload(spark):
+    rows = [(1, "b", "plant-a", None, "log", None, None, None,
+             '{"level":"i","message":"m","system_name":"from body","event_type":"custom","timestamp":"x","k":1}')]
+    df = E.route_events(E.validate_events(spark.createDataFrame(rows, SCHEMA)))
+    df = E.resolve_system(df, _systems(spark), strict=True)
+    out = E.envelope(df, NOW_()).first()
+    assert out.system_name == "from body" and out.event_type == "custom"
+    assert "timestamp" not in out.payload and '"k":1' in out.payload and '"level":"i"' in out.payload

@@ -63,3 +63,11 @@ def test_sync_state_is_idempotent(spark):
     state, processed = _sync_inputs(Roles(spark, SF_SMALL))
     once = ledger.sync_state(state, processed)
     assert _rows(ledger.sync_state(once, processed)) == _rows(once)
+
+
+def test_rebuild_staged(spark):
+    live = spark.createDataFrame([("c1", "A", 1.0), ("c2", "B", 2.0), ("c3", None, 3.0)],
+                                 "container_id string, hazard string, qty double")
+    base = spark.createDataFrame([("c1", "A", 9.0), ("c4", "A", 4.0)], "container_id string, hazard string, qty double")
+    out = baseline.rebuild_staged(live, base, F.col("hazard") == "A")
+    assert _rows(out) == [("c1", "A", 9.0), ("c2", "B", 2.0), ("c3", None, 3.0), ("c4", "A", 4.0)]

@@ -103,3 +103,10 @@ def test_catalog_upkeep(spark):
     cand = spark.createDataFrame([("n1", "a", "b", "feeds"), ("n2", "a", "a", "feeds"), ("n3", "b", "c", "feeds")],
                                  "relationship_id string, source_dataset_id string, target_dataset_id string, relationship_type string")
     assert [r.relationship_id for r in catalog.add_relationship(rels, cand).collect()] == ["n3"]
+
+
+def test_append_needs_existing_columns(spark):
+    p = _tmp() + "/t2"
+    sinks.write_table(spark.createDataFrame([(1,)], "k long"), p, "create")
+    with pytest.raises(ValueError):
+        sinks.write_table(spark.createDataFrame([(1, "x")], "k long, extra string"), p, "append")
