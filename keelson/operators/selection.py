@@ -11,8 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.operators.changes import insert_if_absent
-
 C = F.col
 
 
@@ -86,4 +84,4 @@ def recipe_expand(batches: DataFrame, recipe: DataFrame, materials: DataFrame, m
     return out.join(existing, ["batch_id", "material_id"], "left_anti")
 
 
-__all__ = ["fefo_lot_choice", "lateral_top1", "first_numeric_key", "recipe_expand", "insert_if_absent"]
+__all__ = ["fefo_lot_choice", "lateral_top1", "first_numeric_key", "recipe_expand"]
