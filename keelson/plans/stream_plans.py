@@ -1,7 +1,13 @@
 """Structured Streaming queries: each runs a stream over the driver table's file
 (``availableNow`` into parquet under the shared checkpoint folder) and returns the
 result table, so the streaming engine's answers go through the same oracles as
-the batch forms."""
+the batch forms.
+
+The roll-ups here use complete mode with a watermark wider than the data so
+every window is final and comparable with the batch answer.  A long-running
+job uses append mode with a short watermark (the defaults of
+``keelson.streaming.events``), which keeps state bounded: a window is emitted
+once and dropped when the watermark passes its end."""
 
 from __future__ import annotations
 
