@@ -168,3 +168,16 @@ def doc_union(df: DataFrame, other: DataFrame) -> DataFrame:
 def capped_query(df: DataFrame, n: int, order: list) -> DataFrame:
     """cap a query result at ``n`` rows with a stated order (plan-level limit, a top-k)."""
     return df.orderBy(*order).limit(int(n))
+
+
+def doc_lookup_unwind(df: DataFrame, other: DataFrame, local: str, foreign: str, fields: Sequence[str],
+                      preserve_empty: bool = True) -> DataFrame:
+    """D8 + D7: ``$lookup`` followed by ``$unwind`` as one flat join (no per-key arrays).
+
+    With ``preserveNullAndEmptyArrays`` an outer row without matches is kept
+    once with NULL fields (left join), otherwise dropped (inner join).  A key
+    with a huge number of matches stays spread over rows and partitions.
+    """
+    right = other.select(C(foreign).alias("_fk"), *fields)
+    j = df.join(right, C(local) == C("_fk"), "left" if preserve_empty else "inner")
+    return j.drop("_fk")

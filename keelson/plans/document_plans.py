@@ -127,3 +127,12 @@ def q_doc_union(r):
     """D12 $unionWith pages (missing fields NULL)."""
     pages = r.table("pages").select(C("page_id").alias("doc_id"), C("url").alias("source"))
     return D.doc_union(r.table("documents").select(*FIELDS), pages)
+
+
+@query("doc_lookup_unwind", """
+SELECT d.doc_id, d.lang, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
+""")
+def q_doc_lookup_unwind(r):
+    """D8 + D7 $lookup of labels then $unwind (preserving documents without labels)."""
+    return D.doc_lookup_unwind(r.table("documents").select("doc_id", "lang"), r.table("labels"), "doc_id", "doc_id",
+                               ["quality", "toxic"])
