@@ -104,7 +104,10 @@ def resolve_system(df: DataFrame, systems: DataFrame, strict: bool = True) -> Da
     The event's own key/id (else the request's) is matched against the
     registry by key or id, either way round -- as four equi-joins on the
     text of the key and of the id, never one OR join (that would be a nested
-    loop).  First match wins: key=key, id=key, id=id, key=id.  Adds
+    loop).  ``system_key`` and ``system_id`` are each unique in the registry
+    (as its schema requires), so every probe matches at most one row and the
+    event count never changes; AQE broadcasts the registry when it is small.
+    First match wins: key=key, id=key, id=id, key=id.  Adds
     ``system_id``, ``system_key``, ``system_name``, ``registry_validated`` and
     sets ``reject_reason`` for invalid identities and, when ``strict``, for
     unknown systems.
