@@ -40,3 +40,20 @@ def test_round_half_up_double_is_floor_form(spark, xs):
     df = spark.createDataFrame([(x,) for x in xs], "x double")
     for row in df.select("x", round_half_up(df.x, 3).alias("r")).collect():
         assert row.r == math.floor(row.x * 1000.0 + 0.5) / 1000.0
+
+
+KEYS = st.text(alphabet=st.sampled_from(list('ab.$x"\\ ')), min_size=1, max_size=6)
+JSONV = st.recursive(st.one_of(st.integers(), st.floats(allow_nan=False, allow_infinity=False), KEYS),
+                     lambda kids: st.one_of(st.lists(kids, max_size=3), st.dictionaries(KEYS, kids, max_size=3)),
+                     max_leaves=8)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.dictionaries(KEYS, JSONV, max_size=4))
+def test_key_prefilter_never_misses(doc):
+    import json
+    import re
+    from keelson.operators.events import MAYBE_BAD_KEY, _first_bad_key
+    text = json.dumps(doc)
+    if _first_bad_key(text) is not None:
+        assert re.search(MAYBE_BAD_KEY, text)
