@@ -9,6 +9,7 @@ from keelson.functions.numeric import round_ratio
 from keelson.functions.rounding import round_half_up
 
 PAIRS = st.lists(st.tuples(st.integers(-10**9, 10**9), st.integers(1, 10**6)), min_size=1, max_size=300)
+BIG = st.lists(st.tuples(st.integers(-10**24, 10**24), st.integers(1, 10**20)), min_size=1, max_size=100)
 
 
 def _expected(a, b, digits, times):
@@ -25,6 +26,15 @@ def test_round_ratio_is_half_away_from_zero(spark, pairs):
         assert row.r == _expected(row.a, row.b, 2, 100), (row.a, row.b, row.r)
 
 
+@settings(max_examples=5, deadline=None)
+@given(BIG)
+def test_round_ratio_exact_beyond_bigint(spark, pairs):
+    df = spark.createDataFrame([(str(a), str(b)) for a, b in pairs], "a string, b string") \
+        .selectExpr("cast(a as decimal(38,0)) a", "cast(b as decimal(38,0)) b")
+    for row in df.select("a", "b", round_ratio("a", "b", 2, 100).alias("r")).collect():
+        assert row.r == _expected(int(row.a), int(row.b), 2, 100), (row.a, row.b, row.r)
+
+
 def test_round_ratio_ties(spark):
     # 1/8 = 0.125 -> 0.13, -1/8 -> -0.13, 1/200*100 = 0.5 -> 0.5; NULL in, NULL out
     df = spark.createDataFrame([(1, 8, 1), (-1, 8, 1), (1, 200, 100), (None, 3, 1)], "a long, b long, t int")
