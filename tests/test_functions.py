@@ -31,7 +31,7 @@ def test_round_ratio_is_half_away_from_zero(spark, pairs):
 def test_round_ratio_exact_beyond_bigint(spark, pairs):
     df = spark.createDataFrame([(str(a), str(b)) for a, b in pairs], "a string, b string") \
         .selectExpr("cast(a as decimal(38,0)) a", "cast(b as decimal(38,0)) b")
-    for row in df.select("a", "b", round_ratio("a", "b", 2, 100).alias("r")).collect():
+    for row in df.select("a", "b", round_ratio("a", "b", 2, 100, wide=True).alias("r")).collect():
         assert row.r == _expected(int(row.a), int(row.b), 2, 100), (row.a, row.b, row.r)
 
 
