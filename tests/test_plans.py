@@ -32,3 +32,16 @@ def test_role_filters_reach_the_scan(spark):
     plan = QUERIES["deviation_summary"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(l_returnflag), EqualTo(l_returnflag,R)" in plan
     assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint" in plan
+
+
+@pytest.mark.parametrize("name", ["fefo_lot_choice", "lateral_top1", "dedupe_events", "recipe_expand"])
+def test_top1_is_a_partial_aggregate_not_a_window(spark, name):
+    plan = QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "partial_min" in plan  # reduced map-side, before any shuffle
+    assert "Window" not in plan
+
+
+@pytest.mark.parametrize("name", ["batch_kpis", "batch_process_summary"])
+def test_distinct_counts_without_expand(spark, name):
+    plan = QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and "count(distinct" not in plan.lower()
