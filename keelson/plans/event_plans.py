@@ -192,7 +192,7 @@ def q_windowed_rollup(r):
     return events.windowed_rollup(r.table("events"), "ts", ["event_type"], "value", "1 hour")
 
 
-@query("session_rollup", """
+SESSION_SQL = """
 WITH o AS (SELECT user_id, ts, value,
                   CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL
                          OR ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 30 MINUTE
@@ -201,7 +201,10 @@ s AS (SELECT *, SUM(new_session) OVER (PARTITION BY user_id ORDER BY ts ROWS UNB
 SELECT min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, user_id, COUNT(*) AS events,
        CAST(SUM(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS value_sum
 FROM s GROUP BY user_id, sid
-""")
+"""
+
+
+@query("session_rollup", SESSION_SQL)
 def q_session_rollup(r):
     """E9 30-minute session windows per user."""
     return events.session_rollup(r.table("events"), "ts", ["user_id"], "value", "30 minutes")

@@ -28,6 +28,13 @@ def q_windowed_rollup_stream(r):
     return S.run_to_table(out, "windowed_rollup_stream", mode="complete")
 
 
+@query("session_rollup_stream", event_plans.SESSION_SQL)
+def q_session_rollup_stream(r):
+    """E9 30-minute session windows per user computed by Structured Streaming."""
+    out = S.session_rollup_stream(r.stream("events"), "30 minutes", WIDE)
+    return S.run_to_table(out, "session_rollup_stream", mode="complete")
+
+
 @query("dedupe_events_stream", """
 SELECT DISTINCT user_id, event_type, props FROM events
 """)

@@ -13,8 +13,8 @@ ONE_ROW_CROSS = {"baseline_status", "before_after", "chart_scale", "paginate", "
 # Queries that run the E4 key walk (the one Arrow-batched Python UDF).
 ARROW_PYTHON = {"validate_keys", "ingest_batch", "events_per_system", "ingest_stream"}
 # Queries that execute a stream or write a file while being built.
-EAGER = {"csv_source", "windowed_rollup_stream", "dedupe_events_stream", "grid_snapshot_stream", "ingest_stream",
-         "ledger_cycle"}
+EAGER = {"csv_source", "windowed_rollup_stream", "session_rollup_stream", "dedupe_events_stream",
+         "grid_snapshot_stream", "ingest_stream", "ledger_cycle"}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - EAGER))
