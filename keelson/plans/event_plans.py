@@ -234,3 +234,16 @@ def q_events_per_system(r):
     x = events.ingest(r.ingest_events, r.systems, _now()).where(C("reject_reason").isNull())
     out = x.select("collection", F.to_date("timestamp").alias("event_date"), "system_key", "timestamp", "event_id")
     return out.repartition("collection", "event_date").sortWithinPartitions("system_key", C("timestamp").desc())
+
+
+@query("sliding_rollup", """
+WITH w AS (SELECT time_bucket(INTERVAL 30 MINUTE, ts) AS window_start, event_type, value FROM events
+           UNION ALL
+           SELECT time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE, event_type, value FROM events)
+SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, event_type, COUNT(*) AS events,
+       CAST(SUM(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS value_sum, max(value) AS value_max
+FROM w GROUP BY 1, 2, 3
+""")
+def q_sliding_rollup(r):
+    """E9 sliding windows: one hour long, every 30 minutes, per event type."""
+    return events.windowed_rollup(r.table("events"), "ts", ["event_type"], "value", "1 hour", slide="30 minutes")
