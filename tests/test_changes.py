@@ -123,3 +123,21 @@ def test_apply_changes_rules(spark):
     assert audit[5] == ("rejected", "Row already exists.") and audit[6] == ("applied", None)
     assert audit[7] == ("rejected", "Complete primary key values are required.")
     assert _sorted(out["state"]) == [(1, "A2", "x"), (2, "b", "y"), (3, "c", None)]
+
+
+def test_check_constraints_null_semantics(spark):
+    lots = spark.createDataFrame([("L1",), ("L2",)], "lot_id string")
+    w = spark.createDataFrame([(1, "r1", "L1", "ready", None, Decimal("1.0000")),
+                               (2, "r1", None, None, False, Decimal("-1.0000")),
+                               (3, None, "L9", "weighed", False, None),
+                               (4, None, "L2", "weighed", None, Decimal("2.0000"))],
+                              "id long, reservation_id string, lot_id string, status string, tare boolean, "
+                              "qty decimal(18,4)")
+    out = changes.check_constraints(
+        w, "id", not_null=["status"], enums={"status": ["ready", "weighed"]}, non_negative=["qty"],
+        unique=[["reservation_id"]], foreign={"lot_id": (lots, "lot_id")},
+        rules={"tare_rule": F.col("status").isin("ready") | F.col("tare")})
+    got = sorted((r.constraint_name, r.row_key) for r in out.collect())
+    assert got == [("lot_id_fkey", "3"), ("qty_non_negative", "2"), ("reservation_id_unique", "1"),
+                   ("reservation_id_unique", "2"), ("status_not_null", "2"), ("tare_rule", "3")]
+    # NULL status passes the enum CHECK, NULL lot passes the FK, row 4's NULL tare makes the rule NULL -> passes
