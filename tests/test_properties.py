@@ -71,3 +71,19 @@ def test_rebuild_staged(spark):
     base = spark.createDataFrame([("c1", "A", 9.0), ("c4", "A", 4.0)], "container_id string, hazard string, qty double")
     out = baseline.rebuild_staged(live, base, F.col("hazard") == "A")
     assert _rows(out) == [("c1", "A", 9.0), ("c2", "B", 2.0), ("c3", None, 3.0), ("c4", "A", 4.0)]
+
+
+def test_binding_ids_are_primary_keys(spark):
+    from keelson.operators.changes import duplicate_keys
+    r = Roles(spark, SF_SMALL)
+    for role, key in [("process_runs", "process_run_id"), ("deviations", "deviation_id"),
+                      ("quality_results", "quality_result_id"), ("material_lots", "material_lot_id"),
+                      ("batches", "batch_id")]:
+        assert duplicate_keys(r[role], key).count() == 0, role
+
+
+def test_unique_ids_mode_equals_exact_mode(spark):
+    from keelson.operators import kpi
+    r = Roles(spark, SF_SMALL)
+    args = (r.batches, r.production_orders, r.products, r.process_runs, r.deviations, r.quality_results)
+    assert _rows(kpi.batch_kpis(*args, unique_ids=True)) == _rows(kpi.batch_kpis(*args))
