@@ -73,6 +73,7 @@ def grid_snapshot(metrics: DataFrame, tick: str = "1 hour") -> DataFrame:
         F.count("fault_code").alias("fault_count"),
         F.max("breaker_utilization_pct").alias("_brk"))
     return g.select(
-        C("tick.start").alias("tick_start"), C("tick.end").alias("tick_end"), "asset_count",
+        C("tick.start").cast("timestamp_ntz").alias("tick_start"), C("tick.end").cast("timestamp_ntz").alias("tick_end"),
+        "asset_count",
         F.round(C("_load"), 3).cast("double").alias("total_load_kw"), "fault_count",
         F.coalesce(round_half_up(C("_brk"), 3), F.lit(0.0)).alias("max_breaker_utilization_pct"))

@@ -3,7 +3,7 @@
 import pytest
 
 from keelson.plans.registry import load_all
-from tools.oracle_check import rows_of
+from tools.oracle_check import rows_of, type_mismatches
 
 from .conftest import SF_SMALL
 
@@ -20,6 +20,7 @@ def test_query_matches_oracle(spark, duck, name):
     assert sorted(s_cols) == sorted(d_cols)
     assert len(s_rows) == len(d_rows)
     assert rows_of(s_cols, s_rows) == rows_of(d_cols, d_rows)
+    assert type_mismatches(df, duck.sql(ORACLES[name])) == []
 
 
 def test_every_query_has_an_oracle():
