@@ -141,3 +141,15 @@ def test_check_constraints_null_semantics(spark):
     assert got == [("lot_id_fkey", "3"), ("qty_non_negative", "2"), ("reservation_id_unique", "1"),
                    ("reservation_id_unique", "2"), ("status_not_null", "2"), ("tare_rule", "3")]
     # NULL status passes the enum CHECK, NULL lot passes the FK, row 4's NULL tare makes the rule NULL -> passes
+
+
+def test_running_total_chunked_equals_window(spark):
+    from pyspark.sql import Window
+    base = dt.datetime(2024, 1, 1)
+    rows = [("hot", base + dt.timedelta(hours=7 * i), f"l{i:04d}", Decimal(i % 5 + 1)) for i in range(300)]
+    rows += [("cold", base + dt.timedelta(hours=3), "c1", Decimal(2)), ("cold", base + dt.timedelta(hours=3), "c0", Decimal(4))]
+    df = spark.createDataFrame(rows, "lot string, ts timestamp, id string, q decimal(18,4)")
+    got = {r.id: r.running_total for r in ledger.running_total(df, "lot", "ts", "id", "q").collect()}
+    w = Window.partitionBy("lot").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
+    want = {r.id: r.rt for r in df.withColumn("rt", F.sum("q").over(w)).collect()}
+    assert got == want and got["c1"] == Decimal(6)
