@@ -233,7 +233,8 @@ def q_events_per_system(r):
     """E8 stored events laid out per collection and day, sorted by (system, time desc) inside each partition."""
     x = events.ingest(r.ingest_events, r.systems, _now()).where(C("reject_reason").isNull())
     out = x.select("collection", F.to_date("timestamp").alias("event_date"), "system_key", "timestamp", "event_id")
-    return out.repartition("collection", "event_date").sortWithinPartitions("system_key", C("timestamp").desc())
+    return (out.repartitionByRange("collection", "event_date", "system_key", C("timestamp").desc())
+            .sortWithinPartitions("collection", "event_date", "system_key", C("timestamp").desc()))
 
 
 @query("sliding_rollup", """
