@@ -70,13 +70,28 @@ def csv_lines(df: DataFrame) -> DataFrame:
     return flat.select(F.concat_ws(",", *cells).alias("value"))
 
 
-def export_csv(df: DataFrame, path: str) -> None:
-    """Header plus quoted lines, written as text (so NULL and '' stay distinct)."""
-    spark = df.sparkSession
+def export_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
+    """Quoted lines written as text (so NULL and '' stay distinct), a header on every file.
+
+    Files are written in parallel, one per partition, each starting with the
+    header (prepended per partition in Arrow batches); ``single_file=True``
+    funnels a small result through one task into one file.
+    """
     header = ",".join('"' + c.replace('"', '""') + '"' for c in df.columns)
-    head = spark.createDataFrame([(header, 0)], "value string, _o int")
-    body = csv_lines(df).withColumn("_o", F.lit(1))
-    head.unionByName(body).coalesce(1).sortWithinPartitions("_o").drop("_o").write.mode("errorifexists").text(path)
+    lines = csv_lines(df)
+    if single_file:
+        lines = lines.coalesce(1)
+
+    def with_header(batches):
+        import pandas as pd
+        first = True
+        for pdf in batches:
+            if first and len(pdf):
+                yield pd.DataFrame({"value": [header]})
+                first = False
+            yield pdf
+
+    lines.mapInPandas(with_header, "value string").write.mode("errorifexists").text(path)
 
 
 def export_json(df: DataFrame, path: str) -> None:
