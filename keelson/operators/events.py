@@ -102,11 +102,11 @@ def resolve_system(df: DataFrame, systems: DataFrame, strict: bool = True) -> Da
     """Canonical system identity for each event.
 
     The event's own key/id (else the request's) is matched against the
-    registry by key or id, either way round -- as four equi-joins on the
-    text of the key and of the id, never one OR join (that would be a nested
-    loop).  ``system_key`` and ``system_id`` are each unique in the registry
-    (as its schema requires), so every probe matches at most one row and the
-    event count never changes; AQE broadcasts the registry when it is small.
+    registry by key or id, either way round, never as one OR join (that would
+    be a nested loop).  The registry is reduced to two lookups with one row
+    per value -- for probing with a key (key=key before id=key) and with an
+    id (id=id before key=id) -- so each event takes two equi-joins that can
+    never fan out; AQE broadcasts the lookups when they are small.
     First match wins: key=key, id=key, id=id, key=id.  Adds
     ``system_id``, ``system_key``, ``system_name``, ``registry_validated`` and
     sets ``reject_reason`` for invalid identities and, when ``strict``, for
@@ -115,14 +115,21 @@ def resolve_system(df: DataFrame, systems: DataFrame, strict: bool = True) -> Da
     own_key = safe_identity(F.coalesce(C("system_key"), C("batch_system_key")))
     own_id = safe_identity(F.coalesce(C("system_id"), C("batch_system_id")))
     ev = df.withColumn("_key", own_key).withColumn("_id", own_id)
-    reg = systems.select(C("system_key").cast("string").alias("_rk"), C("system_id").cast("string").alias("_ri"),
-                         C("system_name").cast("string").alias("_rn"))
-    probes = [("_key", "_rk", 1), ("_key", "_ri", 2), ("_id", "_ri", 3), ("_id", "_rk", 4)]
-    for probe, reg_col, n in probes:
-        side = reg.select(C(reg_col).alias(f"_p{n}"), F.struct(C("_ri").alias("id"), C("_rk").alias("key"),
-                                                               C("_rn").alias("name")).alias(f"_m{n}"))
-        ev = ev.join(side, C(probe) == C(f"_p{n}"), "left").drop(f"_p{n}")
-    match = F.coalesce(C("_m1"), C("_m2"), C("_m3"), C("_m4"))
+    sysrow = F.struct(C("system_id").cast("string").alias("id"), C("system_key").cast("string").alias("key"),
+                      C("system_name").cast("string").alias("name"))
+    by_key = systems.select(C("system_key").cast("string").alias("_v"), sysrow.alias("_s"))
+    by_id = systems.select(C("system_id").cast("string").alias("_v"), sysrow.alias("_s"))
+
+    def lookup(first, second, n):
+        # one row per probe value: the first-priority match, else the second
+        rows = (first.withColumn("_rank", F.lit(1)).unionByName(second.withColumn("_rank", F.lit(2)))
+                .where(C("_v").isNotNull()))
+        best = rows.groupBy("_v").agg(F.min(F.struct("_rank", "_s")).alias("_b"))
+        return best.select(C("_v").alias(f"_p{n}"), C("_b._s").alias(f"_m{n}"))
+
+    ev = (ev.join(lookup(by_key, by_id, 1), C("_key") == C("_p1"), "left").drop("_p1")   # key=key, then id=key
+          .join(lookup(by_id, by_key, 2), C("_id") == C("_p2"), "left").drop("_p2"))     # id=id, then key=id
+    match = F.coalesce(C("_m1"), C("_m2"))
     valid_ident = identity_ok(C("_key")) & identity_ok(C("_id"))
     has_ident = C("_key").isNotNull() | C("_id").isNotNull()
     found = match.isNotNull()
@@ -140,7 +147,7 @@ def resolve_system(df: DataFrame, systems: DataFrame, strict: bool = True) -> Da
            .withColumn("system_key", res_key).withColumn("system_name", res_name)
            .withColumn("registry_validated", found)
            .withColumn("reject_reason", F.coalesce(prior, reason)))
-    return out.drop("_key", "_id", "_match", "_m1", "_m2", "_m3", "_m4")
+    return out.drop("_key", "_id", "_match", "_m1", "_m2")
 
 
 def normalize_ts(df: DataFrame, now: Column) -> DataFrame:
