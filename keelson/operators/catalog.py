@@ -89,16 +89,17 @@ def add_relationship(existing: DataFrame, candidates: DataFrame) -> DataFrame:
 def system_lens(lens: DataFrame, systems: DataFrame, datasets: DataFrame) -> DataFrame:
     """K9: a lens value (system id or key) resolved to its system, with its dataset count.
 
-    Two equi-joins (by id text, by key) and a coalesce -- not an OR join.
+    The registry becomes one lookup with one row per value (a match by id
+    ranks before a match by key), so each lens value takes a single
+    equi-join that cannot fan out -- not an OR join.
     """
-    by_id = systems.select(C("system_id").cast("string").alias("_v1"),
-                           F.struct("system_id", "system_key", "system_name").alias("_s1"))
-    by_key = systems.select(C("system_key").cast("string").alias("_v2"),
-                            F.struct("system_id", "system_key", "system_name").alias("_s2"))
-    j = (lens.join(by_id, C("lens_value") == C("_v1"), "left")
-         .join(by_key, C("lens_value") == C("_v2"), "left"))
-    s = F.coalesce(C("_s1"), C("_s2"))
-    res = j.select("lens_value", s.alias("_s"))
+    sysrow = F.struct("system_id", "system_key", "system_name")
+    rows = (systems.select(C("system_id").cast("string").alias("_v"), F.lit(1).alias("_rank"), sysrow.alias("_s"))
+            .unionByName(systems.select(C("system_key").cast("string").alias("_v"), F.lit(2).alias("_rank"),
+                                        sysrow.alias("_s")))
+            .where(C("_v").isNotNull()))
+    lookup = rows.groupBy("_v").agg(F.min(F.struct("_rank", "_s")).alias("_b")).select("_v", C("_b._s").alias("_s"))
+    res = lens.join(lookup, C("lens_value") == C("_v"), "left")
     counts = datasets.groupBy("system_id").agg(F.count(F.lit(1)).alias("datasets"))
     out = res.select("lens_value", C("_s.system_id").alias("system_id"), C("_s.system_key").alias("system_key"),
                      F.coalesce(C("_s.system_name"), C("lens_value")).alias("system_name"))
