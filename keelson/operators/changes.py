@@ -46,16 +46,19 @@ def duplicate_keys(df: DataFrame, key) -> DataFrame:
 
 
 def upsert(target: DataFrame, source: DataFrame, key, update_cols: Sequence[str] | None = None,
-           keep_first: Iterable[str] = ()) -> DataFrame:
+           keep_first: Iterable[str] = (), check_unique: bool = False) -> DataFrame:
     """INSERT ... ON CONFLICT (key) DO UPDATE SET col = EXCLUDED.col.
 
     ``update_cols`` (default: every non-key column) take the source value when
     the key matches; ``keep_first`` columns keep an existing non-null value
     (``COALESCE(existing, new)``); other columns keep the target value.  New
-    keys are inserted with the source row.  The source must be unique per key
-    (see ``duplicate_keys``).
+    keys are inserted with the source row.  The source must be unique per key;
+    ``check_unique=True`` verifies it first (one aggregate over the source)
+    and raises, as the database does when a row would be updated twice.
     """
     k = _keys(key)
+    if check_unique and duplicate_keys(source, k).limit(1).count() > 0:
+        raise ValueError("upsert source has more than one row for a key")
     cols = [c for c in target.columns if c not in k]
     update_cols = [c for c in (update_cols if update_cols is not None else cols) if c in source.columns]
     keep_first = set(keep_first)

@@ -153,3 +153,11 @@ def test_running_total_chunked_equals_window(spark):
     w = Window.partitionBy("lot").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
     want = {r.id: r.rt for r in df.withColumn("rt", F.sum("q").over(w)).collect()}
     assert got == want and got["c1"] == Decimal(6)
+
+
+def test_upsert_refuses_duplicate_source_keys(spark):
+    import pytest
+    t = spark.createDataFrame([(1, "a")], "k long, v string")
+    s = spark.createDataFrame([(2, "x"), (2, "y")], "k long, v string")
+    with pytest.raises(ValueError):
+        changes.upsert(t, s, "k", check_unique=True)
