@@ -373,8 +373,19 @@ _COUNTED = [("pharma.products", "products"), ("pharma.materials", "materials"),
 @query("row_counts", "\nUNION ALL ".join(
     f"SELECT '{label}' AS object_name, COUNT(*) AS row_count FROM {role}" for label, role in _COUNTED))
 def q_row_counts(r):
-    """V14 row count per model table."""
-    return kpi.row_counts({label: r[role] for label, role in _COUNTED})
+    """V14 row count per model table, one scan per driver table (roles are filtered views)."""
+    from pyspark.sql import functions as F
+    from keelson.plans.roles import ROLES
+    by_source: dict = {}
+    separate = {}
+    for label, role in _COUNTED:
+        spec = ROLES[role]
+        if spec.distinct or spec.prelude:  # not a plain filtered view: count it on its own
+            separate[label] = r[role]
+            continue
+        by_source.setdefault(spec.source, {})[label] = F.expr(spec.where) if spec.where else F.lit(True)
+    out = kpi.row_counts_shared_scan([(r.table(src), counted) for src, counted in by_source.items()])
+    return out.unionByName(kpi.row_counts(separate)) if separate else out
 
 
 @query("lots_per_material", """
