@@ -45,3 +45,8 @@ def test_top1_is_a_partial_aggregate_not_a_window(spark, name):
 def test_distinct_counts_without_expand(spark, name):
     plan = QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "Expand" not in plan and "count(distinct" not in plan.lower()
+
+
+def test_row_counts_scan_each_source_once(spark):
+    plan = QUERIES["row_counts"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 5  # part, customer, orders, lineitem, supplier
