@@ -52,3 +52,11 @@ def test_rejects_and_counts(spark):
     assert "big: invalid BIGINT" in r[3]  # over 64 bits
     row = acc.collect()[0]
     assert row.id == 6 and row.ok is None and row.big is None  # blank -> NULL, not a reject
+
+
+def test_line_numbers_are_consecutive_across_partitions(spark):
+    df = spark.range(0, 1000, numPartitions=7).withColumnRenamed("id", "v")
+    out = csv.with_line_numbers(df).collect()
+    nums = sorted(r.row_number for r in out)
+    assert nums == list(range(2, 1002))  # first data line is 2
+    assert all(r.row_number == r.v + 2 for r in out)  # follows the frame's order
