@@ -126,3 +126,73 @@ def op6_quality_rules(spark, sf_dir):
     from .quality_rules import apply_rules
     return apply_rules(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+OP7_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP7_SQL = f"""
+WITH d AS (SELECT doc_id, {words_sql(LOWER.format('text'), OP7_WORDS)} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {words_sql(LOWER.format('text'), OP7_WORDS)} AS w FROM benchmark),
+bw AS (
+  SELECT DISTINCT item_id, array_to_string(w[i:i + 9], ' ') AS g, CAST(least(len(w), 10) AS INTEGER) AS n
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+lens AS (SELECT DISTINCT n FROM bw),
+dw AS (
+  SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, lens)),
+m AS (SELECT dw.doc_id, dw.i, bw.n, bw.item_id FROM dw JOIN bw ON bw.g = dw.g AND bw.n = dw.n),
+hit AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM m)) GROUP BY doc_id),
+it AS (
+  SELECT doc_id, count(*) AS n_items, sha256(string_agg(item_id, ',' ORDER BY item_id)) AS items_sha256
+  FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(hit.n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(it.n_items, 0) AS BIGINT) AS n_items, coalesce(it.items_sha256, sha256('')) AS items_sha256,
+       coalesce(hit.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_id
+"""
+
+
+@query("op7_decontamination", OP7_SQL)
+def op7_decontamination(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from .decontam import decontaminate
+    out = decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items",
+                      F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+@query("op5_token_rollup")
+def op5_token_rollup(spark, sf_dir):
+    """Totals after four batches over all documents: load, counts revised to include the end token, removal of
+    the documents without tokens, and the load again (already committed, so it adds nothing)."""
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from keelson.session import scratch_path
+
+    from . import token_rollup as R
+    from .text import stored
+    counts = stored(R.count_tokens(documents(spark, sf_dir)), "token-counts")
+    path = scratch_path(spark, f"token-totals-{uuid.uuid4().hex}")
+    revised = counts.withColumn("old_tokens", F.col("n_tokens")).withColumn("n_tokens", F.col("n_tokens") + 1)
+    R.commit(R.inserts(counts), path, "load")
+    R.commit(R.revisions(revised), path, "end-token")
+    R.commit(R.deletes(revised.where(F.col("old_tokens") == 0)), path, "blank")
+    R.commit(R.inserts(counts), path, "load")
+    return R.totals(spark, path)
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark, sf_dir):
+    from .toxicity import toxicity
+    return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query("op10_token_output")
+def op10_token_output(spark, sf_dir):
+    from .token_output import token_output
+    return token_output(documents(spark, sf_dir))

@@ -47,6 +47,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_side(df: DataFrame, most_rows: int) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most_rows`` rows, else as it is (a shuffle join)."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
 # ---- vectorised word hashes -------------------------------------------------------
 CHUNK = 1 << 20                     # bytes of text hashed at once; a longer text is a chunk of its own
 _R, _Q = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
