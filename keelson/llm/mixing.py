@@ -69,7 +69,8 @@ def queue(docs: DataFrame, seed: str = "mix", weights=WEIGHTS, share: float = 1.
     d = pick(docs, doc_id="long", source="string", text="string").select(
         "doc_id", "source", word_count(F.col("text")).alias("size"),
         F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key"))
-    d = cut_lineage(d.withColumn("slice", (F.conv(F.substring("key", 1, 8), 16, 10).cast("long") % slices)
+    # slices of the key in its own order
+    d = cut_lineage(d.withColumn("slice", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * slices / 2.0**32)
                                  .cast("int")))
     parts = d.groupBy("source", "slice").agg(F.sum("size").alias("part"))
     targets = source_targets(parts.groupBy("source").agg(F.sum("part").alias("source_size")),

@@ -196,3 +196,30 @@ def op9_toxicity(spark, sf_dir):
 def op10_token_output(spark, sf_dir):
     from .token_output import token_output
     return token_output(documents(spark, sf_dir))
+
+
+OP8_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {words_sql(LOWER.format('text'))} AS w FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, unnest(CASE
+      WHEN len(w) > 2 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))
+      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g
+  FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id),
+link AS (
+  SELECT u, v FROM shared JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach(a, b) AS (
+  SELECT doc_id, doc_id FROM d UNION SELECT reach.a, link.v FROM reach JOIN link ON link.u = reach.b),
+comp AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM d JOIN comp ON comp.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+
+@query("op8_near_dedup", OP8_SQL)
+def op8_near_dedup(spark, sf_dir):
+    from .near_dedup import near_duplicates
+    return near_duplicates(documents(spark, sf_dir))
