@@ -223,3 +223,28 @@ FROM d JOIN comp ON comp.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 def op8_near_dedup(spark, sf_dir):
     from .near_dedup import near_duplicates
     return near_duplicates(documents(spark, sf_dir))
+
+
+OP1_SQL = f"""
+WITH d AS (SELECT doc_id, {words_sql('text')} AS w FROM documents),
+win AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+twice AS (SELECT g FROM win GROUP BY g HAVING count(*) > 1),
+gone AS (
+  SELECT DISTINCT doc_id, p FROM (
+    SELECT doc_id, unnest(range(i, i + 35)) AS p FROM win WHERE g IN (SELECT g FROM twice))),
+placed AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (
+  SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n
+  FROM placed ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(kept.n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op1_substring_dedup", OP1_SQL)
+def op1_substring_dedup(spark, sf_dir):
+    from .substring_dedup import remove_repeats
+    return remove_repeats(documents(spark, sf_dir))
