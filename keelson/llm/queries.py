@@ -248,3 +248,9 @@ FROM d LEFT JOIN kept USING (doc_id)
 def op1_substring_dedup(spark, sf_dir):
     from .substring_dedup import remove_repeats
     return remove_repeats(documents(spark, sf_dir))
+
+
+@query("op2_lm_scoring")
+def op2_lm_scoring(spark, sf_dir):
+    from .lm_scoring import lm_scores
+    return lm_scores(documents(spark, sf_dir))
