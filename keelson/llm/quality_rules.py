@@ -58,7 +58,12 @@ def add_window_repeats(d: DataFrame, hashes: str, out: str, n: int = 8) -> DataF
 
 def measures(docs: DataFrame) -> DataFrame:
     """doc_id and every measure, one row per input row; a null text measures like an empty one."""
-    d = pick(docs, doc_id="long", text="string").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    return _measured(pick(docs, doc_id="long", text="string"), ["doc_id"])
+
+
+def _measured(d: DataFrame, carry: list[str]) -> DataFrame:
+    """``carry`` columns and every measure of the ``text`` column."""
+    d = d.select(*carry, F.coalesce("text", F.lit("")).alias("t"))
     d = d.withColumn("w", words(F.col("t")))
     lines = F.filter(F.split("t", "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0)
     chars = F.length(F.translate("t", SPACES, ""))
@@ -66,7 +71,7 @@ def measures(docs: DataFrame) -> DataFrame:
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     d = d.withColumn("ln", lines).withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
     d = add_window_repeats(d, "h", "repeated").select(
-        "doc_id", count.cast("long").alias("n_words"), chars.cast("long").alias("word_chars"),
+        *carry, count.cast("long").alias("n_words"), chars.cast("long").alias("word_chars"),
         (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("ln") - F.size(F.array_distinct("ln"))).cast("long").alias("n_dup_lines"),
         F.col("repeated").cast("long").alias("n_repeat_words"),
@@ -77,7 +82,7 @@ def measures(docs: DataFrame) -> DataFrame:
                                  F.array(*[F.lit(x) for x in STOP_WORDS]))).alias("n_stops"))
     n = F.col("n_words")
     return d.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        *carry, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         ratio(F.col("n_repeat_words"), n).alias("repeat_ratio"),
         ratio(F.col("word_chars"), n).alias("mean_word_chars"),
         ratio(F.col("n_symbols"), F.col("word_chars")).alias("symbol_ratio"),
@@ -107,8 +112,27 @@ def apply_rules(docs: DataFrame, rules=RULES) -> DataFrame:
     Null and empty texts have no words and fail the length rule.  Long texts are read
     whole.  Repeated rows each get their verdict; extra columns are ignored.
     """
+    return judged(pick(docs, doc_id="long", text="string"), rules).drop("text")
+
+
+def judged(d: DataFrame, rules=RULES) -> DataFrame:
+    """All columns of ``d`` but ``text``, with the measures and verdicts of ``text`` beside them."""
     failed, kept = compile_rules(rules)
     base = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
-    return (measures(docs).withColumn("base_failed", base).withColumn("_ok", kept)
-            .withColumn("failed_rules", F.array_join(failed, ","))
+    return (_measured(d, [c for c in d.columns if c != "text"]).withColumn("base_failed", base)
+            .withColumn("_ok", kept).withColumn("failed_rules", F.array_join(failed, ","))
             .withColumn("kept", F.col("_ok") & ~F.col("base_failed")).drop("_ok"))
+
+
+def keep_good(docs: DataFrame, rules=RULES) -> DataFrame:
+    """``docs`` without the rows that ``apply_rules`` rejects; all columns and repeated rows stay.
+
+    The verdict is computed beside the row it belongs to, so nothing is joined back.
+    """
+    names = docs.columns
+    carried = docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`text`").cast("string").alias("text"),
+                          F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
+    # The verdict passes through a generator of one row: a filter directly on it would be pushed below
+    # the measures, with a copy of their whole expression tree for every use of a column.
+    seen = judged(carried, rules).select("_row", F.explode(F.array(F.col("kept") & (F.rand(0) >= 0))).alias("kept"))
+    return seen.where("kept").select(*[F.col("_row")[c].alias(c) for c in names])
