@@ -6,15 +6,18 @@ read).  Joins are arranged so the big table is shuffled once at most:
 
 * keyed updates join the table to the change set (``left``): AQE broadcasts
   the change set when its measured size is small, else sort-merge;
-* inserts test only the table's key column (``left_anti``), so the whole
-  table is never shuffled just to find new keys.
+* inserts test only the table's key column (``left_anti``).
+
+Keys compare null-safely (two NULL key parts are the same key), and a change
+set is reduced to one row per key before it meets the table, so applying it
+never adds rows and applying it twice changes nothing more.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 C = F.col
@@ -24,19 +27,28 @@ def _keys(key) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
+def same_key(left: DataFrame, keys: Sequence[str], prefix: str) -> Column:
+    """Null-safe equality of ``left``'s keys with the columns ``prefix + key``."""
+    cond = F.lit(True)
+    for c in keys:
+        cond = cond & left[c].eqNullSafe(C(prefix + c))
+    return cond
+
+
 def absent(candidates: DataFrame, existing: DataFrame, key) -> DataFrame:
-    """Rows of ``candidates`` whose key is not in ``existing`` (NOT EXISTS), for a batch against a big table.
+    """Rows of ``candidates`` whose key is not in ``existing`` (NOT EXISTS); NULL key parts match NULL."""
+    k = _keys(key)
+    keys = existing.select(*[C(c).alias(f"_has_{c}") for c in k])
+    return candidates.join(keys, same_key(candidates, k, "_has_"), "left_anti")
 
-    A plain ``left_anti`` can only broadcast ``existing``.  Here the keys of
-    ``existing`` that the batch touches are found first with ``existing`` as
-    the streamed side of a semi-join (the batch keys are the build side, which
-    AQE broadcasts when the batch is small), so the big table is scanned but
-    not shuffled; the anti-join then runs between two batch-sized frames.
-    """
+
+def one_per_key(df: DataFrame, key) -> DataFrame:
+    """One row per key: the smallest by its other columns, in their order."""
     k = _keys(key)
-    batch_keys = candidates.select(*k).distinct()
-    present = existing.select(*k).join(batch_keys, k, "left_semi").distinct()
-    return candidates.join(present, k, "left_anti")
+    others = [c for c in df.columns if c not in k]
+    if not others:
+        return df.dropDuplicates(k)
+    return df.groupBy(*k).agg(F.min(F.struct(*others)).alias("_row")).select(*k, "_row.*").select(*df.columns)
 
 
 def duplicate_keys(df: DataFrame, key) -> DataFrame:
@@ -46,25 +58,27 @@ def duplicate_keys(df: DataFrame, key) -> DataFrame:
 
 
 def upsert(target: DataFrame, source: DataFrame, key, update_cols: Sequence[str] | None = None,
-           keep_first: Iterable[str] = (), check_unique: bool = False) -> DataFrame:
+           keep_first: Iterable[str] = (), check_unique: bool = True) -> DataFrame:
     """INSERT ... ON CONFLICT (key) DO UPDATE SET col = EXCLUDED.col.
 
     ``update_cols`` (default: every non-key column) take the source value when
     the key matches; ``keep_first`` columns keep an existing non-null value
     (``COALESCE(existing, new)``); other columns keep the target value.  New
-    keys are inserted with the source row.  The source must be unique per key;
-    ``check_unique=True`` verifies it first (one aggregate over the source)
-    and raises, as the database does when a row would be updated twice.
+    keys are inserted with the source row.  The source must be unique per key:
+    this is verified first (one aggregate over the source) and raises, as the
+    database does when a row would be updated twice.  ``check_unique=False``
+    reduces it with ``one_per_key`` instead.
     """
     k = _keys(key)
-    if check_unique and duplicate_keys(source, k).limit(1).count() > 0:
+    if not check_unique:
+        source = one_per_key(source, k)
+    elif not duplicate_keys(source, k).isEmpty():
         raise ValueError("upsert source has more than one row for a key")
     cols = [c for c in target.columns if c not in k]
     update_cols = [c for c in (update_cols if update_cols is not None else cols) if c in source.columns]
     keep_first = set(keep_first)
-    src = source.select(*k, *[C(c).alias(f"_src_{c}") for c in source.columns if c not in k],
-                        F.lit(True).alias("_src_hit"))
-    j = target.join(src, k, "left")
+    src = source.select(*[C(c).alias(f"_src_{c}") for c in source.columns], F.lit(True).alias("_src_hit"))
+    j = target.join(src, same_key(target, k, "_src_"), "left")
     out = []
     for c in cols:
         s = f"_src_{c}"
@@ -87,13 +101,7 @@ def insert_if_absent(target: DataFrame, candidates: DataFrame, key) -> DataFrame
     Candidates are first made unique per key (the first insert wins in the
     reference; here the smallest row, deterministic).
     """
-    k = _keys(key)
-    others = [c for c in candidates.columns if c not in k]
-    if others:
-        firsts = candidates.groupBy(*k).agg(F.min(F.struct(*others)).alias("_r")).select(*k, "_r.*")
-    else:
-        firsts = candidates.dropDuplicates(k)
-    return absent(firsts, target, k).select(*candidates.columns)
+    return absent(one_per_key(candidates, key), target, key).select(*candidates.columns)
 
 
 def insert_if_absent_state(target: DataFrame, candidates: DataFrame, key) -> DataFrame:
@@ -105,12 +113,15 @@ def update_from(target: DataFrame, source: DataFrame, key, set_cols: dict[str, s
     """UPDATE target SET c = s.c FROM source WHERE key matches AND c IS DISTINCT FROM s.c.
 
     Returns the new state plus a boolean ``changed`` column (sum it for the
-    changed-row count the reference reports).
+    changed-row count the reference reports).  Several source rows for a key
+    count as the smallest of them (``one_per_key``).
     """
     k = _keys(key)
     mapping = dict(set_cols) if isinstance(set_cols, dict) else {c: c for c in set_cols}
-    src = source.select(*k, *[C(s).alias(f"_new_{t}") for t, s in mapping.items()], F.lit(True).alias("_hit"))
-    j = target.join(src, k, "left")
+    src = source.select(*[C(c).alias(f"_key_{c}") for c in k],
+                        *[C(s).alias(f"_new_{t}") for t, s in mapping.items()])
+    src = one_per_key(src, [f"_key_{c}" for c in k]).withColumn("_hit", F.lit(True))
+    j = target.join(src, same_key(target, k, "_key_"), "left")
     diff = F.lit(False)
     for t in mapping:
         diff = diff | (C("_hit") & ~C(t).eqNullSafe(C(f"_new_{t}")))
@@ -165,64 +176,78 @@ def json_merge(js: Column, patch: Column) -> Column:
 
 # ------------------------------------------------------------------ C4 editor
 def apply_changes(table: DataFrame, changes: DataFrame, pk: Sequence[str], editable: Sequence[str]) -> dict:
-    """C4: keyed patch/insert/delete batch with the editor's rules.
+    """C4: keyed patch/insert/delete batch with the editor's rules, applied in ``change_id`` order.
 
     ``changes``: change_id, op ('update'|'insert'|'delete'), the pk columns and
     ``values`` (map<string,string>).  Rules: the pk must be complete; pk,
     unknown, identity and generated columns are dropped from ``values``
-    (``editable`` lists the rest); an update needs at least one editable
-    column; update/delete must hit exactly one row, insert none.
+    (``editable`` lists the rest); an update or insert needs at least one
+    editable column; every value must be readable as its column's type;
+    update/delete must hit exactly one row, insert none.
+
+    Whether a row exists when a change comes follows from the last insert or
+    delete before it (tried or done: after an insert there is a row, after a
+    delete none), else from the table.  Accepted changes fold column by
+    column, the latest value of each column since the row's last insert.
 
     Returns ``{"state", "audit"}``; audit has one row per change with
     status applied/rejected and the reason.
     """
-    pk = list(pk)
-    editable = list(editable)
-    # Row counts only for the keys the batch touches: the table's key column is
-    # semi-joined to the change keys first (AQE broadcasts a small change set),
-    # so the table is never aggregated as a whole.
-    touched = changes.select(*pk).where(F.greatest(*[C(c).isNotNull() for c in pk]) if len(pk) > 1
-                                         else C(pk[0]).isNotNull()).distinct()
+    pk, editable = list(pk), list(editable)
+    complete = F.lit(True)
+    for c in pk:
+        complete = complete & C(c).isNotNull()
+    # Row counts only for the keys the batch touches.
+    touched = changes.select(*pk).where(complete).distinct()
     hits = (table.select(*pk).join(touched, pk, "left_semi")
             .groupBy(*pk).agg(F.count(F.lit(1)).alias("_hits")))
     ch = changes.join(hits, pk, "left").withColumn("_hits", F.coalesce(C("_hits"), F.lit(0)))
-    clean = F.map_filter(C("values"), lambda k, v: k.isin(editable))
-    ch = ch.withColumn("_clean", clean)
-    pk_complete = F.lit(True)
-    for c in pk:
-        pk_complete = pk_complete & C(c).isNotNull()
-    reason = (F.when(~pk_complete, "Complete primary key values are required.")
-              .when(~C("op").isin("update", "insert", "delete"), "Unsupported operation.")
-              .when((C("op") == "update") & (F.size(C("_clean")) == 0), "No editable column changes were supplied.")
-              .when((C("op") != "insert") & (C("_hits") != 1),
-                    F.concat(F.lit("Expected one row; affected "), C("_hits").cast("string"), F.lit(".")))
-              .when((C("op") == "insert") & (C("_hits") != 0), "Row already exists."))
+    ch = ch.withColumn("_clean", F.coalesce(F.map_filter(C("values"), lambda k, v: k.isin(editable)),
+                                            F.create_map().cast("map<string,string>")))
+    unreadable = F.lit(None).cast("string")
+    for c in reversed(editable):
+        v = F.element_at(C("_clean"), c)
+        unreadable = F.when(v.isNotNull() & v.try_cast(table.schema[c].dataType).isNull(), F.lit(c)).otherwise(unreadable)
+    op = C("op")
+    static = (F.when(~complete, "Complete primary key values are required.")
+              .when(~F.coalesce(op.isin("update", "insert", "delete"), F.lit(False)), "Unsupported operation.")
+              .when((op == "update") & (F.size("_clean") == 0), "No editable column changes were supplied.")
+              .when((op == "insert") & (F.size("_clean") == 0), "No insert values were supplied.")
+              .when((op != "delete") & unreadable.isNotNull(),
+                    F.concat(F.lit("Invalid value for column '"), unreadable, F.lit("'."))))
+    ch = ch.withColumn("_static", static)
+    before = Window.partitionBy(*pk).orderBy("change_id").rowsBetween(Window.unboundedPreceding, -1)
+    turn = F.when(C("_static").isNull() & (C("_hits") <= 1) & (op != "update"), op)
+    rows = F.coalesce(F.when(F.last(turn, ignorenulls=True).over(before) == "insert", F.lit(1).cast("long")),
+                      F.when(F.last(turn, ignorenulls=True).over(before) == "delete", F.lit(0).cast("long")), C("_hits"))
+    ch = ch.withColumn("_rows", rows)
+    reason = (F.when(C("_static").isNotNull(), C("_static"))
+              .when((op != "insert") & (C("_rows") != 1),
+                    F.concat(F.lit("Expected one row; affected "), C("_rows").cast("string"), F.lit(".")))
+              .when((op == "insert") & (C("_rows") != 0), "Row already exists."))
     ch = ch.withColumn("reason", reason)
     ok = ch.where(C("reason").isNull())
-    # One accepted change per key: the last change_id wins (a batch is ordered by change_id).
-    last = ok.groupBy(*pk).agg(F.max("change_id").alias("change_id"))
-    ok = ok.join(last, pk + ["change_id"], "left_semi")
-    upd = ok.where(C("op") == "update").select(*pk, "_clean")
-    dele = ok.where(C("op") == "delete").select(*pk)
-    ins = ok.where(C("op") == "insert").select(*pk, "_clean")
-    t = table.join(dele, pk, "left_anti").join(upd, pk, "left")
-    new_cols = [C(c) if c in pk else
-                F.when(C("_clean").isNotNull() & F.map_contains_key(C("_clean"), c),
-                       F.element_at(C("_clean"), c).cast(table.schema[c].dataType)).otherwise(C(c)).alias(c)
-                for c in table.columns]
-    t = t.select(*new_cols)
-    ins_rows = ins.select(*[C(c) if c in pk else
-                            F.element_at(C("_clean"), c).cast(table.schema[c].dataType).alias(c)
-                            for c in table.columns])
-    state = t.unionByName(ins_rows)
-    superseded = F.lit("Superseded by a later change to the same row.")
-    audit = (ch.join(ok.select("change_id", F.lit(True).alias("_won")), "change_id", "left")
-             .select("change_id", "op", *pk,
-                     F.when(C("_won"), "applied").otherwise("rejected").alias("status"),
-                     F.when(C("_won"), F.lit(None).cast("string"))
-                     .otherwise(F.coalesce(C("reason"), superseded)).alias("reason"),
-                     F.array_join(F.array_sort(F.map_keys(C("_clean"))), ",").alias("columns")))
-    return {"state": state, "audit": audit}
+    # The row's last insert or delete, and the changes since: only these shape the result.
+    last = ok.groupBy(*pk).agg(F.max(F.when(op != "update", F.struct("change_id", "op"))).alias("_turn"))
+    since = ok.join(last, pk).where((op != "delete") & (C("_turn").isNull() | (C("change_id") >= C("_turn.change_id"))))
+    cells = since.select(*pk, "change_id", F.explode("_clean").alias("_column", "_value"))
+    cells = cells.groupBy(*pk, "_column").agg(F.max_by(F.struct("_value"), "change_id").alias("_v"))
+    values = cells.groupBy(*pk).agg(F.map_from_entries(F.collect_list(F.struct("_column", "_v._value"))).alias("_new"))
+    folded = last.join(values, pk, "left").select(*pk, C("_turn.op").alias("_op"), "_new")
+
+    def cell(c):
+        return F.element_at(C("_new"), c).try_cast(table.schema[c].dataType)
+
+    kept = table.join(folded.where(C("_op").isNotNull()), pk, "left_anti") \
+        .join(folded.where(C("_op").isNull()).select(*pk, "_new"), pk, "left")
+    kept = kept.select(*[F.when(F.coalesce(F.map_contains_key(C("_new"), c), F.lit(False)), cell(c)).otherwise(C(c)).alias(c)
+                         if c in editable else C(c) for c in table.columns])
+    added = folded.where(C("_op") == "insert").select(
+        *[C(c) if c in pk else (cell(c) if c in editable else F.lit(None).cast(table.schema[c].dataType)).alias(c)
+          for c in table.columns])
+    audit = ch.select("change_id", "op", *pk, F.when(C("reason").isNull(), "applied").otherwise("rejected").alias("status"),
+                      "reason", F.array_join(F.array_sort(F.map_keys(C("_clean"))), ",").alias("columns"))
+    return {"state": kept.unionByName(added), "audit": audit}
 
 
 # ------------------------------------------------------------------ C6 review
@@ -340,8 +365,10 @@ def patch_documents(docs: DataFrame, patches: DataFrame, id_col: str = "_id", do
 
     Returns every document with ``doc`` patched where a valid patch exists,
     plus ``patch_error`` for refused patches (the document is left as is).
+    Several patches for a document count as the smallest of them as text.
     """
-    p = patches.select(id_col, C(patch_col).alias("_patch"), patch_key_error(C(patch_col)).alias("patch_error"))
+    p = one_per_key(patches.select(id_col, C(patch_col).alias("_patch")), id_col)
+    p = p.withColumn("patch_error", patch_key_error(C("_patch")))
     j = docs.join(p, id_col, "left")
     ok = C("_patch").isNotNull() & C("patch_error").isNull()
     return j.withColumn(doc_col, F.when(ok, json_merge(C(doc_col), C("_patch"))).otherwise(C(doc_col))).drop("_patch")

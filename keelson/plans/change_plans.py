@@ -157,31 +157,71 @@ def q_update_from(r):
 EDITABLE = ["supplier_name", "status", "supplier_code"]
 
 
-@query("apply_changes", """
-WITH hits AS (SELECT supplier_id, COUNT(*) AS h FROM suppliers GROUP BY supplier_id),
-ch AS (SELECT c.change_id, c.op, c.supplier_id, COALESCE(h.h, 0) AS hits,
-              list_sort(list_filter(map_keys(c."values"), lambda k: k IN ('supplier_name', 'status', 'supplier_code')))
-                  AS ks
-       FROM supplier_changes c LEFT JOIN hits h ON h.supplier_id = c.supplier_id),
-rs AS (SELECT ch.*, CASE WHEN supplier_id IS NULL THEN 'Complete primary key values are required.'
-                         WHEN op NOT IN ('update', 'insert', 'delete') THEN 'Unsupported operation.'
-                         WHEN op = 'update' AND len(ks) = 0 THEN 'No editable column changes were supplied.'
-                         WHEN op <> 'insert' AND hits <> 1 THEN 'Expected one row; affected ' || hits || '.'
-                         WHEN op = 'insert' AND hits <> 0 THEN 'Row already exists.' END AS why
-       FROM ch),
-win AS (SELECT supplier_id, max(change_id) AS change_id FROM rs WHERE why IS NULL GROUP BY supplier_id)
-SELECT rs.change_id, rs.op, rs.supplier_id,
-       CASE WHEN w.change_id IS NOT NULL THEN 'applied' ELSE 'rejected' END AS status,
-       CASE WHEN w.change_id IS NOT NULL THEN NULL
-            ELSE COALESCE(rs.why, 'Superseded by a later change to the same row.') END AS reason,
-       array_to_string(rs.ks, ',') AS columns
-FROM rs LEFT JOIN win w ON w.change_id = rs.change_id
+# The batch walked row by row: `there` is the number of rows a change finds, from the last insert or
+# delete before it on the same supplier, else from the table.
+_CHANGES_SQL = """
+WITH ch AS (
+  SELECT c.change_id, c.op, c.supplier_id, c."values" AS vals,
+         list_sort(list_filter(map_keys(c."values"), lambda k: list_contains(['status', 'supplier_code', 'supplier_name'], k))) AS ks,
+         (SELECT count(*) FROM suppliers s WHERE s.supplier_id = c.supplier_id) AS in_table
+  FROM supplier_changes c),
+checked AS (
+  SELECT *, CASE WHEN supplier_id IS NULL THEN 'Complete primary key values are required.'
+                 WHEN NOT coalesce(list_contains(['delete', 'insert', 'update'], op), false) THEN 'Unsupported operation.'
+                 WHEN coalesce(len(ks), 0) = 0 AND op = 'update' THEN 'No editable column changes were supplied.'
+                 WHEN coalesce(len(ks), 0) = 0 AND op = 'insert' THEN 'No insert values were supplied.' END AS broken
+  FROM ch),
+placed AS (
+  SELECT *, CASE last_value(CASE WHEN broken IS NULL AND in_table < 2 AND op <> 'update' THEN op END IGNORE NULLS)
+                   OVER (PARTITION BY supplier_id ORDER BY change_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+                 WHEN 'insert' THEN 1 WHEN 'delete' THEN 0 ELSE in_table END AS there
+  FROM checked),
+judged AS (
+  SELECT *, CASE WHEN broken IS NOT NULL THEN broken
+                 WHEN op = 'insert' AND there > 0 THEN 'Row already exists.'
+                 WHEN op <> 'insert' AND there <> 1 THEN 'Expected one row; affected ' || there || '.' END AS why
+  FROM placed)
+"""
+
+
+@query("apply_changes", _CHANGES_SQL + """
+SELECT change_id, op, supplier_id, CASE WHEN why IS NULL THEN 'applied' ELSE 'rejected' END AS status, why AS reason,
+       coalesce(array_to_string(ks, ','), '') AS columns
+FROM judged
 """)
 def q_apply_changes(r):
     """C4 table-editor batch against suppliers: audit of applied/rejected changes."""
     return changes.apply_changes(r.suppliers, r.supplier_changes, ["supplier_id"], EDITABLE)["audit"]
 
 
+@query("apply_changes_state", _CHANGES_SQL + """,
+turned AS (
+  SELECT supplier_id, max(change_id) AS at, arg_max(op, change_id) AS op FROM judged
+  WHERE why IS NULL AND op <> 'update' GROUP BY supplier_id),
+cells AS (
+  SELECT j.supplier_id, k.key, arg_max(struct_pack(v := j.vals[k.key]), j.change_id).v AS v
+  FROM judged j LEFT JOIN turned t ON t.supplier_id = j.supplier_id, LATERAL (SELECT unnest(j.ks) AS key) k
+  WHERE j.why IS NULL AND j.op <> 'delete' AND (t.at IS NULL OR j.change_id >= t.at) GROUP BY j.supplier_id, k.key),
+cols AS (
+  SELECT supplier_id, bool_or(key = 'supplier_name') AS has_name, bool_or(key = 'status') AS has_status,
+         bool_or(key = 'supplier_code') AS has_code, max(v) FILTER (WHERE key = 'supplier_name') AS new_name,
+         max(v) FILTER (WHERE key = 'status') AS new_status, max(v) FILTER (WHERE key = 'supplier_code') AS new_code
+  FROM cells GROUP BY supplier_id)
+SELECT s.supplier_id, CASE WHEN c.has_code THEN c.new_code ELSE s.supplier_code END AS supplier_code,
+       CASE WHEN c.has_name THEN c.new_name ELSE s.supplier_name END AS supplier_name,
+       CASE WHEN c.has_status THEN c.new_status ELSE s.status END AS status
+FROM suppliers s LEFT JOIN cols c ON c.supplier_id = s.supplier_id
+WHERE s.supplier_id NOT IN (SELECT supplier_id FROM turned)
+UNION ALL
+SELECT t.supplier_id, c.new_code, c.new_name, c.new_status FROM turned t JOIN cols c ON c.supplier_id = t.supplier_id
+WHERE t.op = 'insert'
+""")
+def q_apply_changes_state(r):
+    """C4 supplier table after the batch."""
+    state = changes.apply_changes(r.suppliers, r.supplier_changes, ["supplier_id"], EDITABLE)["state"]
+    return state.select("supplier_id", "supplier_code", "supplier_name", "status")
+
+
 # ------------------------------------------------------------------ C6
 REVIEWED_AT = "2024-02-01 00:00:00"
 

@@ -111,13 +111,13 @@ def test_review_transition_rules(spark):
 def test_apply_changes_rules(spark):
     table = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "id long, name string, created string")
     ch = spark.createDataFrame([
-        (1, "update", 1, {"name": "A1"}), (2, "update", 1, {"name": "A2"}),      # 2 supersedes 1
+        (1, "update", 1, {"name": "A1"}), (2, "update", 1, {"name": "A2"}),      # both apply, in order
         (3, "update", 2, {"created": "z", "id": "9"}),                             # nothing editable
         (4, "delete", 5, {}), (5, "insert", 2, {"name": "dup"}), (6, "insert", 3, {"name": "c"}),
         (7, "delete", None, {})], "change_id long, op string, id long, values map<string,string>")
     out = changes.apply_changes(table, ch, ["id"], ["name"])
     audit = {r.change_id: (r.status, r.reason) for r in out["audit"].collect()}
-    assert audit[2] == ("applied", None) and audit[1][0] == "rejected" and "Superseded" in audit[1][1]
+    assert audit[1] == audit[2] == ("applied", None)
     assert audit[3] == ("rejected", "No editable column changes were supplied.")
     assert audit[4] == ("rejected", "Expected one row; affected 0.")
     assert audit[5] == ("rejected", "Row already exists.") and audit[6] == ("applied", None)
@@ -161,3 +161,33 @@ def test_upsert_refuses_duplicate_source_keys(spark):
     s = spark.createDataFrame([(2, "x"), (2, "y")], "k long, v string")
     with pytest.raises(ValueError):
         changes.upsert(t, s, "k", check_unique=True)
+
+
+def test_apply_changes_folds_columns_and_rejects_unreadable_values(spark):
+    table = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "id long, name string, qty int")
+    ch = spark.createDataFrame([
+        (1, "update", 1, {"name": "A"}), (2, "update", 1, {"qty": "7"}),         # different columns: both stay
+        (3, "update", 2, {"qty": "abc"}),                                          # not an int
+        (4, "delete", 2, {}), (5, "update", 2, {"name": "gone"}), (6, "insert", 2, {"name": "new"}),
+        (7, "update", 2, {"qty": "9"}), (8, "insert", 2, {"name": "again"}), (9, "insert", 4, {}),
+    ], "change_id long, op string, id long, values map<string,string>")
+    out = changes.apply_changes(table, ch, ["id"], ["name", "qty"])
+    audit = {r.change_id: r.reason for r in out["audit"].collect()}
+    assert audit == {1: None, 2: None, 3: "Invalid value for column 'qty'.", 4: None,
+                     5: "Expected one row; affected 0.", 6: None, 7: None, 8: "Row already exists.",
+                     9: "No insert values were supplied."}
+    assert _sorted(out["state"]) == [(1, "A", 7), (2, "new", 9)]
+
+
+def test_duplicate_and_null_source_keys(spark):
+    t = spark.createDataFrame([(1, "a"), (None, "n")], "k long, v string")
+    s = spark.createDataFrame([(1, "z"), (1, "y"), (None, "m"), (2, "b")], "k long, v string")
+    once = changes.upsert(t, s, "k", check_unique=False)
+    assert sorted(map(tuple, once.collect()), key=str) == [(1, "y"), (2, "b"), (None, "m")]
+    assert sorted(map(tuple, changes.upsert(once, s, "k", check_unique=False).collect()), key=str) == \
+        sorted(map(tuple, once.collect()), key=str)
+    assert changes.insert_if_absent(once, s, "k").count() == 0
+    assert changes.update_from(t, s, "k", ["v"]).count() == 2
+    docs = spark.createDataFrame([("d", '{"a":1}')], "_id string, doc string")
+    patches = spark.createDataFrame([("d", '{"b":2}'), ("d", '{"b":3}')], "_id string, patch string")
+    assert [r.doc for r in changes.patch_documents(docs, patches).collect()] == ['{"a":1,"b":2}']
