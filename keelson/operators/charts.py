@@ -1,8 +1,9 @@
 """Chart and dashboard data (G1-G5): points, scale, pie shares, keys, dashboard counts.
 
-Charts plot a bounded number of points (30) from an already aggregated
-result, so the order-dependent steps (row numbers, running offsets) run on
-that bounded frame; the inputs are reduced with ordinary aggregates first.
+Charts plot an already aggregated result (a row per group), so the
+order-dependent steps (row numbers, running offsets) run on few rows; reduce
+the input with ordinary aggregates first.  Nothing is cut off unless the
+caller passes a limit.
 """
 
 from __future__ import annotations
@@ -11,8 +12,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 C = F.col
-MAX_POINTS = 30
-MAX_RESULTS = 500  # the reference's aggregation result cap (250 default, 500 max)
 
 
 def numeric_value(c):
@@ -21,19 +20,16 @@ def numeric_value(c):
     return F.when(~F.isnan(v) & (F.abs(v) != F.lit(float("inf"))), v)
 
 
-def chart_points(df: DataFrame, x: str | None, y: str, order: list, limit: int = MAX_POINTS,
-                 max_results: int = MAX_RESULTS) -> DataFrame:
-    """G1: (position, label, value) for the first ``limit`` rows, in ``order``, that have a numeric y.
+def chart_points(df: DataFrame, x: str | None, y: str, order: list, limit: int | None = None) -> DataFrame:
+    """G1: (position, label, value) of the rows, in ``order``, that have a numeric y (the first ``limit`` if given).
 
-    The input is an aggregation result, capped at ``max_results`` rows in
-    ``order`` as the reference caps it (a top-k, no global sort of the
-    input); label = x as text, else the 1-based row position, taken before
+    label = x as text, else the 1-based row position, taken before
     non-numeric rows are dropped, as in the UI.
     """
-    capped = df.orderBy(*order).limit(max_results)
-    top = (capped.withColumn("_pos", F.row_number().over(Window.orderBy(*order)))
-           .withColumn("_value", numeric_value(C(y))))
-    top = top.where(C("_value").isNotNull()).orderBy("_pos").limit(limit)
+    top = (df.withColumn("_pos", F.row_number().over(Window.orderBy(*order)))
+           .withColumn("_value", numeric_value(C(y)))).where(C("_value").isNotNull())
+    if limit is not None:
+        top = top.orderBy("_pos").limit(limit)
     label = F.coalesce(C(x).cast("string"), C("_pos").cast("string")) if x else C("_pos").cast("string")
     return top.select(C("_pos").cast("long").alias("position"), label.alias("label"), C("_value").alias("value"))
 
@@ -56,13 +52,12 @@ def pie_shares(points: DataFrame) -> DataFrame:
     j = pos.crossJoin(total)  # one-row frame
     share = C("value") / C("_total")
     return j.select("position", "label", "value", share.alias("fraction"),
-                    F.coalesce(F.sum(share).over(w), F.lit(0.0)).alias("offset"))
+                    (F.coalesce(F.sum("value").over(w), F.lit(0.0)) / C("_total")).alias("offset"))
 
 
-def result_keys(rows: DataFrame, json_col: str, order: list, first: int = 50) -> DataFrame:
-    """Distinct field names appearing in the first ``first`` result documents."""
-    head = rows.orderBy(*order).limit(first)
-    return head.select(F.explode(F.json_object_keys(C(json_col))).alias("key")).distinct()
+def result_keys(rows: DataFrame, json_col: str) -> DataFrame:
+    """Distinct field names of all result documents."""
+    return rows.select(F.explode(F.json_object_keys(C(json_col))).alias("key")).distinct()
 
 
 def dashboard_summary(charts: DataFrame, dashboard: str, system: str | None = None) -> DataFrame:

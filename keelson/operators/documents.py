@@ -15,7 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DecimalType, MapType, StructType, ArrayType, TimestampNTZType, TimestampType
 
 C = F.col
-MAX_FIND = 500
+
+
+def _at_least(name: str, value: int, least: int) -> int:
+    if int(value) < least:
+        raise ValueError(f"{name} must be at least {least}, not {value}.")
+    return int(value)
 
 
 def doc_sort_cols(spec: Sequence[tuple[str, int]], id_col: str | None = None) -> list[Column]:
@@ -27,13 +32,13 @@ def doc_sort_cols(spec: Sequence[tuple[str, int]], id_col: str | None = None) ->
 
 
 def doc_find(df: DataFrame, cond: Column | None = None, sort: tuple[str, int] | None = None,
-             limit: int = 100, id_col: str = "_id", fields: Sequence[str] | None = None) -> DataFrame:
-    """filter, optional one-field sort, limit 1..500 (a top-k, pushed down as TakeOrderedAndProject)."""
-    limit = max(1, min(int(limit), MAX_FIND))
+             limit: int | None = None, id_col: str = "_id", fields: Sequence[str] | None = None) -> DataFrame:
+    """filter, optional one-field sort, and the caller's limit (a top-k); no limit returns all, in order."""
     out = df.where(cond) if cond is not None else df
     if fields:
         out = out.select(*fields)
-    return out.orderBy(*doc_sort_cols([sort] if sort else [], id_col)).limit(limit)
+    out = out.orderBy(*doc_sort_cols([sort] if sort else [], id_col))
+    return out if limit is None else out.limit(_at_least("limit", limit, 1))
 
 
 def doc_by_id(df: DataFrame, id_value, id_col: str = "_id") -> DataFrame:
@@ -43,11 +48,10 @@ def doc_by_id(df: DataFrame, id_value, id_col: str = "_id") -> DataFrame:
 
 def paginate(df: DataFrame, pk: Sequence[str], limit: int = 100, offset: int = 0) -> DataFrame:
     """page ordered by the full primary key; ``total_rows`` on every row."""
-    limit = max(1, min(int(limit), 500))
-    offset = max(0, int(offset))
+    limit, offset = _at_least("limit", limit, 1), _at_least("offset", offset, 0)
     total = df.agg(F.count(F.lit(1)).alias("total_rows"))
     page = df.orderBy(*[C(k).asc_nulls_last() for k in pk]).offset(offset).limit(limit)
-    return page.crossJoin(total)  # page (<= 500 rows) x one row
+    return page.crossJoin(total)  # page x one row
 
 
 def json_safe(df: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ def session_overview(sessions: DataFrame, requests: DataFrame) -> DataFrame:
     return s.crossJoin(r)  # one row x one row
 
 
-def session_entities(sessions: DataFrame, entities: DataFrame, limit: int = 500) -> DataFrame:
+def session_entities(sessions: DataFrame, entities: DataFrame, limit: int | None = None) -> DataFrame:
     """Q2: per session the active entity count and the ordered ``type:id`` list (NULL when none).
 
     Entities are aggregated per session before the join; the list is the
@@ -43,15 +43,20 @@ def session_entities(sessions: DataFrame, entities: DataFrame, limit: int = 500)
     out = j.select("session_id", "status", "created_at", "last_seen_at",
                    F.coalesce(C("active_entities"), F.lit(0)).cast("long").alias("active_entities"),
                    F.when(F.size(C("_items")) > 0, listed).alias("entities"))
+    if limit is None:
+        return out
     return out.orderBy(C("last_seen_at").desc_nulls_first(), C("session_id").asc()).limit(limit)
 
 
-def request_history(requests: DataFrame, closed: bool = True, limit: int = 250) -> DataFrame:
-    """Q3: closed (completed/rejected) or open requests, newest first by COALESCE(completed_at, requested_at)."""
+def request_history(requests: DataFrame, closed: bool = True, limit: int | None = None) -> DataFrame:
+    """Q3: closed (completed/rejected) or open requests; with a ``limit`` the newest by
+    COALESCE(completed_at, requested_at)."""
     cond = F.lower("status").isin(CLOSED_REQUEST_STATUSES)
     rows = requests.where(cond if closed else ~cond)
     cols = [c for c in ["request_id", "session_id", "operator", "reason", "status", "requested_at", "completed_at",
                         "admin_note", "reviewed_by", "reviewed_at"] if c in requests.columns]
+    if limit is None:
+        return rows.select(*cols)
     return (rows.select(*cols)
             .orderBy(F.coalesce(C("completed_at"), C("requested_at")).desc_nulls_first(), C("request_id").asc())
             .limit(limit))

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keelson.operators.charts import numeric_value
+
 C = F.col
 
 
@@ -44,7 +46,7 @@ def first_numeric_key(df: DataFrame, keys=None) -> DataFrame:
     One aggregate over all columns; returns one row ``first_numeric_key`` (NULL if none).
     """
     keys = list(keys or df.columns)
-    flags = [F.max(C(f"`{k}`").cast("string").try_cast("double").isNotNull().cast("int")).alias(f"_{i}")
+    flags = [F.max(numeric_value(C(f"`{k}`")).isNotNull().cast("int")).alias(f"_{i}")
              for i, k in enumerate(keys)]
     agg = df.agg(*flags)
     pick = F.lit(None).cast("string")

@@ -13,30 +13,38 @@ CUTOFF = "2024-01-16 00:00:00"
 LINEAGE_CUTOFF = "2024-01-04 00:00:00"
 
 
-def results(r):
-    """Aggregation-style result rows: events with a numeric-or-not y text."""
+def event_rows(r):
+    """All events with a numeric-or-not y text."""
     e = r.table("events")
     y = F.when(C("event_type") == "error", F.lit("n/a")).otherwise(F.get_json_object("props", "$.k"))
     return e.select("event_id", "ts", "event_type", y.alias("y"))
 
 
-RES_SQL = """SELECT event_id, ts, event_type,
-       CASE WHEN event_type = 'error' THEN 'n/a' ELSE json_extract_string(props, '$.k') END AS y
-FROM events ORDER BY ts, event_id LIMIT 250"""
+def results(r):
+    """Aggregation result to plot: per day and event type the sum of k over all events, as text."""
+    e = event_rows(r).withColumn("day", F.to_date("ts"))
+    total = F.sum(F.expr("try_cast(y as bigint)")).cast("string")
+    return e.groupBy("day", "event_type").agg(F.coalesce(total, F.lit("n/a")).alias("y"))
+
+
+RES_SQL = """SELECT CAST(ts AS DATE) AS day, event_type,
+       CASE WHEN event_type = 'error' THEN 'n/a'
+            ELSE coalesce(CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS VARCHAR), 'n/a') END AS y
+FROM events GROUP BY 1, 2"""
 POINTS_SQL = f"""
 SELECT position, COALESCE(event_type, CAST(position AS VARCHAR)) AS label, v AS value FROM (
-  SELECT *, row_number() OVER (ORDER BY ts, event_id) AS position, TRY_CAST(trim(y) AS DOUBLE) AS v FROM ({RES_SQL}) a) p
-WHERE v IS NOT NULL AND isfinite(v) ORDER BY position LIMIT 30
+  SELECT *, row_number() OVER (ORDER BY day, event_type) AS position, TRY_CAST(trim(y) AS DOUBLE) AS v FROM ({RES_SQL}) a) p
+WHERE v IS NOT NULL AND isfinite(v)
 """
 
 
 def points(r):
-    return charts.chart_points(results(r), "event_type", "y", [C("ts"), C("event_id")], max_results=250)
+    return charts.chart_points(results(r), "event_type", "y", [C("day"), C("event_type")])
 
 
 @query("chart_points", POINTS_SQL)
 def q_chart_points(r):
-    """G1 first 30 numeric points of the first 250 result rows."""
+    """G1 the numeric points of an aggregated result, all of them."""
     return points(r)
 
 
@@ -56,7 +64,7 @@ def q_chart_scale(r):
 @query("pie_shares", f"""
 WITH p AS (SELECT * FROM ({POINTS_SQL}) x WHERE value > 0), t AS (SELECT sum(value) AS total FROM p)
 SELECT position, label, value, value / total AS fraction,
-       COALESCE(SUM(value / total) OVER (ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)
+       COALESCE(SUM(value) OVER (ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) / total
            AS "offset"
 FROM p, t
 """)
@@ -66,11 +74,11 @@ def q_pie_shares(r):
 
 
 @query("result_keys", """
-SELECT DISTINCT unnest(json_keys(body)) AS key FROM (SELECT body FROM ingest_events ORDER BY source_event_id LIMIT 50) x
+SELECT DISTINCT unnest(json_keys(body)) AS key FROM ingest_events
 """)
 def q_result_keys(r):
-    """G4 field names found in the first 50 result documents."""
-    return charts.result_keys(r.ingest_events, "body", [C("source_event_id")], 50)
+    """G4 field names found in the result documents."""
+    return charts.result_keys(r.ingest_events, "body")
 
 
 @query("first_numeric_key", f"""
@@ -78,12 +86,11 @@ SELECT CASE WHEN max(TRY_CAST(CAST(event_id AS VARCHAR) AS DOUBLE)) IS NOT NULL
             WHEN max(TRY_CAST(CAST(ts AS VARCHAR) AS DOUBLE)) IS NOT NULL THEN 'ts'
             WHEN max(TRY_CAST(event_type AS DOUBLE)) IS NOT NULL THEN 'event_type'
             WHEN max(TRY_CAST(y AS DOUBLE)) IS NOT NULL THEN 'y' END AS first_numeric_key
-FROM (SELECT event_id, ts, event_type, y FROM ({RES_SQL}) a) b
+FROM (SELECT event_id, ts, event_type, json_extract_string(props, '$.k') AS y FROM events) b
 """)
 def q_first_numeric_key(r):
-    """W3 first column holding a number, over the capped result rows."""
-    res = results(r).orderBy("ts", "event_id").limit(250)
-    return selection.first_numeric_key(res.select("event_id", "ts", "event_type", "y"))
+    """W3 first column holding a number, over all rows."""
+    return selection.first_numeric_key(event_rows(r))
 
 
 _COLL = "CASE " + " ".join(f"WHEN '{t}' = t THEN '{c}'" for t, c in COLLECTION_BY_EVENT_TYPE.items()) + " END"
@@ -99,11 +106,11 @@ def saved_charts(r):
                     F.element_at(m, t).alias("collection"),
                     F.when(C("event_type") == "signup", F.lit(None)).otherwise(F.concat(F.lit("sys-"), t))
                     .alias("system_key"),
-                    F.least(C("n"), F.lit(200)).alias("data_points"))
+                    C("n").alias("data_points"))
 
 
 @query("dashboard_summary", f"""
-WITH c AS (SELECT event_type AS chart_id, {_TYPE_OF} AS t, LEAST(COUNT(*), 200) AS data_points FROM events
+WITH c AS (SELECT event_type AS chart_id, {_TYPE_OF} AS t, COUNT(*) AS data_points FROM events
            GROUP BY event_type),
 c2 AS (SELECT chart_id, {_COLL} AS collection, CASE WHEN chart_id = 'signup' THEN NULL ELSE 'sys-' || t END AS system_key,
               data_points FROM c)

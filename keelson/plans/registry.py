@@ -53,17 +53,16 @@ def query(name: str, sql: str | None = None, bench: bool = False):
 def load_all():
     """Import every plan module so its queries register."""
     from keelson.plans import (  # noqa: F401
+        baseline_plans,
+        change_plans,
+        chart_plans,
+        document_plans,
+        event_plans,
         kpi_plans,
+        ledger_plans,
+        load_plans,
+        stream_plans,
+        telemetry_plans,
+        upkeep_plans,
     )
-    for mod in _OPTIONAL:
-        try:
-            __import__(f"keelson.plans.{mod}")
-        except ModuleNotFoundError as e:  # modules land over time
-            if f"keelson.plans.{mod}" not in str(e):
-                raise
     return QUERIES, ORACLES
-
-
-_OPTIONAL = ["relational_plans", "change_plans", "ledger_plans", "baseline_plans", "report_plans",
-             "event_plans", "document_plans", "catalog_plans", "chart_plans", "load_plans",
-             "telemetry_plans", "upkeep_plans", "stream_plans"]

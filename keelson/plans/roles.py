@@ -310,9 +310,6 @@ _role("material_issues", "lineitem", [
 
 
 # -------------------------------------------------------------------- loading
-_SCHEMAS: dict[str, object] = {}  # table path -> schema: later reads skip footer inference
-
-
 class Roles:
     """Lazy access to role DataFrames over one scale-factor directory."""
 
@@ -323,11 +320,7 @@ class Roles:
     def table(self, name: str) -> DataFrame:
         key = "table:" + name
         if key not in self._cache:
-            path = f"{self.sf_dir}/{name}.parquet"
-            schema = _SCHEMAS.get(path)
-            reader = self.spark.read if schema is None else self.spark.read.schema(schema)
-            df = reader.parquet(path)
-            _SCHEMAS.setdefault(path, df.schema)
+            df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
             self._cache[key] = df
         return self._cache[key]
 

@@ -38,8 +38,9 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", os.environ.get("KEELSON_DRIVER_MEMORY", "16g"))
-        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="keelson-wh-"))
     )
+    if master.startswith("local"):
+        builder = builder.config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="keelson-wh-"))
     for k, v in SCALE_DEFAULTS.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
@@ -51,13 +52,16 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the folder is set by the deployment (a shared file system);
-    it is only filled in here when unset, which is the local/test case.
+    On a cluster the folder is set by the deployment (a shared file system); a
+    local master alone gets a folder of its own when it is unset.  Run folders
+    inside it carry a random name and stay until the deployment clears them.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
         spark.sparkContext.setCheckpointDir(current)
         return current
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
     local = tempfile.mkdtemp(prefix="keelson-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)

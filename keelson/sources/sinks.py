@@ -99,9 +99,11 @@ def export_json(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").option("ignoreNullFields", False).json(path)
 
 
-def freeze_rows(df: DataFrame, order: list, path: str, metadata: dict, limit: int = 200) -> None:
-    """Save up to 200 result rows (in ``order``) with the chart metadata columns."""
-    out = df.orderBy(*order).limit(limit)
+def freeze_rows(df: DataFrame, order: list, path: str, metadata: dict, limit: int | None = None) -> None:
+    """Save the result rows (the first ``limit`` in ``order`` if given) with the chart metadata columns."""
+    out = df.orderBy(*order)
+    if limit is not None:
+        out = out.limit(limit)
     for k, v in metadata.items():
         out = out.withColumn(k, F.lit(v))
     out.write.mode("errorifexists").parquet(path)
