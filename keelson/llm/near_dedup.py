@@ -5,17 +5,16 @@
    from here on only leaders take part, so a text that is copied a million times costs
    what one text costs.
 2. Leaders that agree on one of 25 bands of 5 minima share a bucket.
-3. Buckets are worked off in rounds.  In a round some members of each bucket, its
-   pivots, are compared with its other members, unless already linked through others;
-   then they leave the bucket, for all their pairs are settled.  Round 1 has one pivot
-   in a bucket, and later rounds ever more, taken from outside the bucket's largest
-   component.  A bucket whose members are all in one component is finished.  So a group
-   of m near copies costs about m comparisons, and no pair of different components is
-   left out.
-4. A comparison reads the two signatures batch by batch and stops as soon as the
+3. First every member of a bucket is compared with its smallest one, the pivot.  In a
+   group of near copies this links nearly all, at one comparison a member.
+4. Buckets whose members are not all in one component by then are completed inside
+   tasks, in blocks of bounded size: every member outside the bucket's largest component
+   meets every member of another component, so no pair of different components is left
+   out, and no pair becomes a row unless it is a link.
+5. A comparison reads the two signatures batch by batch and stops as soon as the
    posterior probability of the wanted similarity falls below MISS; what survives is
    decided exactly on the full shingle sets.
-5. Links are contracted to components by minimum labels.
+6. Links are contracted to components by minimum labels.
 
 A pair at the wanted similarity of 0.85 fails to share a bucket with probability
 (1 - 0.85^5)^25 = 4e-7; more similar pairs more rarely.  Nothing is gathered on the
@@ -41,7 +40,7 @@ HASHES = BANDS * ROWS
 BATCH = 25                  # minima compared at once
 MISS = 1e-7                 # chance that the comparison drops a pair that is similar enough
 MOST_BROADCAST = 200_000    # document ids that may be broadcast
-GROWTH = 8                  # pivots of a bucket: 1 in the first round, then GROWTH times more in each
+BLOCK = 512                 # members, and outsiders, of a bucket that meet in one task at most
 _SEEDS = mix(np.arange(1, 2 * HASHES + 1, dtype=np.uint64))
 _XOR, _MUL = _SEEDS[:HASHES], _SEEDS[HASHES:] | np.uint64(1)
 
@@ -126,7 +125,7 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def bucket_rows(leaders: DataFrame) -> DataFrame:
-    """(bucket, id): one row per band of each leader."""
+    """(bucket, band, id): one row per band of each leader."""
     def run(batches):
         for b in batches:
             if not b.num_rows:
@@ -135,10 +134,11 @@ def bucket_rows(leaders: DataFrame) -> DataFrame:
             key = np.broadcast_to(mix(np.arange(1, BANDS + 1, dtype=np.uint64)), sig.shape[:2])
             for r in range(ROWS):
                 key = mix(key * np.uint64(31) + sig[:, :, r])
-            yield pa.record_batch([pa.array(key.reshape(-1).view(np.int64)), pa.array(
-                np.repeat(b.column(0).to_numpy(zero_copy_only=False), BANDS))], names=["bucket", "id"])
+            yield pa.record_batch([
+                pa.array(key.reshape(-1).view(np.int64)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(sig))),
+                pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False), BANDS))], names=["bucket", "band", "id"])
 
-    return leaders.select("id", "sig").mapInArrow(run, "bucket long, id long")
+    return leaders.select("id", "sig").mapInArrow(run, "bucket long, band int, id long")
 
 
 def least_matches(percent: int = PERCENT, miss: float = MISS) -> list[int]:
@@ -197,82 +197,146 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFr
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, comp) of every linked id: ``comp`` is the smallest id reachable.
+    """(id, comp) of every linked id: ``comp`` is the smallest id reachable."""
+    links = links.where(F.col("u") != F.col("v"))
+    labels = links.select(F.explode(F.array("u", "v")).alias("id")).distinct().withColumn("comp", F.col("id"))
+    return relabel(cut_lineage(labels), links)
 
-    Each pass hangs every label on its smallest neighbour, follows two such steps, and
-    contracts the links to the new labels; the labels left halve at least.
+
+def _relabelled(rows: DataFrame, column: str, up: DataFrame) -> DataFrame:
+    """``rows`` with ``column`` replaced by its label in ``up`` (l, p), where it has one."""
+    new = up.select(F.col("l").alias(column), F.col("p").alias("_p")).hint("merge")
+    return rows.join(new, column, "left").withColumn(column, F.coalesce("_p", column)).drop("_p")
+
+
+def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (id, comp) after also following ``links`` (u, v) between components.
+
+    Each pass hangs every component on its smallest neighbour, follows that step once
+    more, and contracts the links to the new labels; the components left halve at least.
     """
     links = cut_lineage(links.where(F.col("u") != F.col("v")).distinct())
-    labels = cut_lineage(links.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-                         .withColumn("comp", F.col("id")))
     while not links.isEmpty():
         both = links.union(links.select("v", "u"))
-        up = both.groupBy(F.col("u").alias("l")).agg(F.least(F.min("v"), F.col("l")).alias("p"))
-        up = cut_lineage(up)
-        for _ in range(2):
-            over = up.select(F.col("l").alias("l2"), F.col("p").alias("p2"))
-            up = up.join(over, F.col("p") == F.col("l2"), "left").select("l", F.coalesce("p2", "p").alias("p"))
-        up = cut_lineage(up)
-        labels = cut_lineage(labels.join(up, F.col("comp") == F.col("l"), "left")
-                             .select("id", F.coalesce("p", "comp").alias("comp")))
-        new = links.join(up.select(F.col("l").alias("u"), F.col("p").alias("a")), "u") \
-            .join(up.select(F.col("l").alias("v"), F.col("p").alias("b")), "v")
-        links = cut_lineage(new.where(F.col("a") != F.col("b"))
-                            .select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+        up = both.groupBy(F.col("u").alias("l")).agg(F.least(F.min("v"), F.min("u")).alias("p"))
+        up = cut_lineage(_relabelled(up, "p", up))
+        labels = cut_lineage(_relabelled(labels, "comp", up))
+        links = _relabelled(_relabelled(links, "u", up), "v", up).where(F.col("u") != F.col("v"))
+        links = cut_lineage(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     return labels
 
 
-def _buckets_left(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(bucket, id, comp) of the buckets whose members are not all in one component."""
-    m = members.withColumn("comp", F.col("id")) if labels is None else \
-        members.join(labels, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"))
-    m = cut_lineage(m)
-    open_ = m.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")) \
-        .where(F.col("lo") != F.col("hi")).select("bucket")
-    return cut_lineage(m.join(open_, "bucket", "left_semi"))
+def shared_buckets(leaders: DataFrame) -> DataFrame:
+    """(bucket, band, id) of buckets with two members or more; of buckets with the same members, the first band's."""
+    rows = cut_lineage(bucket_rows(leaders))
+    sizes = rows.groupBy("bucket", "band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"),
+                                               F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).where("n > 1")
+    one = sizes.groupBy("n", "x", "y").agg(F.min(F.struct("band", "bucket")).alias("b")).select("b.bucket")
+    return cut_lineage(rows.join(one.hint("merge"), "bucket", "left_semi"))
 
 
-def _pivots(members: DataFrame, most: int) -> DataFrame:
-    """(bucket, pivot, pivot_comp): up to ``most`` members of each bucket.
+def in_blocks(members: DataFrame) -> DataFrame:
+    """(bucket, band, i, j, outside, id, comp) of the buckets (bucket, band, id, comp) with several components.
 
-    One pivot: the smallest id.  More: members outside the component that most members
-    share, smallest ids first; all pairs inside that component are settled.
+    Block (i, j) of a bucket holds its members of part i (outside = 0) and, of its members
+    outside the largest component, part j (outside = 1).
     """
-    if most == 1:
-        return members.groupBy("bucket").agg(F.min(F.struct("id", "comp")).alias("p")) \
-            .select("bucket", F.col("p.id").alias("pivot"), F.col("p.comp").alias("pivot_comp"))
     sizes = members.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-    home = sizes.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("h")) \
-        .select("bucket", F.col("h.comp").alias("home"))
-    outside = members.join(home, "bucket").where(F.col("comp") != F.col("home"))
-    first = Window.partitionBy("bucket").orderBy("id")
-    return outside.withColumn("r", F.row_number().over(first)).where(F.col("r") <= most) \
-        .select("bucket", F.col("id").alias("pivot"), F.col("comp").alias("pivot_comp"))
+    buckets = sizes.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("home"), F.sum("n").alias("m"),
+                                          F.count("*").alias("comps")).where("comps > 1")
+    m = members.join(buckets.hint("merge"), "bucket").withColumn("out", F.col("comp") != F.col("home.comp"))
+    parts = F.ceil(F.col("m") / BLOCK).cast("int")
+    outs = F.ceil((F.col("m") - F.col("home.n")) / BLOCK).cast("int")
+    each = lambda n: F.sequence(F.lit(0), n - 1)
+    inside = F.transform(each(outs), lambda j: F.struct(
+        F.pmod(F.xxhash64("id"), parts).cast("int").alias("i"), j.alias("j"), F.lit(0).alias("outside")))
+    outside = F.when(F.col("out"), F.transform(each(parts), lambda i: F.struct(
+        i.alias("i"), F.pmod(F.xxhash64("id", F.lit(7)), outs).cast("int").alias("j"), F.lit(1).alias("outside"))))
+    return m.select("bucket", "band", "id", "comp", F.inline(
+        F.concat(inside, F.coalesce(outside, F.array().cast("array<struct<i:int,j:int,outside:int>>")))))
+
+
+def complete_blocks(blocks: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (u, v) that join different components, from rows (bucket, band, i, j, outside, id, comp, sig, shingles).
+
+    A pair is looked at only in its first common band, so not again in other buckets; a pair
+    that the links found so far connect is skipped.
+    """
+    least = least_matches(percent)
+
+    def links(rows):
+        band = rows[0][1]
+        roots: dict[int, int] = {}
+
+        def root(c):
+            while roots.get(c, c) != c:
+                c = roots[c]
+            return c
+
+        members = [r for r in rows if r[4] == 0]
+        if not members:
+            return
+        ids = np.array([r[5] for r in members])
+        sig = np.stack([np.frombuffer(r[7], np.uint32) for r in members])
+        sets = [np.frombuffer(r[8], np.uint64) for r in members]
+        sizes = np.array([len(x) for x in sets])
+        comps = np.array([r[6] for r in members])
+        for r in rows:
+            if r[4] == 0:
+                continue
+            mine, own = np.frombuffer(r[7], np.uint32), np.frombuffer(r[8], np.uint64)
+            alive = np.flatnonzero((comps != r[6]) & (np.minimum(sizes, len(own)) * 100 >= np.maximum(sizes, len(own)) * percent))
+            same = np.zeros(len(ids), np.int64)
+            for k, m in enumerate(least):
+                part = slice(k * BATCH, (k + 1) * BATCH)
+                same[alive] += (sig[alive, part] == mine[part]).sum(1)
+                alive = alive[same[alive] >= m]
+            if not len(alive):
+                continue
+            bands = (sig[alive].reshape(-1, BANDS, ROWS) == mine.reshape(BANDS, ROWS)).all(2)
+            for x in alive[bands.argmax(1) == band]:
+                if root(r[6]) == root(int(comps[x])):
+                    continue
+                both = len(np.intersect1d(own, sets[x], assume_unique=True))
+                if 100 * both >= percent * (len(own) + int(sizes[x]) - both):
+                    roots[root(r[6])] = root(int(comps[x]))
+                    yield r[5], int(ids[x])
+
+    def run(batches):
+        rows, key, found = [], None, []
+        for b in batches:
+            for row in zip(*(b.column(c).to_pylist() for c in range(9))):
+                at = (row[0], row[2], row[3])
+                if at != key:
+                    if rows:
+                        found += links(rows)
+                    rows, key = [], at
+                rows.append(row)
+        if rows:
+            found += links(rows)
+        yield pa.record_batch([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())],
+                              names=["u", "v"])
+
+    b = blocks.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "outside", "id")
+    return b.select("bucket", "band", "i", "j", "outside", "id", "comp", "sig", "shingles").mapInArrow(run, "u long, v long")
 
 
 def link_leaders(docs: DataFrame, leaders: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(id, comp) of every leader linked with another."""
-    rows = cut_lineage(bucket_rows(leaders).distinct())
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = cut_lineage(rows.join(shared, "bucket", "left_semi"))
-    ids = cut_lineage(members.select("id").distinct())
-    leaders = cut_lineage(leaders.join(ids, "id", "left_semi"))
-    sets = stored(full_sets(docs, ids), "shingle-sets")
-    links = cut_lineage(docs.sparkSession.createDataFrame([], "u long, v long"))
-    labels, tested, most = None, links, 1
-    members = _buckets_left(members, None)
-    while not members.isEmpty():
-        pivots = cut_lineage(_pivots(members, most))
-        pairs = members.join(pivots, "bucket").where(F.col("comp") != F.col("pivot_comp")) \
-            .select(F.least("id", "pivot").alias("u"), F.greatest("id", "pivot").alias("v")).distinct()
-        pairs = cut_lineage(pairs.join(tested, ["u", "v"], "left_anti"))
-        found = cut_lineage(similar(cut_lineage(plausible(pairs, leaders, percent)), sets, percent))
-        links, tested = cut_lineage(links.union(found)), cut_lineage(tested.union(pairs))
-        labels = components(links)
-        done = pivots.select("bucket", F.col("pivot").alias("id"))
-        members = _buckets_left(members.select("bucket", "id").join(done, ["bucket", "id"], "left_anti"), labels)
-        most *= GROWTH
-    return components(links) if labels is None else labels
+    """(id, comp) of every leader that shares a bucket."""
+    members = shared_buckets(leaders)
+    labels = cut_lineage(members.select("id").distinct().withColumn("comp", F.col("id")))
+    leaders = cut_lineage(leaders.join(labels, "id", "left_semi"))
+    sets = stored(full_sets(docs, labels.select("id")), "shingle-sets")
+    pivots = members.groupBy("bucket").agg(F.min("id").alias("pivot"))
+    pairs = members.join(pivots.hint("merge"), "bucket").where(F.col("id") != F.col("pivot")) \
+        .select(F.col("pivot").alias("u"), F.col("id").alias("v")).distinct()
+    near = cut_lineage(plausible(cut_lineage(pairs), leaders, percent))
+    labels = relabel(labels, similar(near, sets, percent))
+    blocks = in_blocks(cut_lineage(members.join(labels.hint("merge"), "id")))
+    blocks = blocks.join(leaders.select("id", "sig"), "id").join(sets, "id")
+    found = complete_blocks(blocks, percent)
+    by_id = labels.select(F.col("id").alias("l"), F.col("comp").alias("p"))
+    return relabel(labels, _relabelled(_relabelled(found, "u", by_id), "v", by_id))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -290,12 +354,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     leaders = leaders.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sig").distinct()
     # one document with several texts: its classes share the id, and so one node
     labels = link_leaders(docs, leaders, percent)
-    same = rows.where(can).select("doc_id", "k1", "k2").join(classes, ["k1", "k2"]) \
-        .where(F.col("doc_id") != F.col("id")).select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
-    many = rows.where(can).select("doc_id", "k1", "k2").distinct().groupBy("doc_id") \
-        .agg(F.count("*").alias("c")).where("c > 1").select(F.col("doc_id").alias("u"))
-    odd = cut_lineage(same.join(many, "u", "left_semi").distinct())
-    if not odd.isEmpty():       # such a document also joins the classes of its texts
+    many = cut_lineage(rows.where(can).groupBy("doc_id").agg(
+        F.min("k1").alias("a"), F.max("k1").alias("b"), F.min("k2").alias("c"), F.max("k2").alias("d"))
+        .where("a <> b or c <> d").select("doc_id"))
+    if not many.isEmpty():
+        odd = rows.where(can).select("doc_id", "k1", "k2").join(many, "doc_id", "left_semi") \
+            .join(classes, ["k1", "k2"]).select(F.col("doc_id").alias("u"), F.col("id").alias("v"))       # such a document also joins the classes of its texts
         tied = labels.select(F.col("id").alias("u"), F.col("comp").alias("v")).union(odd)
         labels = components(tied)
     classes = cut_lineage(classes.join(labels, "id", "left").select("k1", "k2", F.coalesce("comp", "id").alias("comp")))
