@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from keelson.functions.time import iso_timestamp
+
 C = F.col
 
 # Event type -> collection, identity pattern and limits as in the reference.
@@ -32,22 +34,21 @@ COLLECTION_BY_EVENT_TYPE = {
     "ai_interaction": "ai_interactions",
 }
 SAFE_KEY = r"^[A-Za-z0-9_.:-]+$"
-MAX_BATCH_EVENTS = 500
-# (field, min length, max length) per type; min 1 = required non-empty.
-BODY_LIMITS = {
-    "telemetry": [("metric", 1, 200), ("unit", 0, 80), ("severity", 0, 50)],
-    "alert": [("severity", 1, 50), ("message", 1, 5000), ("alert_code", 0, 200), ("status", 0, 100)],
-    "diagnostic": [("diagnostic_type", 1, 200), ("status", 0, 100)],
-    "snapshot": [("snapshot_type", 0, 200)],
-    "log": [("level", 1, 50), ("message", 1, 10000), ("service", 0, 250)],
-    "ai_interaction": [("session_id", 0, 250), ("role", 1, 50), ("content", 1, 20000)],
+# Text fields that must not be empty, fields that must be there, and fields that hold objects, by type.
+REQUIRED_TEXT = {
+    "telemetry": ["metric"],
+    "alert": ["severity", "message"],
+    "diagnostic": ["diagnostic_type"],
+    "log": ["level", "message"],
+    "ai_interaction": ["role", "content"],
 }
-ENVELOPE_LIMITS = [("system_key", 200), ("system_id", 200), ("asset_id", 250), ("source", 250),
-                   ("environment", 100), ("correlation_id", 250)]
+REQUIRED_ANY = {"telemetry": ["value"]}
+OBJECT_FIELDS = {"diagnostic": ["payload"], "snapshot": ["state"], "ai_interaction": ["context"]}
+OBJECT_FIELDS_OF_ALL = ["tags"]
 
 
-BODY_FIELDS = sorted({n for n, _ in ENVELOPE_LIMITS} | {n for fs in BODY_LIMITS.values() for n, _, _ in fs}
-                     | {"event_type", "system_name"})
+BODY_FIELDS = sorted({"system_key", "system_id", "asset_id", "source", "environment", "correlation_id", "event_type",
+                      "system_name"} | {n for fs in REQUIRED_TEXT.values() for n in fs})
 # Every known field read as text (objects/numbers keep their JSON text): the
 # body is parsed once per row instead of once per field.
 BODY_SCHEMA = StructType([StructField(n, StringType()) for n in BODY_FIELDS])
@@ -68,24 +69,39 @@ def event_type(raw: Column) -> Column:
     return F.regexp_replace(raw, r"^EventType\.", "")
 
 
-def validate_events(df: DataFrame) -> DataFrame:
-    """Per-type required fields and length limits -> ``reject_reason`` (NULL = valid)."""
-    df = df.withColumn("event_type", event_type(C("raw_type"))).withColumn("_body", parsed_body())
-    t, body = C("event_type"), C("_body")
-    reason = F.lit(None).cast("string")
-    checks = []
-    for name, limit in ENVELOPE_LIMITS:
-        v = _field(name, body)
-        checks.append((F.length(v) > limit, f"{name} is longer than {limit} characters."))
-    for typ, fields in BODY_LIMITS.items():
-        for name, lo, hi in fields:
+def _kind(doc: Column, path: str) -> Column:
+    """Type text of a value inside a VARIANT; NULL where there is none."""
+    return F.schema_of_variant(F.try_variant_get(doc, path, "variant"))
+
+
+def validate_events(df: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
+    """The body is a JSON object with its type's required and object fields -> ``reject_reason`` (NULL = valid).
+
+    ``limits`` maps field names to the most characters a deployment accepts;
+    by default texts of any length pass.
+    """
+    df = df.withColumn("event_type", event_type(C("raw_type"))).withColumn("_body", parsed_body()) \
+        .withColumn("_doc", F.try_parse_json(C("body")))
+    t, body, doc = C("event_type"), C("_body"), C("_doc")
+    checks = [(~F.coalesce(_kind(doc, "$").startswith("OBJECT"), F.lit(False)), "body must be a JSON object.")]
+    for name, most in (limits or {}).items():
+        checks.append((F.length(F.get_json_object("body", f"$.{name}")) > most, f"{name} is longer than {most} characters."))
+    for typ, fields in REQUIRED_TEXT.items():
+        for name in fields:
             v = _field(name, body)
-            if lo > 0:
-                checks.append(((t == typ) & (v.isNull() | (F.length(v) < lo)), f"{typ}: {name} is required."))
-            checks.append(((t == typ) & (F.length(v) > hi), f"{typ}: {name} is longer than {hi} characters."))
+            checks.append(((t == typ) & (v.isNull() | (v == "")), f"{typ}: {name} is required."))
+    for typ, fields in REQUIRED_ANY.items():
+        for name in fields:
+            checks.append(((t == typ) & _kind(doc, f"$.{name}").isNull(), f"{typ}: {name} is required."))
+    for typ, fields in [(None, OBJECT_FIELDS_OF_ALL), *OBJECT_FIELDS.items()]:
+        for name in fields:
+            kind = _kind(doc, f"$.{name}")
+            checks.append(((F.lit(True) if typ is None else t == typ) & ~kind.startswith("OBJECT"),
+                           f"{name} must be an object."))
+    reason = F.lit(None).cast("string")
     for cond, msg in reversed(checks):
         reason = F.when(F.coalesce(cond, F.lit(False)), F.lit(msg)).otherwise(reason)
-    return df.withColumn("reject_reason", reason).drop("_body")
+    return df.withColumn("reject_reason", reason).drop("_body", "_doc")
 
 
 def safe_identity(c: Column) -> Column:
@@ -127,8 +143,11 @@ def resolve_system(df: DataFrame, systems: DataFrame, strict: bool = True) -> Da
         best = rows.groupBy("_v").agg(F.min(F.struct("_rank", "_s")).alias("_b"))
         return best.select(C("_v").alias(f"_p{n}"), C("_b._s").alias(f"_m{n}"))
 
-    ev = (ev.join(lookup(by_key, by_id, 1), C("_key") == C("_p1"), "left").drop("_p1")   # key=key, then id=key
-          .join(lookup(by_id, by_key, 2), C("_id") == C("_p2"), "left").drop("_p2"))     # id=id, then key=id
+    # Events without a key (or id) get a probe value no registry can hold, spread by their body:
+    # as NULLs they would all meet in one task of a shuffled join.
+    spread = F.concat(F.lit("\x00"), F.pmod(F.xxhash64("body", "source_event_id"), F.lit(4096)).cast("string"))
+    ev = (ev.join(lookup(by_key, by_id, 1), F.coalesce(C("_key"), spread) == C("_p1"), "left").drop("_p1")   # key=key, id=key
+          .join(lookup(by_id, by_key, 2), F.coalesce(C("_id"), spread) == C("_p2"), "left").drop("_p2"))     # id=id, key=id
     match = F.coalesce(C("_m1"), C("_m2"))
     valid_ident = identity_ok(C("_key")) & identity_ok(C("_id"))
     has_ident = C("_key").isNotNull() | C("_id").isNotNull()
@@ -151,10 +170,12 @@ def resolve_system(df: DataFrame, systems: DataFrame, strict: bool = True) -> Da
 
 
 def normalize_ts(df: DataFrame, now: Column) -> DataFrame:
-    """ISO-8601 text -> UTC timestamp (``Z``/offsets honoured, naive = UTC, missing -> ``now``)."""
-    text = F.trim(C("timestamp_text"))
-    parsed = F.try_to_timestamp(text)  # cast semantics: ISO date/date-time, 'T', 'Z', offsets
-    ts = F.when(C("timestamp_text").isNull(), now).otherwise(parsed.cast("timestamp_ntz"))
+    """ISO-8601 text -> UTC timestamp (``Z``/offsets honoured, naive = UTC, missing -> ``now``).
+
+    A bare time or year is not a timestamp and is rejected.
+    """
+    parsed = iso_timestamp(C("timestamp_text"))
+    ts = F.when(C("timestamp_text").isNull(), now).otherwise(parsed)
     bad = C("timestamp_text").isNotNull() & parsed.isNull()
     prior = C("reject_reason") if "reject_reason" in df.columns else F.lit(None).cast("string")
     return (df.withColumn("timestamp", ts)
@@ -208,7 +229,8 @@ def validate_keys(df: DataFrame) -> DataFrame:
     parsed or copied for them).
     """
     prior = C("reject_reason") if "reject_reason" in df.columns else F.lit(None).cast("string")
-    candidate = F.when(C("body").rlike(MAYBE_BAD_KEY), C("body"))
+    # an escape can spell any character, so a body with a backslash is walked too
+    candidate = F.when(C("body").rlike(MAYBE_BAD_KEY) | C("body").contains("\\"), C("body"))
     return df.withColumn("reject_reason", F.coalesce(prior, first_bad_key(candidate)))
 
 
@@ -243,22 +265,17 @@ def envelope(df: DataFrame, received_at: Column) -> DataFrame:
     return out.withColumn("payload", F.to_json(payload))
 
 
-def ingest(df: DataFrame, systems: DataFrame, now: Column, strict: bool = True) -> DataFrame:
+def ingest(df: DataFrame, systems: DataFrame, now: Column, strict: bool = True,
+           limits: dict[str, int] | None = None) -> DataFrame:
     """E7 core: E1-E6 in order; every row carries ``reject_reason`` (NULL = accepted).
 
-    A request holding more than 500 events is rejected as a whole.
+    Requests of any size are taken; each event is judged on its own.
     """
-    size = df.groupBy("batch_id").agg(F.count(F.lit(1)).alias("_batch_size"))
-    x = validate_events(df).join(size, "batch_id", "left")
-    x = x.withColumn("reject_reason", F.coalesce(
-        F.when(C("_batch_size") > MAX_BATCH_EVENTS,
-               F.lit(f"A single ingest request is limited to {MAX_BATCH_EVENTS} events.")),
-        C("reject_reason")))
-    x = route_events(x)
+    x = route_events(validate_events(df, limits))
     x = resolve_system(x, systems, strict)
     x = normalize_ts(x, now)
     x = validate_keys(x)
-    return envelope(x, now).drop("_batch_size")
+    return envelope(x, now)
 
 
 def ingest_batch(df: DataFrame, systems: DataFrame, now: Column, strict: bool = True) -> DataFrame:
@@ -323,11 +340,12 @@ def session_rollup(df: DataFrame, ts: str, keys: list[str], value: str, gap: str
 
 
 def dedupe_events(df: DataFrame, keys: list[str], ts: str, order_col: str, window: str = "1 hour") -> DataFrame:
-    """E10 (batch form): keep the earliest event per content key within each ``window`` bucket.
+    """One event per content key and clock ``window``, here the earliest.
 
-    ``min(struct(ts, order_col, ...))`` per key is a partial aggregate, so a
-    hot key is reduced map-side.  The streaming form uses
-    ``dropDuplicatesWithinWatermark``.
+    The same definition holds for streams (``streaming.events.dedupe_stream``):
+    which windows a key has does not depend on how events arrive, so batch and
+    stream keep the same (key, window) pairs.  ``min(struct(ts, order_col, ...))``
+    is a partial aggregate, so a hot key is reduced map-side.
     """
     others = [c for c in df.columns if c not in keys and c not in (ts, order_col)]
     bucket = F.window(ts, window).start.alias("_bucket")

@@ -62,10 +62,10 @@ def q_batch_kpis(r):
     return kpi.batch_kpis(*_v1_args(r), unique_ids=PK_IDS)
 
 
-@query("batch_kpis_fanout", V1_SQL, bench=True)
-def q_batch_kpis_fanout(r):
-    """V1 written as the reference's three-way child join (bench control)."""
-    return kpi.batch_kpis_fanout(*_v1_args(r))
+@query("batch_kpis_exact", V1_SQL)
+def q_batch_kpis_exact(r):
+    """V1 batch KPIs with exact distinct counts, for ids that may repeat."""
+    return kpi.batch_kpis(*_v1_args(r), unique_ids=False)
 
 
 @query("batch_process_summary", f"""

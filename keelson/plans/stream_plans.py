@@ -36,12 +36,12 @@ def q_session_rollup_stream(r):
 
 
 @query("dedupe_events_stream", """
-SELECT DISTINCT user_id, event_type, props FROM events
+SELECT DISTINCT user_id, event_type, props, date_trunc('hour', ts) AS window_start FROM events
 """)
 def q_dedupe_events_stream(r):
-    """E10 streaming dedupe of the content key within the watermark (one micro-batch here)."""
-    out = S.dedupe_stream(r.stream("events"), ["user_id", "event_type", "props"], watermark="1 hour")
-    return S.run_to_table(out, "dedupe_events_stream").select("user_id", "event_type", "props")
+    """E10 streaming dedupe: one event per content key and hour, as the batch form keeps."""
+    out = S.dedupe_stream(r.stream("events"), ["user_id", "event_type", "props"], watermark=WIDE)
+    return S.run_to_table(out, "dedupe_events_stream").select("user_id", "event_type", "props", "window_start")
 
 
 @query("grid_snapshot_stream", telemetry_plans.GRID_SQL)

@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keelson.functions.time import iso_timestamp
+
 C = F.col
 
 # The inference word lists and the delimiter candidates.
@@ -21,7 +23,6 @@ BOOLEAN_WORDS = ["true", "false", "yes", "no", "1", "0"]
 TRUE_WORDS = ["true", "yes", "1"]
 FALSE_WORDS = ["false", "no", "0"]
 DELIMITERS = [",", ";", "\t", "|"]
-SNIFF_BYTES = 8192
 INT_RE = r"^[+-]?[0-9]+$"
 FLOAT_RE = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 FLOAT_WORDS = ["nan", "+nan", "-nan", "inf", "+inf", "-inf", "infinity", "+infinity", "-infinity"]
@@ -30,12 +31,12 @@ TARGET_TYPES = ["TEXT", "BIGINT", "INTEGER", "DOUBLE PRECISION", "NUMERIC", "BOO
 
 # ------------------------------------------------------------------ names
 def normalize_identifier(value: str) -> str:
-    """Lower, non-alphanumeric -> '_', collapse, strip '_', empty -> 'column', leading digit -> 'col_'."""
-    s = "".join(ch if ch.isalnum() or ch == "_" else "_" for ch in value.strip().lower())
-    s = re.sub("_+", "_", s).strip("_")
-    if not s:
-        return "column"
-    return f"col_{s}" if s[0].isdigit() else s
+    """A name made of the runs of letters and digits, lower-cased and joined by '_'.
+
+    Without any it is 'column'; one that starts with a digit gets 'col_' in front.
+    """
+    name = "_".join(re.findall(r"[^\W_]+", value.lower())) or "column"
+    return "col_" + name if name[0].isdigit() else name
 
 
 def unique_identifiers(names: Sequence[str]) -> list[str]:
@@ -61,21 +62,36 @@ def sniff_delimiter(head: str) -> str:
     return best if counts[best] > 0 else ","
 
 
-def csv_source(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
+def csv_source(spark: SparkSession, path: str, delimiter: str | None = None, multi_line: bool = True,
+               bad_rows: str | None = None) -> DataFrame:
     """L1: every column as STRING, header names normalised, BOM dropped, quoted newlines kept.
 
-    The delimiter is sniffed from the header line (first 8 KiB at most) of one
-    file: a ``limit(1)`` over the text source reads only that line, on any
-    Hadoop file system.
+    Without ``delimiter`` it is sniffed from the header line of one file: a
+    ``limit(1)`` over the text source reads only that line, on any Hadoop file
+    system.  Files whose quoted fields hold no line ends can be read with
+    ``multi_line=False``, which splits large files over tasks.  ``bad_rows``
+    names a column that holds the whole line of a row with more or fewer
+    fields than the header (NULL for good rows), see ``split_bad_rows``.
     """
     if delimiter is None:
-        head_row = spark.read.text(path).select(F.substring("value", 1, SNIFF_BYTES)).limit(1).collect()
+        head_row = spark.read.text(path).limit(1).collect()
         delimiter = sniff_delimiter(head_row[0][0] if head_row else "")
-    df = (spark.read.option("header", True).option("sep", delimiter).option("multiLine", True)
-          .option("quote", '"').option("escape", '"').option("encoding", "UTF-8")
-          .option("inferSchema", False).csv(path))
-    names = [c.lstrip("﻿") for c in df.columns]
-    return df.toDF(*unique_identifiers(names))
+    reader = (spark.read.option("header", True).option("sep", delimiter).option("multiLine", multi_line)
+              .option("quote", '"').option("escape", '"').option("encoding", "UTF-8").option("inferSchema", False))
+    found = reader.csv(path).columns
+    names = unique_identifiers([c.lstrip("﻿") for c in found])
+    if bad_rows is None:
+        return reader.csv(path).toDF(*names)
+    schema = ", ".join(f"`{n}` string" for n in [*names, bad_rows])
+    return reader.schema(schema).option("enforceSchema", True).option("columnNameOfCorruptRecord", bad_rows).csv(path)
+
+
+def split_bad_rows(df: DataFrame, bad_rows: str) -> tuple[DataFrame, DataFrame]:
+    """(good rows, rejected lines as (reason, original_row)) of a ``csv_source`` with a ``bad_rows`` column."""
+    wrong = C(f"`{bad_rows}`")
+    rejected = df.where(wrong.isNotNull()).select(F.lit("Row has more or fewer fields than the header.").alias("reason"),
+                                                  wrong.alias("original_row"))
+    return df.where(wrong.isNull()).drop(bad_rows), rejected
 
 
 # ------------------------------------------------------------------ L2
@@ -97,7 +113,7 @@ def is_float(v: Column) -> Column:
 
 
 def is_timestamp(v: Column) -> Column:
-    return F.try_to_timestamp(v).isNotNull()
+    return iso_timestamp(v).isNotNull()
 
 
 def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -139,7 +155,7 @@ def convert(v: Column, target: str) -> Column:
         lw = F.lower(v)
         return F.when(lw.isin(TRUE_WORDS), F.lit(True)).when(lw.isin(FALSE_WORDS), F.lit(False))
     if t == "TIMESTAMPTZ":
-        return F.try_to_timestamp(v).cast("timestamp_ntz")
+        return iso_timestamp(v)
     if t == "DATE":
         return v.try_cast("date")
     return v

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
+from keelson.session import cut_lineage
+
 C = F.col
 
 
@@ -39,14 +41,22 @@ def write_table(df: DataFrame, path: str, mode: str = "create", partition_by=Non
     w.parquet(path)
 
 
-def event_sink(events: DataFrame, path: str, mode: str = "append", max_records_per_file: int = 5_000_000) -> None:
+def event_sink(events: DataFrame, path: str, mode: str = "append", max_records_per_file: int = 5_000_000,
+               rejected_path: str | None = None) -> None:
     """Accepted events, one folder per collection and day, sorted by (system, time desc).
 
+    Rejected events go to ``rejected_path`` (default: ``path`` + ``_rejected``) with their reason and body.
+    The judged events are written once to the shared folder first, so that the range
+    sampling and the two writes do not run the checks again.
+
     Range partitioning on (collection, day, system, time) keeps each task's
     rows in few folders while splitting a hot (collection, day) -- one that
     holds a third of all events -- over many tasks; every file is sorted in
     the reference's index order (system_key, timestamp desc).
     """
+    events = cut_lineage(events)
+    bad = events.where(C("reject_reason").isNotNull())
+    bad.write.mode(mode).parquet(rejected_path or path.rstrip("/") + "_rejected")
     out = (events.where(C("reject_reason").isNull())
            .withColumn("event_date", F.to_date("timestamp"))
            .repartitionByRange("collection", "event_date", "system_key", C("timestamp").desc())

@@ -55,12 +55,30 @@ def test_validation_timestamps_keys_and_routing(spark):
     assert r[2].collection == "alert_events" and r[3].reject_reason == "Unsupported event type 'metrics'."
 
 
-def test_batch_over_500_rejected(spark):
+def test_large_requests_are_taken_whole(spark):
     rows = [(i, "big", "plant-a", None, "log", None, None, None, '{"level":"i","message":"m"}') for i in range(501)]
-    rows += [(1000, "small", "plant-a", None, "log", None, None, None, '{"level":"i","message":"m"}')]
-    out = {r.batch_id: r for r in E.ingest_batch(spark.createDataFrame(rows, SCHEMA), _systems(spark), NOW_()).collect()}
-    assert (out["big"].accepted, out["big"].rejected) == (0, 501)
-    assert (out["small"].accepted, out["small"].rejected) == (1, 0)
+    out = E.ingest_batch(spark.createDataFrame(rows, SCHEMA), _systems(spark), NOW_()).collect()
+    assert [(r.events, r.accepted, r.rejected) for r in out] == [(501, 501, 0)]
+
+
+def test_broken_bodies_escaped_keys_and_short_times_are_rejected(spark):
+    bodies = [("snapshot", "{not json", None), ("snapshot", "[1,2]", None), ("snapshot", None, None),
+              ("snapshot", '{"\\u0024set":1}', None), ("snapshot", '{"a\\u002eb":2}', None),
+              ("telemetry", '{"metric":"m"}', None), ("snapshot", '{"state":[1]}', None), ("snapshot", '{"tags":"x"}', None),
+              ("snapshot", '{"state":{}}', "12:30"), ("snapshot", '{"state":{}}', "2024"),
+              ("telemetry", '{"metric":"m","value":null}', "2024-01-01"), ("snapshot", '{"state":{"a":1}}', "2024-01-01T10:00")]
+    rows = [(i, "b", "plant-a", None, t, None, None, ts, body) for i, (t, body, ts) in enumerate(bodies)]
+    got = {r.source_event_id: r for r in E.ingest(spark.createDataFrame(rows, SCHEMA), _systems(spark), NOW_()).collect()}
+    for i in (0, 1, 2):
+        assert got[i].reject_reason == "body must be a JSON object."
+    assert got[3].reject_reason.startswith("Invalid field name '$set'") and "a.b" in got[4].reject_reason
+    assert got[5].reject_reason == "telemetry: value is required."
+    assert got[6].reject_reason == "state must be an object." and got[7].reject_reason == "tags must be an object."
+    assert got[8].reject_reason == got[9].reject_reason == "timestamp must be a valid ISO-8601 datetime."
+    assert got[10].reject_reason is None and got[11].reject_reason is None
+    assert got[11].timestamp == dt.datetime(2024, 1, 1, 10) and got[11].payload == '{"state":{"a":1}}'
+    v = E.validate_events(spark.createDataFrame(rows, SCHEMA), limits={"metric": 0})
+    assert {r.source_event_id for r in v.where("reject_reason like 'metric is longer%'").collect()} == {5, 10}
 
 
 def test_chunked_sessions_equal_single_pass(spark):

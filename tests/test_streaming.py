@@ -10,6 +10,16 @@ from keelson.streaming import events as S
 from .conftest import SF_SMALL
 
 
+def run_to_memory(df, name, mode="append"):
+    """Drive a stream over its available input into the memory sink."""
+    import uuid
+    name = f"{name}_{uuid.uuid4().hex}"
+    q = (df.writeStream.outputMode(mode).format("memory").queryName(name)
+         .option("checkpointLocation", tempfile.mkdtemp(prefix="keelson-mem-")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return df.sparkSession.table(name)
+
+
 def _stream_dir(spark):
     d = tempfile.mkdtemp(prefix="keelson-stream-")
     ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
@@ -22,7 +32,7 @@ def test_windowed_rollup_stream_equals_batch(spark):
     src = S.read_stream(spark, f"{d}/events", ev.schema)
     # Complete mode with a watermark wider than the data: every window is final
     # (append mode emits a window only after the watermark passes its end).
-    got = S.run_to_memory(S.windowed_rollup_stream(src, watermark="40 days"), "wr_stream", mode="complete")
+    got = run_to_memory(S.windowed_rollup_stream(src, watermark="40 days"), "wr_stream", mode="complete")
     want = E.windowed_rollup(ev, "ts", ["event_type"], "value", "1 hour")
     key = ["window_start", "event_type", "events", "value_sum"]
     assert sorted(map(tuple, got.select(*key).collect())) == sorted(map(tuple, want.select(*key).collect()))
@@ -36,7 +46,7 @@ def test_ingest_stream_equals_batch(spark):
     raw.write.parquet(f"{d}/raw")
     now = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
     src = S.read_stream(spark, f"{d}/raw", raw.schema, max_files=100)
-    got = S.run_to_memory(S.ingest_stream(src, r.systems, now).select("source_event_id", "reject_reason"), "ing_stream")
+    got = run_to_memory(S.ingest_stream(src, r.systems, now).select("source_event_id", "reject_reason"), "ing_stream")
     want = E.ingest(raw, r.systems, now).select("source_event_id", "reject_reason")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
@@ -44,8 +54,12 @@ def test_ingest_stream_equals_batch(spark):
 def test_dedupe_stream_drops_repeats(spark):
     d, ev = _stream_dir(spark)
     src = S.read_stream(spark, f"{d}/events", ev.schema)
-    got = S.run_to_memory(S.dedupe_stream(src, ["event_id"], watermark="40 days"), "dd_stream")
-    assert got.count() == ev.count()  # event ids are unique
+    keys = ["user_id", "event_type"]
+    got = run_to_memory(S.dedupe_stream(src, keys, watermark="40 days"), "dd_stream")     # four micro-batches
+    want = E.dedupe_events(ev, keys, "ts", "event_id").select(*keys, F.window("ts", "1 hour").start.alias("w"))
+    assert got.count() < ev.count()
+    assert sorted(map(tuple, got.select(*keys, F.col("window_start")).collect())) == sorted(
+        map(tuple, want.select(*keys, F.col("w").cast("timestamp_ntz")).collect()))
 
 
 def test_route_to_collections_foreach_batch(spark):
