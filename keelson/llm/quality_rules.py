@@ -70,8 +70,11 @@ def _measured(d: DataFrame, carry: list[str]) -> DataFrame:
     count = F.size("w")
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     d = d.withColumn("ln", lines).withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
-    d = add_window_repeats(d, "h", "repeated").select(
-        *carry, count.cast("long").alias("n_words"), chars.cast("long").alias("word_chars"),
+    # The measures pass through a generator of one row: a filter on them would otherwise be pushed below
+    # with a copy of their whole expression tree for every use of a column.  The random field (never
+    # looked at) keeps the optimizer from deriving such a filter of its own.
+    raw = F.struct(
+        count.cast("long").alias("n_words"), chars.cast("long").alias("word_chars"),
         (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("ln") - F.size(F.array_distinct("ln"))).cast("long").alias("n_dup_lines"),
         F.col("repeated").cast("long").alias("n_repeat_words"),
@@ -79,7 +82,8 @@ def _measured(d: DataFrame, carry: list[str]) -> DataFrame:
         (F.length("t") - F.length(F.translate("t", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).alias("n_upper"),
         (F.length("t") - F.length(F.translate("t", "|", ""))).alias("n_bars"),
         F.size(F.array_intersect(F.transform(F.array_distinct("w"), lambda x: lower_az(F.rtrim(x, F.lit(".,")))),
-                                 F.array(*[F.lit(x) for x in STOP_WORDS]))).alias("n_stops"))
+                                 F.array(*[F.lit(x) for x in STOP_WORDS]))).alias("n_stops"), F.rand(0).alias("r"))
+    d = add_window_repeats(d, "h", "repeated").select(*carry, F.explode(F.array(raw)).alias("m")).select(*carry, "m.*")
     n = F.col("n_words")
     return d.select(
         *carry, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -132,7 +136,5 @@ def keep_good(docs: DataFrame, rules=RULES) -> DataFrame:
     names = docs.columns
     carried = docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`text`").cast("string").alias("text"),
                           F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
-    # The verdict passes through a generator of one row: a filter directly on it would be pushed below
-    # the measures, with a copy of their whole expression tree for every use of a column.
-    seen = judged(carried, rules).select("_row", F.explode(F.array(F.col("kept") & (F.rand(0) >= 0))).alias("kept"))
+    seen = judged(carried, rules)
     return seen.where("kept").select(*[F.col("_row")[c].alias(c) for c in names])
