@@ -44,8 +44,8 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(z[:, None] - self.cuts[None, :], -40, 40)))
 
 
-def fit(texts: list[bytes], grades: np.ndarray, n_grades: int, epochs: int = 60, rate: float = 0.3,
-        l1: float = 3e-4) -> OrdinalModel:
+def fit(texts: list[bytes], grades: np.ndarray, n_grades: int, epochs: int = 200, rate: float = 0.5,
+        l1: float = 2e-4) -> OrdinalModel:
     """Proximal Adagrad on the cumulative-link likelihood (full batches, sparse rows).
 
     The l1 penalty keeps the weights of ordinary words at zero, so a long clean text
@@ -160,10 +160,10 @@ def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
         .mapInArrow(run, schema)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """Fit on the labelled part of ``docs`` (labels: doc_id, toxic) and score all of it."""
+def toxicity(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, **fitting) -> DataFrame:
+    """Fit on the labelled part of ``docs`` (labels: doc_id, toxic; at most ``most`` rows) and score all of it."""
     lab = pick(labels, doc_id="long", toxic="int").where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     few = lab.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)          # bounded before texts are fetched
     rows = pick(docs, doc_id="long", text="string").join(F.broadcast(few), "doc_id")
     texts, grades = severity_grades(rows, most)
-    return score(docs, fit(texts, grades, 3))
+    return score(docs, fit(texts, grades, 3, **fitting))
