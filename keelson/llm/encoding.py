@@ -14,20 +14,28 @@ import re
 
 import numpy as np
 
-WIDE_SPACE = re.compile(r"\s\s|\s\Z")
-MAX_PIECES = 250_000        # remembered pieces in each of two generations, per worker
+OTHER_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+MAX_PIECES = 600_000        # remembered pieces in each of two generations, per worker
+JOINED = 32                 # new pieces encoded in one string
 MAX_PIECE_CHARS = 64        # longer pieces are not remembered
 
 
+def is_plain(text: str) -> bool:
+    """True if the only white space is single spaces and line ends between other characters."""
+    return not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[-1] in " \n"
+                or OTHER_SPACE.search(text))
+
+
 class PieceEncoder:
     """``encode_many(texts)`` -> little-endian ids of each text as bytes.
 
     ``whole(texts)`` is the plain encoder of several texts; ``specials`` are strings it
-    treats apart.
+    treats apart; ``offsets(texts)`` gives (ids, places of their first characters), with
+    which many short pieces are encoded in one string.
     """
 
-    def __init__(self, whole, dtype, specials=()):
-        self.whole, self.dtype, self.specials = whole, np.dtype(dtype), tuple(specials)
+    def __init__(self, whole, dtype, specials=(), offsets=None):
+        self.whole, self.dtype, self.specials, self.offsets = whole, np.dtype(dtype), tuple(specials), offsets
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -47,14 +55,50 @@ class PieceEncoder:
             else:
                 young[p] = ids
         long = {}
-        for p, ids in zip(new, self.plain(new) if new else ()):
+        for p, ids in self.encode_pieces(new):
             (young if len(p) <= MAX_PIECE_CHARS else long)[p] = ids
         return long
 
+    def encode_pieces(self, pieces: list[str]):
+        """(piece, ids) of each.  Pieces of one word stand in a row with JOINED others: the text
+        splits before a word's leading space anyway, or at a line end put before it."""
+        alone, rows = [], [[]]
+        for p in pieces:
+            core = p[1:] if p[:1] == " " else p
+            if self.offsets is None or not core or core[0].isspace() or core[-1].isspace():
+                alone.append(p)
+            else:
+                if len(rows[-1]) == JOINED:
+                    rows.append([])
+                rows[-1].append(p)
+        yield from zip(alone, self.plain(alone) if alone else ())
+        texts, starts = [], []
+        for row in rows if rows[-1] else ():
+            at, begin, parts = 0, [], []
+            for p in row:
+                if p[0] != " ":
+                    parts.append("\n")
+                    at += 1
+                begin.append(at)
+                parts.append(p)
+                at += len(p)
+            texts.append("".join(parts))
+            starts.append(begin)
+        if not texts:
+            return
+        for row, begin, (ids, places) in zip(rows, starts, self.offsets(texts)):
+            ids, places = np.asarray(ids, self.dtype), np.asarray(places)
+            left = np.searchsorted(places, begin).tolist()
+            # a line end put before the next piece is the last id before it
+            right = left[1:] + [len(ids)]
+            for j, p in enumerate(row):
+                stop = right[j] - (j + 1 < len(row) and row[j + 1][0] != " ")
+                yield p, ids[left[j]:stop].tobytes()
+
     def encode_many(self, texts: list[str]) -> list[bytes]:
         split, out, pieces = [], [], set()
         for text in texts:
-            if not text or WIDE_SPACE.search(text) or any(s in text for s in self.specials):
+            if not text or not is_plain(text) or any(s in text for s in self.specials):
                 split.append(None)
                 continue
             got = None
@@ -63,10 +107,13 @@ class PieceEncoder:
                 pieces.update(got)
             split.append(got)
         long = self.learn(pieces)
-        known = {**self.young, **long} if long else self.young
+        known = self.young
+        known.update(long)
         for text, got in zip(texts, split):
             out.append(self.plain([text])[0] if got is None and text else
                        b"".join([known[p] for p in got]) if got else b"")
+        for p in long:
+            del known[p]
         return out
 
 
@@ -84,7 +131,10 @@ def tokenizers_encoder(path: str) -> PieceEncoder:
 
         def whole(texts):
             return [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
-        _ENCODERS[path] = PieceEncoder(whole, dtype, specials)
+
+        def offsets(texts):
+            return [(e.ids, [o[0] for o in e.offsets]) for e in tok.encode_batch(texts, add_special_tokens=False)]
+        _ENCODERS[path] = PieceEncoder(whole, dtype, specials, offsets)
     return _ENCODERS[path]
 
 
