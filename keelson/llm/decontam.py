@@ -27,18 +27,29 @@ WINDOW = 10
 SEEDS = 2
 MOST_BROADCAST = 200_000        # rows of terms, seeds or document keys that may be broadcast
 SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-SEPARATORS = "".join(map(chr, [*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]))
+RAW_SPLIT = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"        # the same before lower-casing
+SEPARATORS = "".join(map(chr, [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
+
+
+def raw_words(text: Column) -> Column:
+    """Runs of letters, digits and non-ASCII characters, as written."""
+    return words(text, RAW_SPLIT, SEPARATORS)
 
 
 def phrase_words(text: Column) -> Column:
-    """Lower-cased (A-Z) runs of letters, digits and non-ASCII characters."""
+    """The same, lower-cased (A-Z)."""
     return words(lower_az(text), SPLIT, SEPARATORS)
 
 
+def term_of(word: Column) -> Column:
+    """A word lower-cased (A-Z); ``lower`` does that in one pass over the bytes of an ASCII word."""
+    return F.when(F.length(word) == F.octet_length(word), F.lower(word)).otherwise(lower_az(word))
+
+
 def corpus(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, w): ``fp`` tells rows with one id and different texts apart."""
+    """(doc_id, fp, text) of the rows with a text: ``fp`` tells rows with one id and different texts apart."""
     d = pick(docs, doc_id="long", text="string").where(F.col("text").isNotNull())
-    return d.select("doc_id", F.xxhash64("text").alias("fp"), phrase_words(F.col("text")).alias("w"))
+    return d.select("doc_id", F.xxhash64("text").alias("fp"), "text")
 
 
 def test_items(benchmark: DataFrame) -> DataFrame:
@@ -53,7 +64,8 @@ def seeds_of(items: DataFrame, docs: DataFrame, window: int = WINDOW, seeds: int
     """(term, item, off, need): the rarest terms of each window that can occur, and how many seeds must agree."""
     places = items.select("item", F.size("iw").alias("n"), F.posexplode("iw").alias("off", "term"))
     terms = small_side(places.select("term").distinct(), MOST_BROADCAST)
-    seen = docs.select(F.explode("w").alias("term")).join(terms, "term").groupBy("term").agg(F.count("*").alias("tf"))
+    every = docs.select(F.explode(raw_words(F.col("text"))).alias("word")).select(term_of(F.col("word")).alias("term"))
+    seen = every.join(terms, "term").groupBy("term").agg(F.count("*").alias("tf"))
     places = places.join(cut_lineage(seen), "term")            # a term the corpus lacks rules its windows out
     starts = F.sequence(F.greatest(F.lit(0), F.col("off") - window + 1),
                         F.greatest(F.lit(0), F.least(F.col("off"), F.col("n") - window)))
@@ -69,8 +81,9 @@ def seeds_of(items: DataFrame, docs: DataFrame, window: int = WINDOW, seeds: int
 def build_index(docs: DataFrame, seeds: DataFrame) -> DataFrame:
     """(term, doc_id, fp, pos): stored postings of the seed terms."""
     terms = small_side(seeds.select("term").distinct(), MOST_BROADCAST)
-    return stored(docs.select("doc_id", "fp", F.posexplode("w").alias("pos", "term")).join(terms, "term")
-                  .select("term", "doc_id", "fp", "pos"), "postings")
+    every = docs.select("doc_id", "fp", F.posexplode(raw_words(F.col("text"))).alias("pos", "word")) \
+        .select(term_of(F.col("word")).alias("term"), "doc_id", "fp", "pos")
+    return stored(every.join(terms, "term"), "postings")
 
 
 def diagonals(index: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -89,7 +102,9 @@ def exact_matches(docs: DataFrame, items: DataFrame, found: DataFrame, window: i
     cands = cut_lineage(cands).select(F.col("doc_id").alias("c_id"), F.col("fp").alias("c_fp"), "cands")
     keys = small_side(cands.select("c_id", "c_fp"), MOST_BROADCAST)
     same = F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("fp") == F.col("c_fp"))
-    d = docs.join(keys, same, "left_semi").distinct().join(cands, same)
+    # words below the join: a projection right under the lambdas would be split again for every comparison
+    d = docs.join(keys, same, "left_semi").select("doc_id", "fp", phrase_words(F.col("text")).alias("w"))
+    d = d.distinct().join(cands, same)
     w = F.col("w")
 
     def windows(c):
@@ -138,7 +153,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
         F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item_id"]))).alias("items")))
     d = pick(docs, doc_id="long", text="string").select(
         "doc_id", F.xxhash64("text").alias("fp"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(phrase_words(F.col("text")))).cast("long").alias("n_words"))
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(raw_words(F.col("text")))).cast("long").alias("n_words"))
     d = d.join(small_side(hits, MOST_BROADCAST), F.col("doc_id").eqNullSafe(F.col("h_id"))
                & (F.col("fp") == F.col("h_fp")) & (F.col("n_words") > 0), "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
