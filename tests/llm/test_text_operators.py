@@ -143,6 +143,12 @@ def test_network_is_a_distribution_and_its_gradient_is_right():
         assert abs((before[name][at] - q[name][at]) - slope) < 2e-3 * max(1, abs(slope)) + 1e-4, name
 
 
+def test_network_keeps_its_size():
+    from keelson.llm import lm_scoring as L
+    p = L.new_params(L.Lexicon([b"a", b"b"], np.array([3, 2]), 10, 3, 5))
+    assert p["U"].shape == (24, 72) and p["W"].shape == (16, 72)
+
+
 # ---- 3 ---------------------------------------------------------------------------------
 def test_mixing(spark, docs, empty, corpus):
     from keelson.llm.mixing import mixed, queue
