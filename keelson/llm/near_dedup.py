@@ -1,10 +1,11 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
-1. Every text becomes its set of 3-word shingles (64-bit hashes) and a signature of
-   125 minima.  Texts with equal sets are one class, led by its smallest ``doc_id``;
+1. Every text becomes its set of word shingles (64-bit hashes; three words unless the
+   caller asks for another length) and a signature of minima, 125 for 85 percent.  Texts with equal sets are one class, led by its smallest ``doc_id``;
    from here on only leaders take part, so a text that is copied a million times costs
    what one text costs.
-2. Leaders that agree on one of 25 bands of 5 minima share a bucket.
+2. Leaders that agree on one band of minima share a bucket: 25 bands of 5 from 85 percent
+   on, below that bands of 4, as many as keep the chance of a miss (28 at 80 percent).
 3. First every member of a bucket is compared with its smallest one, the pivot.  In a
    group of near copies this links nearly all, at one comparison a member.
 4. Buckets whose members are not all in one component by then are completed inside
@@ -17,7 +18,8 @@
 6. Links are contracted to components by minimum labels.
 
 A pair at the wanted similarity of 0.85 fails to share a bucket with probability
-(1 - 0.85^5)^25 = 4e-7; more similar pairs more rarely.  Nothing is gathered on the
+(1 - 0.85^5)^25 = 4e-7, one at 0.8 with (1 - 0.8^4)^28 = 4e-7; more similar pairs more
+rarely.  Nothing is gathered on the
 driver; lineage is cut in the shared folder after each step.
 """
 
@@ -37,12 +39,19 @@ from .text import Words, chunks, mix, pick, small_side, stored
 SHINGLE, PERCENT = 3, 85
 BANDS, ROWS = 25, 5
 HASHES = BANDS * ROWS
+SKIP = 5e-7                 # most chance that a pair at the wanted similarity shares no bucket
 BATCH = 25                  # minima compared at once
 MISS = 1e-7                 # chance that the comparison drops a pair that is similar enough
 MOST_BROADCAST = 200_000    # document ids that may be broadcast
 BLOCK = 512                 # members, and outsiders, of a bucket that meet in one task at most
-_SEEDS = mix(np.arange(1, 2 * HASHES + 1, dtype=np.uint64))
-_XOR, _MUL = _SEEDS[:HASHES], _SEEDS[HASHES:] | np.uint64(1)
+
+
+def banding(percent: int = PERCENT) -> tuple[int, int]:
+    """(bands, rows of a band) that miss a pair at the wanted similarity with a chance of SKIP at most."""
+    if percent >= PERCENT:
+        return BANDS, ROWS
+    rows = ROWS - 1
+    return math.ceil(math.log(SKIP) / math.log1p(-(percent / 100) ** rows)), rows
 
 
 def shingle_sets(texts: list[bytes], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -66,14 +75,16 @@ def shingle_sets(texts: list[bytes], k: int = SHINGLE) -> tuple[np.ndarray, np.n
     return (np.concatenate(sets) if sets else np.zeros(0, np.uint64)), np.cumsum(sizes)
 
 
-def signatures(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """(texts, HASHES) uint32 minima; rows of empty sets are zero."""
-    out = np.zeros((len(bounds) - 1, HASHES), np.uint32)
+def signatures(sets: np.ndarray, bounds: np.ndarray, hashes: int = HASHES) -> np.ndarray:
+    """(texts, hashes) uint32 minima; rows of empty sets are zero."""
+    out = np.zeros((len(bounds) - 1, hashes), np.uint32)
+    seeds = mix(np.arange(1, 2 * hashes + 1, dtype=np.uint64))
+    xors, muls = seeds[:hashes], seeds[hashes:] | np.uint64(1)
     full = np.flatnonzero(np.diff(bounds))
     if len(full):
         at = bounds[full]
-        for j in range(HASHES):
-            h = (sets ^ _XOR[j]) * _MUL[j]
+        for j in range(hashes):
+            h = (sets ^ xors[j]) * muls[j]
             out[full, j] = (np.minimum.reduceat(h, at) >> np.uint64(32)).astype(np.uint32)
     return out
 
@@ -87,16 +98,17 @@ def set_keys(sets: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     return keys
 
 
-def profile(docs: DataFrame) -> DataFrame:
+def profile(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, k1, k2, sig) of every row; a null text has an empty set."""
+    hashes = math.prod(banding(percent))
     schema = "doc_id long, n_shingles long, k1 long, k2 long, sig binary"
 
     def run(batches):
         for b in batches:
             texts = b.column(1)
             for first, last in chunks(texts):
-                sets, bounds = shingle_sets([t or b"" for t in texts.slice(first, last - first).to_pylist()])
-                sig = signatures(sets, bounds)
+                sets, bounds = shingle_sets([t or b"" for t in texts.slice(first, last - first).to_pylist()], shingle)
+                sig = signatures(sets, bounds, hashes)
                 yield pa.record_batch(
                     [b.column(0).slice(first, last - first), pa.array(np.diff(bounds))]
                     + [pa.array(k) for k in set_keys(sets, bounds)] + [pa.array([r.tobytes() for r in sig], pa.binary())],
@@ -109,13 +121,13 @@ def _binary_text(docs: DataFrame) -> DataFrame:
     return pick(docs, doc_id="long", text="string").withColumn("text", F.col("text").cast("binary"))
 
 
-def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def full_sets(docs: DataFrame, ids: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(id, shingles) of the documents in ``ids``."""
     def run(batches):
         for b in batches:
             texts = b.column(1)
             for first, last in chunks(texts):
-                sets, bounds = shingle_sets([t or b"" for t in texts.slice(first, last - first).to_pylist()])
+                sets, bounds = shingle_sets([t or b"" for t in texts.slice(first, last - first).to_pylist()], shingle)
                 yield pa.record_batch([b.column(0).slice(first, last - first), pa.array(
                     [sets[bounds[i]:bounds[i + 1]].tobytes() for i in range(last - first)], pa.binary())],
                     names=["id", "shingles"])
@@ -124,19 +136,21 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return wanted.mapInArrow(run, "id long, shingles binary")
 
 
-def bucket_rows(leaders: DataFrame) -> DataFrame:
+def bucket_rows(leaders: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(bucket, band, id): one row per band of each leader."""
+    n_bands, n_rows = banding(percent)
+
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(-1, BANDS, ROWS).astype(np.uint64)
-            key = np.broadcast_to(mix(np.arange(1, BANDS + 1, dtype=np.uint64)), sig.shape[:2])
-            for r in range(ROWS):
+            sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(-1, n_bands, n_rows).astype(np.uint64)
+            key = np.broadcast_to(mix(np.arange(1, n_bands + 1, dtype=np.uint64)), sig.shape[:2])
+            for r in range(n_rows):
                 key = mix(key * np.uint64(31) + sig[:, :, r])
             yield pa.record_batch([
-                pa.array(key.reshape(-1).view(np.int64)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(sig))),
-                pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False), BANDS))], names=["bucket", "band", "id"])
+                pa.array(key.reshape(-1).view(np.int64)), pa.array(np.tile(np.arange(n_bands, dtype=np.int32), len(sig))),
+                pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False), n_bands))], names=["bucket", "band", "id"])
 
     return leaders.select("id", "sig").mapInArrow(run, "bucket long, band int, id long")
 
@@ -148,7 +162,7 @@ def least_matches(percent: int = PERCENT, miss: float = MISS) -> list[int]:
     P(similarity >= t) = P(Binomial(n + 1, t) <= m).
     """
     t, out = percent / 100, []
-    for n in range(BATCH, HASHES + 1, BATCH):
+    for n in range(BATCH, math.prod(banding(percent)) + 1, BATCH):
         total, m = 0.0, -1
         while total < miss:
             m += 1
@@ -159,13 +173,13 @@ def least_matches(percent: int = PERCENT, miss: float = MISS) -> list[int]:
 
 def plausible(pairs: DataFrame, leaders: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (u, v) whose set sizes and signatures leave the wanted similarity possible."""
-    least = least_matches(percent)
+    least, hashes = least_matches(percent), math.prod(banding(percent))
 
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(-1, HASHES) for c in (2, 3))
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(-1, hashes) for c in (2, 3))
             alive, same = np.arange(b.num_rows), np.zeros(b.num_rows, np.int64)
             for i, m in enumerate(least):
                 part = slice(i * BATCH, (i + 1) * BATCH)
@@ -226,9 +240,9 @@ def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     return labels
 
 
-def shared_buckets(leaders: DataFrame) -> DataFrame:
+def shared_buckets(leaders: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(bucket, band, id) of buckets with two members or more; of buckets with the same members, the first band's."""
-    rows = cut_lineage(bucket_rows(leaders))
+    rows = cut_lineage(bucket_rows(leaders, percent))
     sizes = rows.groupBy("bucket", "band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"),
                                                F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).where("n > 1")
     one = sizes.groupBy("n", "x", "y").agg(F.min(F.struct("band", "bucket")).alias("b")).select("b.bucket")
@@ -262,7 +276,7 @@ def complete_blocks(blocks: DataFrame, percent: int = PERCENT) -> DataFrame:
     A pair is looked at only in its first common band, so not again in other buckets; a pair
     that the links found so far connect is skipped.
     """
-    least = least_matches(percent)
+    least, shape = least_matches(percent), banding(percent)
 
     def links(rows):
         band = rows[0][1]
@@ -293,7 +307,7 @@ def complete_blocks(blocks: DataFrame, percent: int = PERCENT) -> DataFrame:
                 alive = alive[same[alive] >= m]
             if not len(alive):
                 continue
-            bands = (sig[alive].reshape(-1, BANDS, ROWS) == mine.reshape(BANDS, ROWS)).all(2)
+            bands = (sig[alive].reshape(-1, *shape) == mine.reshape(shape)).all(2)
             for x in alive[bands.argmax(1) == band]:
                 if root(r[6]) == root(int(comps[x])):
                     continue
@@ -321,12 +335,12 @@ def complete_blocks(blocks: DataFrame, percent: int = PERCENT) -> DataFrame:
     return b.select("bucket", "band", "i", "j", "outside", "id", "comp", "sig", "shingles").mapInArrow(run, "u long, v long")
 
 
-def link_leaders(docs: DataFrame, leaders: DataFrame, percent: int = PERCENT) -> DataFrame:
+def link_leaders(docs: DataFrame, leaders: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """(id, comp) of every leader that shares a bucket."""
-    members = shared_buckets(leaders)
+    members = shared_buckets(leaders, percent)
     labels = cut_lineage(members.select("id").distinct().withColumn("comp", F.col("id")))
     leaders = cut_lineage(leaders.join(labels, "id", "left_semi"))
-    sets = stored(full_sets(docs, labels.select("id")), "shingle-sets")
+    sets = stored(full_sets(docs, labels.select("id"), shingle), "shingle-sets")
     pivots = members.groupBy("bucket").agg(F.min("id").alias("pivot"))
     pairs = members.join(pivots.hint("merge"), "bucket").where(F.col("id") != F.col("pivot")) \
         .select(F.col("pivot").alias("u"), F.col("id").alias("v")).distinct()
@@ -339,21 +353,21 @@ def link_leaders(docs: DataFrame, leaders: DataFrame, percent: int = PERCENT) ->
     return relabel(labels, _relabelled(_relabelled(found, "u", by_id), "v", by_id))
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per input row.
 
-    Texts are lower-cased (A-Z).  Fewer than three words make one shingle; null and blank
+    Texts are lower-cased (A-Z).  Fewer than ``shingle`` words make one shingle; null and blank
     texts have none and link with nothing.  Rows that share a ``doc_id`` are one document:
     what either links to, both do.  Rows with a null ``doc_id`` are kept and link with
     nothing (component null).  Extra columns are ignored; texts are read whole.
     """
-    rows = stored(profile(docs), "minhash")
+    rows = stored(profile(docs, percent, shingle), "minhash")
     can = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     classes = cut_lineage(rows.where(can).groupBy("k1", "k2").agg(F.min("doc_id").alias("id")))
     leaders = rows.where(can).join(classes.withColumnRenamed("id", "doc_id"), ["doc_id", "k1", "k2"], "left_semi")
     leaders = leaders.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sig").distinct()
     # one document with several texts: its classes share the id, and so one node
-    labels = link_leaders(docs, leaders, percent)
+    labels = link_leaders(docs, leaders, percent, shingle)
     many = cut_lineage(rows.where(can).groupBy("doc_id").agg(
         F.min("k1").alias("a"), F.max("k1").alias("b"), F.min("k2").alias("c"), F.max("k2").alias("d"))
         .where("a <> b or c <> d").select("doc_id"))
@@ -370,9 +384,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                       F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
 
 
-def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def one_of_each(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """``docs`` without the rows that are not kept; all columns stay."""
-    gone = near_duplicates(docs.select("doc_id", "text"), percent).where(~F.col("kept")) \
+    gone = near_duplicates(docs.select("doc_id", "text"), percent, shingle).where(~F.col("kept")) \
         .select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(small_side(cut_lineage(gone), MOST_BROADCAST),
                      F.col("`doc_id`").cast("long") == F.col("_gone"), "left_anti")

@@ -45,3 +45,34 @@ def test_pipeline_stages(spark):
     empty = spark.read.parquet(f"{SF_SMALL}/documents.parquet").limit(0)
     for name, stage in P.STAGES:
         assert stage(spark, empty, SF_SMALL).count() == 0, name
+
+
+def test_near_dedup_stage_takes_five_words_and_80_percent(spark):
+    import random
+
+    import corpus_pipeline as P
+
+    from .conftest import make
+    r = random.Random(3)
+    word = lambda: f"w{r.randrange(10**9)}"
+    rows, linked = [], []
+    for i, extra in enumerate((180, 210, 240)):             # one block added: Jaccard 0.847 to 0.806
+        base = [word() for _ in range(1000)]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base + [word() for _ in range(extra)]))]
+        linked.append(2 * i + 1)
+    for i, edits in enumerate((24, 27), 50):                # scattered edits: 0.785 to 0.761 on five words
+        base = [word() for _ in range(1000)]
+        new = base[:]
+        for j in range(edits):
+            new[36 * j + 10] = word()
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(new))]
+    out = P.near_dedup(spark, make(spark, rows), "")
+    assert sorted(x.doc_id for x in out.collect()) == sorted(d for d, _ in rows if d not in linked)
+
+
+def test_bands_miss_few_pairs():
+    from keelson.llm.near_dedup import SKIP, banding, least_matches
+    assert banding() == (25, 5)
+    for percent in (50, 80, 85, 95):
+        bands, rows = banding(percent)
+        assert (1 - (percent / 100) ** rows) ** bands <= SKIP and least_matches(percent)
