@@ -149,6 +149,32 @@ def test_network_keeps_its_size():
     assert p["U"].shape == (24, 72) and p["W"].shape == (16, 72)
 
 
+def test_network_reads_every_training_document(spark, monkeypatch):
+    from keelson.llm import lm_scoring as L
+    got, real = [], L.train_round
+
+    def spy(docs, params, *rest):
+        got.append(sorted(r[0] for r in docs.select("doc_id").collect()))
+        return real(docs, params, *rest)
+    monkeypatch.setattr(L, "train_round", spy)
+    monkeypatch.setattr(L, "MIN_TRAIN", 1, raising=False)       # as on a corpus of any size
+    docs = make(spark, [(i, f"word{i} the other", "a", "en") for i in range(300)])
+    assert L.lm_scores(docs).count() == 300
+    assert sorted(sum(got, [])) == [i for i in range(300) if zlib.crc32(str(i).encode()) % 5 != 1]
+    assert len(got) == L.ROUNDS and all(got)
+
+
+def test_network_vocabulary_grows_with_the_corpus():
+    from keelson.llm import lm_scoring as L
+    words = [f"w{i}".encode() for i in range(50_000)]
+    sizes = [L.Lexicon(words, np.ones(50_000, np.int64), n, 60_000, 10) for n in (10**5, 10**7, 10**8)]
+    assert [x.neural for x in sizes] == [4096, 6324, 20_000]
+    p = L.new_params(sizes[2])
+    ids = np.array([L.END, L.RARE, 2, 20_001])
+    cls, slot = L.place(ids, p)
+    assert cls[1] == len(p["c"]) - 1 and cls[3] == len(p["c"]) - 2 and slot.max() < p["v"].shape[1]
+
+
 # ---- 3 ---------------------------------------------------------------------------------
 def test_mixing(spark, docs, empty, corpus):
     from keelson.llm.mixing import mixed, queue
