@@ -2,8 +2,9 @@
 
 A trained vocabulary packs language into few tokens; a random key breaks up into
 short ones.  Every long unbroken run of key characters is encoded with a public
-tiktoken vocabulary, and a run with few characters per token is reported, unless it is
-a known digest (hex of a common digest length) or identifier (UUID, number, version,
+tiktoken vocabulary, and a run with few characters per token is reported; of other runs
+(a path or name with a key in it) the parts and stretches that have few.  Nothing is
+reported that is a known digest (hex of a common digest length) or identifier (UUID, number, version,
 path, plain words joined by ``_ . / -``).  Three fixed patterns (assignments, access
 keys, long hex) are always reported beside it.
 
@@ -15,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,6 +38,7 @@ KINDS = ("assign", "access", "hex", "random")
 DIGEST_LENGTHS = {32, 40, 48, 56, 64, 96, 128}
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
 PLAIN_PART = re.compile(r"(?:[0-9]*[A-Za-z]?[a-z]*|[A-Z]+|[0-9+]+)\Z")     # a word, a number, a number with a word
+PART = re.compile(r"[A-Za-z0-9+]+")
 HEX_RUN = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
 
 # Fixed value: the split pattern that goes with the byte-level vocabularies.
@@ -59,6 +62,49 @@ def is_known(run: str) -> bool:
         or all(PLAIN_PART.match(x) for x in re.split("[_/-]+", run.rstrip("=")))
 
 
+def low_parts(run: str, enc, max_ratio: float) -> list[tuple[int, int]]:
+    """(start, end) of what has few characters per token in a run: the whole run, or else
+    parts of it between ``/ _ -``, or stretches inside parts, of MIN_CHARS and more."""
+    if is_known(run):
+        return []
+    body = run.rstrip("=")
+    if len(run) < max_ratio * len(enc.encode_ordinary(run)):
+        return [(0, len(run))]
+    found = []
+    for m in PART.finditer(body):
+        part = m[0]
+        end = len(run) if m.end() == len(body) else m.end()       # the padding belongs to the last part
+        if len(part) < MIN_CHARS or is_known(part):
+            continue
+        tokens = enc.encode_ordinary(part)
+        if len(part) < max_ratio * len(tokens):
+            found.append((m.start(), end))
+            continue
+        edges = [0, *accumulate(len(enc.decode_single_token_bytes(t)) for t in tokens)]    # characters: all are ASCII
+        found += [(m.start() + a, m.start() + b) for a, b in stretches(edges, max_ratio) if not is_known(part[a:b])]
+    return found
+
+
+def stretches(edges: list[int], max_ratio: float) -> list[tuple[int, int]]:
+    """(start, end) of every longest stretch covered by low windows; ``edges`` are the ends of the tokens.
+
+    A window starts at a token and takes the fewest tokens that have MIN_CHARS characters.
+    """
+    out: list[tuple[int, int]] = []
+    j = 0
+    for i, start in enumerate(edges):
+        while j < len(edges) and edges[j] - start < MIN_CHARS:
+            j += 1
+        if j == len(edges):
+            break
+        if edges[j] - start < max_ratio * (j - i):
+            if out and start <= out[-1][1]:
+                out[-1] = (out[-1][0], edges[j])
+            else:
+                out.append((start, edges[j]))
+    return out
+
+
 def scan(text: str, enc, max_ratio: float = MAX_RATIO) -> list[tuple[int, int, int]]:
     """(start, kind, end) of every span in order; starts and ends count code points."""
     found = []
@@ -69,9 +115,7 @@ def scan(text: str, enc, max_ratio: float = MAX_RATIO) -> list[tuple[int, int, i
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     for m in RUN.finditer(text):
-        run = m[0]
-        if not is_known(run) and len(run) < max_ratio * len(enc.encode_ordinary(run)):
-            found.append((m.start(), 3, m.end()))
+        found += [(m.start() + a, 3, m.start() + b) for a, b in low_parts(m[0], enc, max_ratio)]
     return sorted(found)
 
 

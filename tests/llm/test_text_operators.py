@@ -246,6 +246,25 @@ def test_secret_scan(spark, empty):
     assert find_secrets(empty).count() == 0
 
 
+def test_secret_scan_finds_keys_behind_words():
+    import random
+    import string
+
+    from keelson.llm.secret_scan import VOCABULARY, encoding, scan
+    enc, r = encoding(VOCABULARY), random.Random(5)
+    for front in ("/home/user/projects/application/config/", "access_token_production_", "internationalorganization"):
+        for size in (20, 24, 32):
+            found = 0
+            for _ in range(100):
+                key = "".join(r.choices(string.ascii_letters + string.digits, k=size))
+                text = f"see {front}{key} there"
+                at = text.index(key)
+                found += any(k == 3 and s < at + size and e > at for s, k, e in scan(text, enc))
+            assert found >= 95, (front, size, found)
+    plain = "at /home/user/projects/application/config/international_organization_settings/documentation-overview"
+    assert scan(plain, enc) == []
+
+
 # ---- 5 ---------------------------------------------------------------------------------
 def test_token_rollup(spark, docs, empty, corpus, tmp_path):
     from keelson.llm import token_rollup as R
