@@ -5,7 +5,7 @@ short ones.  Every long unbroken run of key characters is encoded with a public
 tiktoken vocabulary, and a run with few characters per token is reported; of other runs
 (a path or name with a key in it) the parts and stretches that have few.  Nothing is
 reported that is a known digest (hex of a common digest length) or identifier (UUID, number, version,
-path, plain words joined by ``_ . / -``).  Three fixed patterns (assignments, access
+or numbers joined by ``_ / -``).  Words pass by their ratio alone.  Three fixed patterns (assignments, access
 keys, long hex) are always reported beside it.
 
 Runs inside ``mapInArrow``, one Arrow batch at a time: no shuffle, no state.
@@ -37,7 +37,7 @@ RUN = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_CHARS)
 KINDS = ("assign", "access", "hex", "random")
 DIGEST_LENGTHS = {32, 40, 48, 56, 64, 96, 128}
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
-PLAIN_PART = re.compile(r"(?:[0-9]*[A-Za-z]?[a-z]*|[A-Z]+|[0-9+]+)\Z")     # a word, a number, a number with a word
+PLAIN_PART = re.compile(r"(?:[vV]?[0-9]+[A-Za-z]?|[0-9+]*)\Z")             # a number, a version; letters are left to the ratio
 PART = re.compile(r"[A-Za-z0-9+]+")
 HEX_RUN = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
 

@@ -265,6 +265,21 @@ def test_secret_scan_finds_keys_behind_words():
     assert scan(plain, enc) == []
 
 
+def test_secret_scan_finds_keys_of_one_case():
+    import random
+    import string
+
+    from keelson.llm.secret_scan import VOCABULARY, encoding, scan
+    enc, r = encoding(VOCABULARY), random.Random(6)
+    for letters in (string.ascii_lowercase, string.ascii_uppercase):
+        for size in (24, 32):
+            for form in ("{}", "{}/{}", "name_{}-{}"):
+                hits = sum(bool(scan("see " + form.format(*("".join(r.choices(letters, k=size)) for _ in range(2))), enc))
+                           for _ in range(100))
+                assert hits >= 95, (letters[:3], size, form, hits)
+    assert scan("in 2024-01-15/00012345/77 and v2-10-3-2024-000017 or internationalization_of_applications", enc) == []
+
+
 # ---- 5 ---------------------------------------------------------------------------------
 def test_token_rollup(spark, docs, empty, corpus, tmp_path):
     from keelson.llm import token_rollup as R
