@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from .text import SPACES, lower_az, pick, words
 
 SYMBOLS = "#*$%&|<>"
-# Fixed value: stop words of the four languages of the corpus.
+# Fixed value: stop words of LISTED languages; texts in others have no stop-word measure and pass that rule.
+LISTED = ("en", "de", "fr", "es")
 STOP_WORDS = ("the of and to in is that it was for on are as with be by this at from or an "
               "der die das und ist von mit den dem ein eine nicht auf als auch sich zu im "
               "le la les et est de des un une que qui dans pour pas sur en au "
@@ -62,7 +63,11 @@ def measures(docs: DataFrame) -> DataFrame:
 
 
 def _measured(d: DataFrame, carry: list[str]) -> DataFrame:
-    """``carry`` columns and every measure of the ``text`` column."""
+    """``carry`` columns and every measure of the ``text`` column.
+
+    With ``lang`` among them, ``stop_ratio`` is null for rows without a language or of one that has no list.
+    """
+    listed = F.lower(F.split(F.btrim("lang"), "[-_]")[0]).isin(*LISTED) if "lang" in carry else F.lit(True)
     d = d.select(*carry, F.coalesce("text", F.lit("")).alias("t"))
     d = d.withColumn("w", words(F.col("t")))
     lines = F.filter(F.split("t", "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0)
@@ -93,7 +98,7 @@ def _measured(d: DataFrame, carry: list[str]) -> DataFrame:
         ratio(F.col("n_dup_lines"), F.col("n_lines")).alias("dup_line_ratio"),
         ratio(F.col("n_upper"), F.col("word_chars")).alias("upper_ratio"),
         ratio(F.col("n_bars"), n).alias("bar_ratio"),
-        ratio(F.col("n_stops"), F.least(n, F.lit(100))).alias("stop_ratio"))
+        F.when(listed, ratio(F.col("n_stops"), F.least(n, F.lit(100)))).alias("stop_ratio"))
 
 
 def compile_rules(rules=RULES) -> tuple[Column, Column]:
@@ -114,9 +119,11 @@ def apply_rules(docs: DataFrame, rules=RULES) -> DataFrame:
     """Measures, ``base_failed``, ``kept`` and ``failed_rules`` (comma-joined), one row per input row.
 
     Null and empty texts have no words and fail the length rule.  Long texts are read
-    whole.  Repeated rows each get their verdict; extra columns are ignored.
+    whole.  Repeated rows each get their verdict; extra columns are ignored.  The stop-word
+    rule holds for the LISTED languages by ``lang``, and for all rows if there is no such column.
     """
-    return judged(pick(docs, doc_id="long", text="string"), rules).drop("text")
+    lang = {"lang": "string"} if "lang" in docs.columns else {}
+    return judged(pick(docs, doc_id="long", text="string", **lang), rules).drop("lang")
 
 
 def judged(d: DataFrame, rules=RULES) -> DataFrame:
@@ -134,7 +141,8 @@ def keep_good(docs: DataFrame, rules=RULES) -> DataFrame:
     The verdict is computed beside the row it belongs to, so nothing is joined back.
     """
     names = docs.columns
+    lang = [F.col("`lang`").cast("string").alias("lang")] if "lang" in names else []
     carried = docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`text`").cast("string").alias("text"),
-                          F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
+                          *lang, F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
     seen = judged(carried, rules)
     return seen.where("kept").select(*[F.col("_row")[c].alias(c) for c in names])

@@ -329,6 +329,18 @@ def test_quality_rules(spark, docs, empty, corpus):
     assert apply_rules(empty).count() == keep_good(empty).count() == 0
 
 
+def test_quality_rules_keep_languages_without_a_stop_list(spark):
+    from keelson.llm.quality_rules import apply_rules, keep_good
+    text = ("Старый дом стоял возле реки, где каждое утро тихо поднимался туман, дети шли через "
+            "поле, рыбаки чинили сети, птицы летели над холмами")
+    langs = {1: "ru", 2: None, 3: "en", 4: "en-US", 5: "DE"}
+    docs = make(spark, [(d, text, "a", x) for d, x in langs.items()])
+    got = {r.doc_id: (r.kept, r.failed_rules) for r in apply_rules(docs).collect()}
+    assert got == {d: (d < 3, "" if d < 3 else "stop_words") for d in langs}
+    assert sorted(r.doc_id for r in keep_good(docs).collect()) == [1, 2]
+    assert apply_rules(docs.select("doc_id", "text")).where("kept").count() == 0
+
+
 # ---- 7 ---------------------------------------------------------------------------------
 def test_decontamination(spark, empty, corpus):
     from keelson.llm import decontam as D
