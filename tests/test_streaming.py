@@ -62,6 +62,21 @@ def test_dedupe_stream_drops_repeats(spark):
         map(tuple, want.select(*keys, F.col("w").cast("timestamp_ntz")).collect()))
 
 
+def test_whole_span_keeps_late_rows_over_several_batches(spark):
+    from keelson.plans.stream_plans import whole_span
+    d = tempfile.mkdtemp(prefix="keelson-late-")
+    ev = spark.range(200).selectExpr(
+        "id AS user_id", "timestamp_ntz'2024-01-01 00:10:00' + make_interval(0, 0, 0, CAST(id AS INT)) AS ts").coalesce(1)
+    for part in ("user_id >= 150", "user_id BETWEEN 50 AND 149", "user_id < 50"):       # newest first, 200 days in all
+        ev.where(part).write.mode("append").parquet(f"{d}/events")
+    src = S.read_stream(spark, f"{d}/events", ev.schema, max_files=1)
+    got = run_to_memory(S.dedupe_stream(src, ["user_id"], watermark=whole_span(ev, "ts")), "late_stream")
+    assert sorted(r.user_id for r in got.collect()) == list(range(200))
+    short = run_to_memory(S.dedupe_stream(src, ["user_id"], watermark="40 days"), "late_short")
+    assert short.count() < 200
+    assert whole_span(ev.limit(0), "ts") == "7200 seconds"
+
+
 def test_route_to_collections_foreach_batch(spark):
     import glob
     import os
