@@ -254,3 +254,133 @@ def op1_substring_dedup(spark, sf_dir):
 def op2_lm_scoring(spark, sf_dir):
     from .lm_scoring import lm_scores
     return lm_scores(documents(spark, sf_dir))
+
+
+# CRC-32 in SQL: its table, and the checksum of a text from the table (column t) byte by byte.
+CRC_TABLE = """crc_table AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([1, 2, 3, 4, 5, 6, 7, 8], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c
+    FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS i)))"""
+
+
+def crc_sql(text: str) -> str:
+    """Unsigned CRC-32 of a text's UTF-8 bytes; needs crc_table's column t in scope."""
+    return (f"xor(4294967295, list_reduce(list_transform(regexp_extract_all(hex(encode({text})), '..'), "
+            "lambda h: CAST('0x' || h AS BIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), CAST(4294967295 AS BIGINT)))")
+
+
+OP11_SQL = f"""
+WITH {CRC_TABLE},
+d AS (SELECT doc_id, {words_sql(LOWER.format('text'), OP7_WORDS)} AS w FROM documents),
+b AS (SELECT {words_sql(LOWER.format('text'), OP7_WORDS)} AS w FROM benchmark),
+df AS (
+  SELECT doc_id, f, count(*) AS n
+  FROM (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM d)
+  GROUP BY doc_id, f),
+bf AS (
+  SELECT f, count(*) AS n
+  FROM (SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM b) GROUP BY f),
+f AS (SELECT f, {crc_sql('f')} % 10000 AS bucket FROM (SELECT f FROM df UNION SELECT f FROM bf), crc_table),
+s AS (SELECT bucket, sum(n) AS n FROM df JOIN f USING (f) GROUP BY bucket),
+t AS (SELECT bucket, sum(n) AS n FROM bf JOIN f USING (f) GROUP BY bucket),
+every AS (SELECT (SELECT coalesce(sum(n), 0) FROM s) AS s_all, (SELECT coalesce(sum(n), 0) FROM t) AS t_all),
+g AS (
+  SELECT s.bucket, floor(1000 * ln((CAST(coalesce(t.n, 0) AS DOUBLE) + 1) * (CAST(s_all AS DOUBLE) + 10000)
+                                   / ((CAST(s.n AS DOUBLE) + 1) * (CAST(t_all AS DOUBLE) + 10000)))) AS gain
+  FROM s LEFT JOIN t ON t.bucket = s.bucket, every),
+m AS (
+  SELECT doc_id, CAST(sum(df.n) AS BIGINT) AS n_features, CAST(floor(sum(df.n * gain) / sum(df.n)) AS BIGINT) AS weight
+  FROM df JOIN f USING (f) JOIN g USING (bucket) GROUP BY doc_id),
+o AS (
+  SELECT d.doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, len(d.w) >= 20 AS stands,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || CAST(d.doc_id AS VARCHAR)), 1, 8) AS BIGINT)
+                                                          + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM d LEFT JOIN m ON m.doc_id = d.doc_id),
+p AS (SELECT *, row_number() OVER (PARTITION BY stands ORDER BY score DESC, doc_id) AS place, sum(CAST(stands AS INTEGER)) OVER () AS n FROM o)
+SELECT doc_id, n_features, weight, score, CASE WHEN stands AND place <= 25 * n // 100 THEN place END AS rank FROM p
+"""
+
+
+@query("op11_importance_resampling", OP11_SQL)
+def op11_importance_resampling(spark, sf_dir):
+    from .importance import resample
+    return resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+OP12_SQL = f"""
+WITH {CRC_TABLE},
+r AS (
+  SELECT doc_id, coalesce(octet_length(encode(text)), 0) + 8 AS size, {crc_sql("coalesce(text, '')")} AS crc FROM documents, crc_table),
+g AS (SELECT doc_id, size, crc, count(*) AS m FROM r GROUP BY doc_id, size, crc),
+cut AS (SELECT *, unnest(range(0, (m - 1) // 256 + 1)) AS piece FROM g),
+p AS (
+  SELECT doc_id, size, crc, piece, least(256, m - piece * 256) AS n,
+         CAST('0x' || substr(md5(concat_ws(':', coalesce(CAST(doc_id AS VARCHAR), ''), crc, size, piece)), 1, 8) AS BIGINT) % 4096 AS vslot
+  FROM cut),
+t AS (
+  SELECT e.vslot, CAST(coalesce(sum(size * n), 0) AS BIGINT) AS bytes, CAST(coalesce(sum(n), 0) AS BIGINT) AS rows
+  FROM (SELECT unnest(range(4096)) AS vslot) e LEFT JOIN p USING (vslot) GROUP BY e.vslot),
+one AS (
+  SELECT *, vslot % 24 AS shard,
+         sum(bytes) OVER (PARTITION BY vslot % 24 ORDER BY bytes DESC, vslot ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) * 24
+         <= sum(bytes) OVER () AS stays
+  FROM t),
+loads AS (
+  SELECT list(l ORDER BY shard) AS loads
+  FROM (SELECT shard, CAST(coalesce(sum(bytes) FILTER (WHERE stays), 0) AS BIGINT) AS l FROM one GROUP BY shard)),
+freed AS (SELECT coalesce(list({{'v': [bytes, vslot], 'moves': CAST([] AS BIGINT[])}} ORDER BY bytes DESC, vslot), []) AS f FROM one WHERE NOT stays),
+done AS (
+  SELECT f, list_reduce(f, lambda a, x: {{
+      'v': list_transform(a.v, lambda y, i: CASE WHEN i = list_position(a.v, list_min(a.v)) THEN y + x.v[1] ELSE y END),
+      'moves': list_append(a.moves, CAST(list_position(a.v, list_min(a.v)) - 1 AS BIGINT))}},
+      {{'v': loads, 'moves': CAST([] AS BIGINT[])}}) AS r
+  FROM loads, freed),
+two AS (
+  SELECT vslot, shard FROM one WHERE stays
+  UNION ALL SELECT f[i].v[2], r.moves[i] FROM (SELECT f, r, unnest(range(1, len(f) + 1)) AS i FROM done)),
+ahead AS (
+  SELECT vslot, two.shard, coalesce(sum(rows) OVER (PARTITION BY two.shard ORDER BY vslot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+  FROM two JOIN t USING (vslot)),
+placed AS (
+  SELECT p.*, shard, ahead + coalesce(sum(n) OVER (PARTITION BY vslot ORDER BY doc_id, crc, size, piece
+                                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM p JOIN ahead USING (vslot))
+SELECT doc_id, size, crc AS text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard, CAST(start + k AS BIGINT) AS slot,
+       CAST(NULL AS INTEGER) AS grown_shard, CAST(vslot AS INTEGER) AS vslot, 2 AS version
+FROM (SELECT *, unnest(range(0, n)) AS k FROM placed)
+"""
+
+
+@query("op12_sharding", OP12_SQL)
+def op12_sharding(spark, sf_dir):
+    import uuid
+
+    from keelson.session import scratch_path
+
+    from .sharding import shard
+    return shard(documents(spark, sf_dir), scratch_path(spark, f"slot-map-{uuid.uuid4().hex}"))
+
+
+OP13_SQL = """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS alike, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.vec_id % 50 = 0 AND b.vec_id <> a.vec_id),
+p AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) AS place FROM s WHERE alike),
+n AS (
+  SELECT p.anchor_id, p.other AS positive_id, s.other AS negative_id, p.score AS positive_score, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.other ORDER BY s.score DESC, s.other) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.alike AND p.place <= 5
+       AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+
+@query("op13_hard_negatives", OP13_SQL)
+def op13_hard_negatives(spark, sf_dir):
+    from .hard_negatives import hard_negatives
+    return hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

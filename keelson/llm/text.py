@@ -36,14 +36,14 @@ def pick(docs: DataFrame, **columns: str) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in columns.items()])
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back.
+def stored(df: DataFrame, name: str, **options) -> DataFrame:
+    """``df`` written as Parquet (with the writer's ``options``) to the shared folder and read back.
 
     Later steps read the files, so a lost executor costs no more than the step
     it was in, and several readers do not repeat the work.
     """
     path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
