@@ -8,10 +8,13 @@ text columns that exercise the word and reject rules.  Line numbers are
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from keelson.plans.registry import query
-from keelson.sources import csv
+from keelson.session import scratch_path
+from keelson.sources import csv, records
 
 C = F.col
 
@@ -98,3 +101,52 @@ WHERE mixed_text IS NOT NULL AND mixed_id IS NULL
 def q_typed_load_rejected(r):
     """L5 rejected rows with line number, reason and the original values."""
     return _load(r)[1]
+
+
+# --------------------------------------------------------------------- L1 on split files
+FILE_ROWS = 500             # documents of one written file
+_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def written_documents(r) -> str:
+    """All documents as delimited files with a header, one per FILE_ROWS ids; every 97th has a field too many."""
+    path = scratch_path(r.spark, f"documents-csv-{uuid.uuid4().hex}")
+    d = r.table("documents").withColumn("chunk", F.expr(f"doc_id div {FILE_ROWS}"))
+    line = F.to_csv(F.struct(*_FIELDS), {"quoteAll": "true", "escape": '"', "lineSep": "\n", "charToEscapeQuoteEscaping": '"'})
+    rows = d.select("chunk", C("doc_id").alias("at"),
+                    F.concat(line, F.when(C("doc_id") % 97 == 0, F.lit(",more")).otherwise(F.lit(""))).alias("value"))
+    heads = d.select("chunk").distinct().select("chunk", F.lit(-1).cast("long").alias("at"), F.lit(",".join(_FIELDS)).alias("value"))
+    (rows.union(heads).repartition("chunk").sortWithinPartitions("chunk", "at").select("chunk", "value")
+     .write.option("lineSep", "\n").partitionBy("chunk").text(path))
+    return path
+
+
+_PLACED = f"""
+placed AS (
+  SELECT *, 2 + coalesce(sum(1 + length(text) - length(replace(text, chr(10), ''))) OVER (
+             PARTITION BY doc_id // {FILE_ROWS} ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS row_number
+  FROM documents)"""
+
+
+@query("csv_split_rows", f"""
+WITH {_PLACED}
+SELECT CAST(row_number AS BIGINT) AS row_number, doc_id, source, lang, n_chars, nullif(text, '') AS text
+FROM placed WHERE doc_id % 97 <> 0
+""")
+def q_csv_split_rows(r):
+    """L1/L5 documents read back from split files: fields with quotes and line ends, and the line each row starts on."""
+    rows, _ = records.split_csv(r.spark, f"{written_documents(r)}/*/*.txt")
+    return rows.select("row_number", C("doc_id").cast("long").alias("doc_id"), "source", "lang",
+                       C("n_chars").cast("long").alias("n_chars"), "text")
+
+
+@query("csv_split_rejected", f"""
+WITH {_PLACED}
+SELECT CAST(row_number AS BIGINT) AS row_number, 'Row has more or fewer fields than the header.' AS reason,
+       concat('"', doc_id, '","', source, '","', lang, '","', n_chars, '","', replace(text, '"', '""'), '",more') AS original_row
+FROM placed WHERE doc_id % 97 = 0
+""")
+def q_csv_split_rejected(r):
+    """L5 ragged rows with the file line they start on and their whole text."""
+    _, rejected = records.split_csv(r.spark, f"{written_documents(r)}/*/*.txt")
+    return rejected.select("row_number", "reason", "original_row")
