@@ -59,6 +59,7 @@ def load_all():
         document_plans,
         event_plans,
         kpi_plans,
+        late_plans,
         ledger_plans,
         load_plans,
         stream_plans,

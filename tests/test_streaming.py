@@ -109,3 +109,42 @@ def test_append_mode_windows_are_final(spark):
             for r in E.windowed_rollup(ev, "ts", ["event_type"], "value", "1 hour").collect()}
     rows = got.collect()
     assert rows and all(want[(r.window_start, r.event_type)] == (r.events, r.value_sum) for r in rows)
+
+
+def _fed(spark, rows, transform, name):
+    from keelson.streaming.batches import run_batches
+    at = F.timestamp_seconds(F.lit(1704067200) + F.col("minute") * 60).cast("timestamp_ntz")
+    df = spark.createDataFrame(rows, "batch int, key string, minute long").withColumn("ts", at).withColumn("value", F.lit(1.0))
+    out, held = run_batches(df, "batch", transform, name)
+    minute = lambda t: int((t - __import__("datetime").datetime(2024, 1, 1)).total_seconds() // 60)
+    return out, held, minute
+
+
+def test_windows_leave_the_state_and_late_rows_are_dropped(spark):
+    rows = [(0, k, m) for k in "abcdef" for m in (0, 70, 130)] + [(1, "a", 600), (2, "a", 20), (2, "b", 595), (3, "a", 2000)]
+    out, held, minute = _fed(spark, rows, lambda s: E.windowed_rollup(s, "ts", ["key"], "value", "1 hour", watermark="30 minutes"), "w")
+    got = sorted((r.key, minute(r.window_start), r.events) for r in out.collect())
+    early = [(k, m, 1) for k in "abcdef" for m in (0, 60, 120)]
+    assert got == sorted(early + [("a", 600, 1), ("b", 540, 1)])            # (2, a, 20) came too late
+    assert held[0] == 12 and held[1] == 1 and held[-1] == 1                 # of 18 windows 6 were done at once
+
+
+def test_sessions_expire(spark):
+    rows = [(0, "a", 0), (0, "a", 20), (0, "b", 100), (1, "a", 110), (1, "a", 125), (2, "a", 400), (2, "b", 90), (3, "a", 9000)]
+    out, held, minute = _fed(spark, rows, lambda s: E.session_rollup(s, "ts", ["key"], "value", "30 minutes", watermark="20 minutes"), "s")
+    got = sorted((r.key, minute(r.session_start), minute(r.session_end), r.events) for r in out.collect())
+    assert got == [("a", 0, 50, 2), ("a", 110, 155, 2), ("a", 400, 430, 1), ("b", 90, 130, 2)]
+    assert held == [1, 2, 1, 1]
+
+
+def test_keys_are_forgotten_after_the_watermark(spark):
+    from keelson.streaming.batches import dedupe_within
+    rows = [(0, f"k{i}", i) for i in range(50)] + [(1, f"k{i}", i) for i in range(50)] + [(2, "x", 500), (3, "k1", 1), (3, "x", 500)]
+    out, held, _ = _fed(spark, rows, lambda s: dedupe_within(s, ["key"], "ts", "1 hour"), "d")
+    assert sorted(r.key for r in out.collect()) == sorted([f"k{i}" for i in range(50)] + ["x"])
+    assert held[0] == held[1] == 50 and held[2] == held[3] == 1
+
+
+def test_no_arrivals(spark):
+    out, held, _ = _fed(spark, [(0, "a", 0)], lambda s: E.windowed_rollup(s.where("false"), "ts", ["key"], "value", "1 hour", watermark="1 hour"), "n")
+    assert out.count() == 0 and held == [0]
