@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keelson.operators.changes import delete_where, one_per_key
+
 C = F.col
 
 
@@ -27,26 +29,28 @@ def snapshot(material_lots: DataFrame, material_catalog: DataFrame, statuses: Se
 
 
 def mirror_status(status):
-    """Status in the mirror vocabulary -- available/released -> Released, else initcap."""
+    """Status in the mirror vocabulary -- available/released in any case -> Released, else initcap."""
     s = C(status) if isinstance(status, str) else status
-    return F.when(s.isin("available", "released"), F.lit("Released")).otherwise(F.initcap(s))
+    return F.when(F.lower(s).isin("available", "released"), F.lit("Released")).otherwise(F.initcap(s))
 
 
 def restore(live: DataFrame, baseline: DataFrame, key: str = "internal_lot_number",
             cols: Sequence[str] = ("available_quantity", "reserved_quantity")) -> DataFrame:
-    """R2: live columns := baseline by key; status remapped released -> available.
+    """R2: live columns := baseline by key; status remapped released (in any case) -> available.
 
-    Rows without a baseline keep their values.  Adds ``mirror_status``.
+    Rows without a baseline keep their values; of several baseline rows for a key the
+    smallest counts.  Adds ``mirror_status``.  ``operators.restore`` restores all tables of
+    a snapshot together.
     """
-    b = baseline.select(key, *[C(c).alias(f"_b_{c}") for c in cols], C("status").alias("_b_status"),
-                        F.lit(True).alias("_b_hit"))
+    b = one_per_key(baseline.select(key, *cols, "status"), key)
+    b = b.select(key, *[C(c).alias(f"_b_{c}") for c in cols], C("status").alias("_b_status"), F.lit(True).alias("_b_hit"))
     j = live.join(b, key, "left")
     out = []
     for c in live.columns:
         if c in cols:
             out.append(F.when(C("_b_hit"), C(f"_b_{c}")).otherwise(C(c)).alias(c))
         elif c == "status":
-            remap = F.when(C("_b_status") == "released", F.lit("available")).otherwise(C("_b_status"))
+            remap = F.when(F.lower("_b_status") == "released", F.lit("available")).otherwise(C("_b_status"))
             out.append(F.when(C("_b_hit"), remap).otherwise(C(c)).alias(c))
         else:
             out.append(C(c))
@@ -57,7 +61,6 @@ def restore(live: DataFrame, baseline: DataFrame, key: str = "internal_lot_numbe
 def rebuild_staged(staged: DataFrame, baseline_staged: DataFrame, scope=None) -> DataFrame:
     """R2 staged rows: delete the live staged rows in scope (DELETE keeps rows whose test
     is NULL) and insert the baseline rows of that scope again."""
-    from keelson.operators.changes import delete_where
     cond = scope if scope is not None else F.lit(True)
     kept = delete_where(staged, cond)
     fresh = baseline_staged.where(cond) if scope is not None else baseline_staged
@@ -71,12 +74,15 @@ def _differs(cols):
     return d
 
 
-def mismatch_count(live: DataFrame, baseline: DataFrame, key: str, cols: Sequence[str], how: str = "inner") -> DataFrame:
+def mismatch_count(live: DataFrame, baseline: DataFrame, key: str, cols: Sequence[str], how: str = "inner",
+                   remap: dict | None = None) -> DataFrame:
     """Rows that differ null-safely on ``cols``.
 
     ``inner`` ignores keys missing on either side; ``left`` (baseline left
-    join live) also counts baseline rows missing from live.
+    join live) also counts baseline rows missing from live.  ``remap`` gives baseline
+    columns (name -> expression) as a restore writes them, so that a right restore has none.
     """
+    baseline = baseline.withColumns(remap or {})
     lv = live.select(key, *[C(c).alias(f"_l_{c}") for c in cols], F.lit(True).alias("_l_hit"))
     bs = baseline.select(key, *[C(c).alias(f"_b_{c}") for c in cols])
     if how == "inner":

@@ -136,10 +136,16 @@ def delete_where(df: DataFrame, cond: Column) -> DataFrame:
 
 
 def replace_children(children: DataFrame, new_children: DataFrame, parent_key) -> DataFrame:
-    """C11: drop every child of the parents present in ``new_children``, insert the new set."""
+    """C11: drop every child of the parents present in ``new_children``, insert the new set.
+
+    Keys compare null-safely: a new set without a parent replaces the children without one.
+    """
     k = _keys(parent_key)
-    parents = new_children.select(*k).distinct()
-    kept = children.join(parents, k, "left_anti")
+    parents = new_children.select(*[C(c).alias(f"_new_{c}") for c in k]).distinct()
+    same = F.lit(True)
+    for c in k:
+        same = same & C(c).eqNullSafe(C(f"_new_{c}"))
+    kept = children.join(parents, same, "left_anti")
     return kept.unionByName(new_children.select(*children.columns))
 
 
@@ -258,50 +264,53 @@ TERMINAL = ["Completed", "Rejected"]
 SESSION_STATUS_FOR = {"Approved": "Reset Approved", "Completed": "Reset Complete", "Rejected": "Reset Rejected"}
 
 
-def review_transitions(requests: DataFrame, decisions: DataFrame, reviewed_at: Column | None = None) -> dict:
+def review_transitions(requests: DataFrame, decisions: DataFrame, reviewed_at: Column | None = None,
+                       order: Sequence[str] = ()) -> dict:
     """Apply a batch of review decisions to reset requests.
 
-    ``decisions``: request_id, status, admin_note, reviewed_by.  A decision is
-    rejected when the status is not allowed, the request is unknown,
-    Completed is asked of a request that is not Approved, or the request is
-    already terminal and the status differs.  Accepted decisions set status,
-    completed_at (terminal statuses), note, reviewer and time; the mapped
-    session status is returned in ``sessions`` (session_id, status).
-    Decisions are assumed unique per request.
+    ``decisions``: request_id, status, admin_note, reviewed_by (and the columns in
+    ``order``).  Decisions for one request apply one after the other, by ``order`` and then
+    by their other columns; each sees the status the ones before it left.  A decision is
+    rejected when the status is not allowed, the request is unknown, Completed is asked of
+    a request that is not Approved, or the request is already terminal and the status
+    differs.  Accepted decisions set status, completed_at (terminal statuses), note,
+    reviewer and time; the mapped session status is in ``sessions`` (session_id, status),
+    one row per accepted decision.  ``state`` has one row per request.
+
+    An open status is always accepted while the request is open, so the status before a
+    decision is the last open one asked for, until the first decision that ends the request.
     """
     now = reviewed_at if reviewed_at is not None else F.current_timestamp()
-    cur = requests.select("request_id", C("status").alias("_cur"), "session_id")
-    d = decisions.join(cur, "request_id", "left")
-    reason = (F.when(~C("status").isin(REVIEW_STATUSES), "Unsupported reset-request status.")
+    cur = requests.select("request_id", C("status").alias("_cur"), C("session_id").alias("_session"))
+    by = Window.partitionBy("request_id").orderBy(*order, "status", "admin_note", "reviewed_by")
+    earlier, up_to = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(Window.unboundedPreceding, 0)
+    status = C("status")
+    d = decisions.join(cur, "request_id", "left").withColumn("_at", F.row_number().over(by))
+    opens = F.when(status.isin(REVIEW_STATUSES) & ~status.isin(TERMINAL), status)
+    d = d.withColumn("_before", F.coalesce(F.last(opens, ignorenulls=True).over(earlier), "_cur"))
+    ends = F.when((status == "Rejected") | ((status == "Completed") & (C("_before") == "Approved")), status)
+    d = d.withColumn("_end", ends).withColumn("_ended", F.first("_end", ignorenulls=True).over(earlier))
+    d = d.withColumn("_now", F.when(C("_cur").isin(TERMINAL), C("_cur")).otherwise(F.coalesce("_ended", "_before")))
+    reason = (F.when(~F.coalesce(status, F.lit("")).isin(REVIEW_STATUSES), "Unsupported reset-request status.")
               .when(C("_cur").isNull(), "Reset request not found.")
-              .when((C("status") == "Completed") & (C("_cur") != "Approved"),
+              .when((status == "Completed") & (C("_now") != "Approved"),
                     "A reset request must be Approved before it can be Completed.")
-              .when(C("_cur").isin(TERMINAL) & (C("status") != C("_cur")),
-                    F.concat(F.lit("Reset request is already terminal ("), C("_cur"), F.lit(")."))))
+              .when(C("_now").isin(TERMINAL) & (status != C("_now")),
+                    F.concat(F.lit("Reset request is already terminal ("), C("_now"), F.lit(")."))))
     d = d.withColumn("reason", reason)
-    acc = d.where(C("reason").isNull()).select("request_id", C("status").alias("_new"), C("admin_note").alias("_note"),
-                                               C("reviewed_by").alias("_by"))
+    acc = d.where(C("reason").isNull()).groupBy("request_id").agg(
+        F.max(F.struct("_at", "status", "admin_note", "reviewed_by")).alias("_last"),
+        F.bool_or(status.isin(TERMINAL)).alias("_done"))
     j = requests.join(acc, "request_id", "left")
-    hit = C("_new").isNotNull()
-    cols = []
-    for c in requests.columns:
-        if c == "status":
-            cols.append(F.when(hit, C("_new")).otherwise(C(c)).alias(c))
-        elif c == "completed_at":
-            cols.append(F.when(hit & C("_new").isin(TERMINAL), now.cast(requests.schema[c].dataType))
-                        .otherwise(C(c)).alias(c))
-        elif c == "admin_note":
-            cols.append(F.when(hit, C("_note")).otherwise(C(c)).alias(c))
-        elif c == "reviewed_by":
-            cols.append(F.when(hit, C("_by")).otherwise(C(c)).alias(c))
-        elif c == "reviewed_at":
-            cols.append(F.when(hit, now.cast(requests.schema[c].dataType)).otherwise(C(c)).alias(c))
-        else:
-            cols.append(C(c))
-    state = j.select(*cols)
+    hit = C("_last").isNotNull()
+    stamp = lambda c: now.cast(requests.schema[c].dataType)
+    new = {"status": (hit, lambda c: C("_last.status")), "admin_note": (hit, lambda c: C("_last.admin_note")),
+           "reviewed_by": (hit, lambda c: C("_last.reviewed_by")), "reviewed_at": (hit, stamp),
+           "completed_at": (F.coalesce("_done", F.lit(False)), stamp)}
+    state = j.select(*[F.when(new[c][0], new[c][1](c)).otherwise(j[c]).alias(c) if c in new else j[c] for c in requests.columns])
     mapping = F.create_map(*[F.lit(x) for kv in SESSION_STATUS_FOR.items() for x in kv])
-    sessions = (d.where(C("reason").isNull() & C("session_id").isNotNull())
-                .select("session_id", F.element_at(mapping, C("status")).alias("status"))
+    sessions = (d.where(C("reason").isNull() & C("_session").isNotNull())
+                .select(C("_session").alias("session_id"), F.element_at(mapping, status).alias("status"))
                 .where(C("status").isNotNull()))
     rejected = d.where(C("reason").isNotNull()).select("request_id", "status", "reason")
     return {"state": state, "sessions": sessions, "rejected": rejected}

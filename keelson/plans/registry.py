@@ -62,6 +62,7 @@ def load_all():
         late_plans,
         ledger_plans,
         load_plans,
+        restore_plans,
         stream_plans,
         telemetry_plans,
         upkeep_plans,

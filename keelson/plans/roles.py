@@ -457,6 +457,14 @@ _role("reset_decisions", "conversations", [
     ("admin_note", "concat('turn ', cast(turn as string))"),
     ("reviewed_by", "'admin'"),
 ], where="turn = 1")
+_role("reset_decision_log", "conversations", [
+    ("request_id", "conv_id"),
+    ("turn", "turn"),
+    ("status", "CASE length(text) % 6 WHEN 0 THEN 'Requested' WHEN 1 THEN 'Pending Admin Reconciliation' "
+               "WHEN 2 THEN 'Approved' WHEN 3 THEN 'Completed' WHEN 4 THEN 'Rejected' ELSE 'Archived' END"),
+    ("admin_note", "concat('turn ', cast(turn as string))"),
+    ("reviewed_by", "'admin'"),
+], where="turn BETWEEN 1 AND 3")
 _role("demo_sessions", "conversations", [
     ("session_id", "conv_id"),
     ("status", "'Active'"),
@@ -501,6 +509,69 @@ _role("live_lots", "lineitem", [
                "WHEN l_returnflag = 'N' THEN 'available' ELSE 'blocked' END"),
 ], where="NOT (l_partkey % 7 = 2 AND l_linenumber = 1)")
 
+# Restore: live tables and the baselines of two snapshots; lot and tank keys repeat in the baselines, statuses come in mixed case.
+ORDER_LINE = "concat(cast(l_orderkey as string), '-', cast(l_linenumber as string))"
+_MIXED_CASE = "CASE l_partkey % 4 WHEN 0 THEN 'Released' WHEN 1 THEN 'released' WHEN 2 THEN 'AVAILABLE' ELSE 'on hold' END"
+_SNAPSHOT = "CASE WHEN l_suppkey % 3 = 0 THEN 'evening' ELSE 'morning' END"
+_role("twin_lots", "lineitem", [
+    ("internal_lot_number", ORDER_LINE),
+    ("material_code", "concat('M-', cast(l_partkey as string))"),
+    ("available_quantity", f"{Q4} + 1"),
+    ("reserved_quantity", Q4),
+    ("status", "'blocked'"),
+], where="l_linenumber <> 5")
+_role("twin_inventory", "lineitem", [
+    ("lot_number", ORDER_LINE),
+    ("quantity", "cast(0 as decimal(18,4))"),
+    ("reserved_quantity", "cast(0 as decimal(18,4))"),
+    ("qa_status", "'Unknown'"),
+], where="l_linenumber <= 3")
+_role("lot_baseline", "lineitem", [
+    ("snapshot_id", _SNAPSHOT),
+    ("internal_lot_number", ORDER_LINE),
+    ("available_quantity", Q4),
+    ("reserved_quantity", "cast(l_linenumber as decimal(18,4))"),
+    ("status", _MIXED_CASE),
+], where="l_linenumber <> 6")
+_role("twin_positions", "lineitem", [
+    ("container_id", LINE_ID),
+    ("material_code", "concat('M-', cast(l_partkey as string))"),
+    ("lot_number", ORDER_LINE),
+    ("quantity", Q4),
+    ("location_code", "CASE l_suppkey % 4 WHEN 0 THEN 'CW-STAGE-01' WHEN 1 THEN 'CW-HAZ-01' WHEN 2 THEN 'DOCK-02' END"),
+    ("status", "'Moved'"),
+    ("hazard_class", "CASE WHEN l_suppkey % 4 = 1 THEN 'flammable' END"),
+    ("campaign_id", "concat('C-', cast(l_orderkey as string))"),
+    ("po_number", "concat('PO-', cast(l_orderkey as string))"),
+], where="l_linenumber = 1")
+_role("staging_baseline", "lineitem", [
+    ("snapshot_id", _SNAPSHOT),
+    ("container_id", LINE_ID),
+    ("material_code", "concat('M-', cast(l_partkey as string))"),
+    ("lot_number", ORDER_LINE),
+    ("quantity", Q4),
+    ("location_code", "CASE l_suppkey % 2 WHEN 0 THEN 'CW-STAGE-01' ELSE 'CW-HAZ-01' END"),
+    ("hazard_class", "CASE WHEN l_suppkey % 2 = 1 THEN 'flammable' END"),
+], where="l_linenumber = 2")
+_role("bulk_tanks", "part", [
+    ("tank_code", "concat('T-', cast(p_partkey as string))"),
+    ("material_code", "concat('M-', cast(p_partkey as string))"),
+    ("quantity_kg", "cast(p_size as decimal(18,4))"),
+    ("qa_status", "'Quarantine'"),
+    ("lot_number", "cast(NULL as string)"),
+    ("temperature_c", "cast(20 as decimal(18,4))"),
+    ("status", "'idle'"),
+])
+_role("tank_baseline", "lineitem", [
+    ("snapshot_id", _SNAPSHOT),
+    ("tank_code", "concat('T-', cast(l_partkey as string))"),
+    ("quantity_kg", Q4),
+    ("qa_status", _MIXED_CASE),
+    ("lot_number", ORDER_LINE),
+    ("temperature_c", "cast(l_linenumber as decimal(18,4))"),
+    ("status", "CASE WHEN l_linestatus = 'O' THEN 'filling' ELSE 'in use' END"),
+], where="l_linenumber = 3")
+
 # ------------------------------------------------------------------ registry
 _role("systems", "customer", [
     ("system_id", "c_custkey"),
