@@ -93,7 +93,8 @@ def q_first_numeric_key(r):
     return selection.first_numeric_key(event_rows(r))
 
 
-_COLL = "CASE " + " ".join(f"WHEN '{t}' = t THEN '{c}'" for t, c in COLLECTION_BY_EVENT_TYPE.items()) + " END"
+_COLL = ("map {'telemetry': 'telemetry_events', 'alert': 'alert_events', 'diagnostic': 'diagnostic_payloads', "
+         "'snapshot': 'simulation_snapshots', 'log': 'application_logs', 'ai_interaction': 'ai_interactions'}[t]")
 _TYPE_OF = ("CASE event_type WHEN 'error' THEN 'alert' WHEN 'click' THEN 'telemetry' WHEN 'view' THEN 'log' "
             "WHEN 'signup' THEN 'snapshot' ELSE 'ai_interaction' END")
 
