@@ -1,16 +1,17 @@
 """Chart and dashboard data (G1-G5): points, scale, pie shares, keys, dashboard counts.
 
-Charts plot an already aggregated result (a row per group), so the
-order-dependent steps (row numbers, running offsets) run on few rows; reduce
-the input with ordinary aggregates first.  Nothing is cut off unless the
+Row numbers and running offsets come from a range sort with partition offsets
+(``operators.ordering``), so no task sees all rows.  Nothing is cut off unless the
 caller passes a limit.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keelson.operators.ordering import in_order
+
 C = F.col
 
 
@@ -26,8 +27,7 @@ def chart_points(df: DataFrame, x: str | None, y: str, order: list, limit: int |
     label = x as text, else the 1-based row position, taken before
     non-numeric rows are dropped, as in the UI.
     """
-    top = (df.withColumn("_pos", F.row_number().over(Window.orderBy(*order)))
-           .withColumn("_value", numeric_value(C(y)))).where(C("_value").isNotNull())
+    top = in_order(df, order, "_pos").withColumn("_value", numeric_value(C(y))).where(C("_value").isNotNull())
     if limit is not None:
         top = top.orderBy("_pos").limit(limit)
     label = F.coalesce(C(x).cast("string"), C("_pos").cast("string")) if x else C("_pos").cast("string")
@@ -48,11 +48,10 @@ def pie_shares(points: DataFrame) -> DataFrame:
     """Positive values only; share of the total and the running offset before each slice."""
     pos = points.where(C("value") > 0)
     total = pos.agg(F.sum("value").alias("_total"))
-    w = Window.orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
-    j = pos.crossJoin(total)  # one-row frame
+    j = in_order(pos, ["position"], "_place", {"_before": C("value")}).crossJoin(total)  # one-row frame
     share = C("value") / C("_total")
     return j.select("position", "label", "value", share.alias("fraction"),
-                    (F.coalesce(F.sum("value").over(w), F.lit(0.0)) / C("_total")).alias("offset"))
+                    (C("_before") / C("_total")).alias("offset"))
 
 
 def result_keys(rows: DataFrame, json_col: str) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keelson.operators.changes import absent, insert_if_absent, upsert
+from keelson.operators.ordering import running_by_key
 
 C = F.col
 DEC = "decimal(18,4)"
@@ -289,25 +290,9 @@ def ledger_cycle(lines: DataFrame, lots: DataFrame, reservations: DataFrame, iss
     return {"outcome": r["outcome"], "reservations": res_state, "issues": issue_state, "balances": balances}
 
 
-def running_total(df: DataFrame, key: str, ts: str, tiebreak: str, value: str, chunk: str = "day") -> DataFrame:
-    """Exact running SUM(value) per key in (ts, tiebreak) order, without sorting a whole key in one task.
-
-    Rows are summed inside (key, ``date_trunc(chunk, ts)``) groups; each
-    chunk's offset is the total of the earlier chunks of its key, computed
-    over the small per-chunk totals.  A key holding a third of all rows is
-    spread over as many tasks as it has chunks.  Returns the frame with
-    ``running_total`` added.
-    """
-    from pyspark.sql import Window
-    x = df.withColumn("_chunk", F.date_trunc(chunk, C(ts)))
-    inner = Window.partitionBy(key, "_chunk").orderBy(ts, tiebreak).rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumn("_in_chunk", F.sum(value).over(inner))
-    totals = x.groupBy(key, "_chunk").agg(F.sum(value).alias("_chunk_total"))
-    before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("_offset", F.coalesce(F.sum("_chunk_total").over(before), F.lit(0)))
-    return (x.join(offsets.select(key, "_chunk", "_offset"), [key, "_chunk"])
-            .withColumn("running_total", C("_offset") + C("_in_chunk"))
-            .drop("_chunk", "_in_chunk", "_offset"))
+def running_total(df: DataFrame, key: str, ts: str, tiebreak: str, value: str) -> DataFrame:
+    """``df`` with ``running_total``, the exact running SUM(value) per key in (ts, tiebreak) order."""
+    return running_by_key(df, key, [ts, tiebreak], value)
 
 
 def reserve_in_order(lines: DataFrame, lots: DataFrame, reservations: DataFrame) -> DataFrame:
@@ -318,8 +303,7 @@ def reserve_in_order(lines: DataFrame, lots: DataFrame, reservations: DataFrame)
     ``lines``: material_request_line_id, material_lot_id, requested_quantity, requested_at.
     """
     new = absent(lines, reservations, "material_request_line_id")
-    ordered = running_total(new, "material_lot_id", "requested_at", "material_request_line_id",
-                            "requested_quantity")
+    ordered = running_total(new, "material_lot_id", "requested_at", "material_request_line_id", "requested_quantity")
     avail = lots.select("material_lot_id", "available_quantity")
     return (ordered.join(avail, "material_lot_id", "left")
             .select("material_request_line_id", "material_lot_id", "requested_quantity", "requested_at",
