@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.operators.changes import insert_if_absent
+from keelson.operators.changes import insert_if_absent, one_per_key
 
 C = F.col
 
@@ -65,6 +65,45 @@ def register_datasets(discovered: DataFrame, registered: DataFrame, keys=("syste
     return j.withColumn("action", action).drop("_exists")
 
 
+def next_registry(discovered: DataFrame, registered: DataFrame, keys=("system_id", "dataset_key"),
+                  update_existing: bool = True, active: str = "is_active") -> DataFrame:
+    """K5: the registry after a discovery, with the ``action`` of each row.
+
+    One full outer join on the null-safe keys: ``created`` (only discovered), ``updated``
+    (both, and some column differs or the entry was inactive), ``skipped`` (both, without
+    ``update_existing``), ``unchanged`` (equal, or not discovered).  Columns that were not
+    discovered keep their registered values; created entries are active.  Applying the same
+    discovery again leaves every row unchanged (or skipped).
+    """
+    k = list(keys)
+    new = one_per_key(discovered, k)
+    given = [c for c in new.columns if c not in k and c in registered.columns]
+    new = new.select(*[C(c).alias(f"_new_{c}") for c in [*k, *given]], F.lit(True).alias("_found"))
+    old = one_per_key(registered, k).withColumn("_known", F.lit(True))
+    same_key = F.lit(True)
+    for c in k:
+        same_key = same_key & C(c).eqNullSafe(C(f"_new_{c}"))
+    j = old.join(new, same_key, "full")
+    differs = ~F.coalesce(C(active), F.lit(False)) if active in registered.columns else F.lit(False)
+    for c in given:
+        differs = differs | ~C(c).eqNullSafe(C(f"_new_{c}"))
+    action = (F.when(C("_known").isNull(), "created").when(C("_found").isNull(), "unchanged")
+              .when(F.lit(not update_existing), "skipped").when(differs, "updated").otherwise("unchanged"))
+    j = j.withColumn("action", action)
+    written = C("action").isin("created", "updated")
+    cols = []
+    for c in registered.columns:
+        if c in k:
+            cols.append(F.when(C("action") == "created", C(f"_new_{c}")).otherwise(C(c)).alias(c))
+        elif c == active:
+            cols.append(F.when(written, F.lit(True)).otherwise(C(c)).alias(c))
+        elif c in given:
+            cols.append(F.when(written, C(f"_new_{c}")).otherwise(C(c)).alias(c))
+        else:
+            cols.append(C(c))
+    return j.select(*cols, "action")
+
+
 def registry_list(systems: DataFrame, datasets: DataFrame, system_id=None) -> tuple[DataFrame, DataFrame]:
     """K6: systems by name; datasets by (system, schema, object, name), optional system filter."""
     d = datasets if system_id is None else datasets.where(C("system_id") == system_id)

@@ -20,6 +20,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keelson.session import cut_lineage
+
 C = F.col
 
 
@@ -323,40 +325,47 @@ def check_constraints(df: DataFrame, key: str, *, not_null: Sequence[str] = (),
                       rules: dict[str, Column] | None = None) -> DataFrame:
     """Violations frame (constraint, key, detail) for one table.
 
-    CHECK semantics: a NULL test passes.  ``foreign`` maps a column to
-    ``(parent_df, parent_column)`` and is checked with ``left_anti`` (NULL FKs
-    pass).  ``rules`` are extra named CHECK expressions that must hold.
+    CHECK semantics: a NULL test passes, as do unique and foreign keys with a NULL part.
+    ``foreign`` maps a column to ``(parent_df, parent_column)``.  ``rules`` are extra named
+    CHECK expressions that must hold.
+
+    The table is scanned once: each row yields the names of the row rules it breaks and its
+    key values.  All unique and foreign keys are decided in one grouping of (constraint,
+    value), to which parents add their values; only values found wrong go back to rows.
     """
-    parts = []
-    kc = C(key).cast("string")
-
-    def add(frame, name, detail):
-        parts.append(frame.select(F.lit(name).alias("constraint_name"), kc.alias("row_key"),
-                                  detail.cast("string").alias("detail")))
-
-    for c in not_null:
-        add(df.where(C(c).isNull()), f"{c}_not_null", F.lit(None))
-    for c, allowed in (enums or {}).items():
-        add(df.where(~C(c).isin(list(allowed))), f"{c}_check", C(c))
-    for c in non_negative:
-        add(df.where(C(c) < 0), f"{c}_non_negative", C(c))
-    for name, cond in (rules or {}).items():
-        add(df.where(~cond), name, F.lit(None))
-    for cols in unique:
-        cols = list(cols)
-        all_set = C(cols[0]).isNotNull()
-        for c in cols[1:]:
-            all_set = all_set & C(c).isNotNull()
-        dup = duplicate_keys(df.where(all_set), cols)
-        add(df.join(dup.select(*cols), cols, "left_semi"), "_".join(cols) + "_unique",
-            F.concat_ws("|", *[C(c).cast("string") for c in cols]))
+    text = lambda c: c.cast("string")
+    rules_ = [(f"{c}_not_null", C(c).isNull(), F.lit(None)) for c in not_null]
+    rules_ += [(f"{c}_check", ~C(c).isin(list(allowed)), C(c)) for c, allowed in (enums or {}).items()]
+    rules_ += [(f"{c}_non_negative", C(c) < 0, C(c)) for c in non_negative]
+    rules_ += [(name, ~cond, F.lit(None)) for name, cond in (rules or {}).items()]
+    keys = [("_".join(cols) + "_unique", list(cols), 2) for cols in unique]
+    keys += [(f"{c}_fkey", [c], 1) for c in (foreign or {})]
+    entry = "array<struct<name:string,value:string,detail:string,kind:int>>"
+    broken = [F.when(bad, F.struct(F.lit(name).alias("name"), F.lit(None).cast("string").alias("value"), text(detail).alias("detail"),
+                                   F.lit(0).alias("kind"))) for name, bad, detail in rules_]
+    probes = []
+    for name, cols, kind in keys:
+        whole = F.lit(True)
+        for c in cols:
+            whole = whole & C(c).isNotNull()
+        probes.append(F.when(whole, F.struct(
+            F.lit(name).alias("name"), F.to_json(F.array(*[text(C(c)) for c in cols])).alias("value"),
+            F.concat_ws("|", *[text(C(c)) for c in cols]).alias("detail"), F.lit(kind).alias("kind"))))
+    found = F.array_compact(F.array(*broken, *probes)).cast(entry)
+    rows = df.select(text(C(key)).alias("row_key"), F.explode(found).alias("x")).select("row_key", "x.*")
+    out = lambda x: x.select(C("name").alias("constraint_name"), "row_key", "detail")
+    if not keys:
+        return out(rows)
+    rows = cut_lineage(rows)
+    asked = rows.where("kind > 0").select("name", "value", "kind", F.lit(1).alias("rows"))
     for c, (parent, pcol) in (foreign or {}).items():
-        missing = df.where(C(c).isNotNull()).join(parent.select(C(pcol).alias(c)).distinct(), c, "left_anti")
-        add(missing, f"{c}_fkey", C(c))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        known = F.to_json(F.array(text(C(pcol).cast(df.schema[c].dataType))))
+        asked = asked.unionByName(parent.where(C(pcol).isNotNull()).select(
+            F.lit(f"{c}_fkey").alias("name"), known.alias("value"), F.lit(1).alias("kind"), F.lit(None).cast("int").alias("rows")))
+    # a unique value is wrong when it has several rows, a foreign one when no parent has it
+    wrong = asked.groupBy("name", "value", "kind").agg(F.count("rows").alias("n"), F.count(F.lit(1)).alias("m")) \
+        .where("(kind = 2 and n > 1) or (kind = 1 and m = n)").select("name", "value")
+    return out(rows.where("kind = 0")).unionByName(out(rows.where("kind > 0").join(wrong, ["name", "value"], "left_semi")))
 
 
 # ------------------------------------------------------------------ C5 documents

@@ -63,6 +63,7 @@ def load_all():
         ledger_plans,
         load_plans,
         restore_plans,
+        store_plans,
         stream_plans,
         telemetry_plans,
         upkeep_plans,

@@ -6,6 +6,8 @@ overwrite the input they read from.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
@@ -22,7 +24,10 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def write_table(df: DataFrame, path: str, mode: str = "create", partition_by=None) -> None:
-    """Create (fail if exists) / append (fail if missing, or if a column is not in the table) / replace."""
+    """Create (fail if exists) / append (fail if missing, or if a column is not in the table) / replace.
+
+    ``sources.publish`` checks several tables before they replace published ones together.
+    """
     spark = df.sparkSession
     exists = _exists(spark, path)
     if mode == "create" and exists:
@@ -34,11 +39,26 @@ def write_table(df: DataFrame, path: str, mode: str = "create", partition_by=Non
         missing = [c for c in df.columns if c not in have and c not in (partition_by or [])]
         if missing:
             raise ValueError(f"Append target is missing columns: {', '.join(missing)}")
-    spark_mode = {"create": "errorifexists", "append": "append", "replace": "overwrite"}[mode]
+    spark_mode = {"create": "errorifexists", "append": "append", "replace": "errorifexists"}[mode]
     w = df.write.mode(spark_mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
-    w.parquet(path)
+    if mode != "replace" or not exists:
+        w.parquet(path)
+        return
+    # the new table is whole before the old one moves aside; a write that fails leaves the old one as it is
+    base, tag = path.rstrip("/"), uuid.uuid4().hex
+    staged, aside = f"{base}.staged-{tag}", f"{base}.replaced-{tag}"
+    w.parquet(staged)
+    jvm = spark.sparkContext._jvm
+    at = {p: jvm.org.apache.hadoop.fs.Path(p) for p in (base, staged, aside)}
+    fs = at[base].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.rename(at[base], at[aside]):
+        raise OSError(f"Cannot move {base} aside")
+    if not fs.rename(at[staged], at[base]):
+        fs.rename(at[aside], at[base])
+        raise OSError(f"Cannot put the new table at {base}")
+    fs.delete(at[aside], True)
 
 
 def event_sink(events: DataFrame, path: str, mode: str = "append", max_records_per_file: int = 5_000_000,
@@ -65,6 +85,18 @@ def event_sink(events: DataFrame, path: str, mode: str = "append", max_records_p
      .partitionBy("collection", "event_date").parquet(path))
 
 
+def event_store(events: DataFrame, path: str, max_records_per_file: int = 1_000_000) -> None:
+    """L10/E8 layout for reads of one system: one folder per collection, files ordered by (system, time desc).
+
+    Every file holds a narrow range of systems, so its minimum and maximum let a query for
+    one system skip nearly all files; a system with very many events fills files of its own.
+    """
+    events = cut_lineage(events)
+    keys = ["collection", "system_key", C("timestamp").desc()]
+    (events.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("append")
+     .option("maxRecordsPerFile", max_records_per_file).partitionBy("collection").parquet(path))
+
+
 def _flat(df: DataFrame) -> DataFrame:
     return df.select(*[F.to_json(C(f"`{f.name}`")).alias(f.name)
                        if isinstance(f.dataType, (StructType, MapType, ArrayType)) else C(f"`{f.name}`")
@@ -83,25 +115,19 @@ def csv_lines(df: DataFrame) -> DataFrame:
 def export_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     """Quoted lines written as text (so NULL and '' stay distinct), a header on every file.
 
-    Files are written in parallel, one per partition, each starting with the
-    header (prepended per partition in Arrow batches); ``single_file=True``
-    funnels a small result through one task into one file.
+    Files are written in parallel, one per partition; the first line of each carries the
+    header in front of it.  ``single_file=True`` funnels a small result through one task
+    into one file.  A frame without rows becomes one file with the header alone.
     """
     header = ",".join('"' + c.replace('"', '""') + '"' for c in df.columns)
     lines = csv_lines(df)
-    if single_file:
-        lines = lines.coalesce(1)
-
-    def with_header(batches):
-        import pandas as pd
-        first = True
-        for pdf in batches:
-            if first and len(pdf):
-                yield pd.DataFrame({"value": [header]})
-                first = False
-            yield pdf
-
-    lines.mapInPandas(with_header, "value string").write.mode("errorifexists").text(path)
+    if lines.isEmpty():
+        lines = df.sparkSession.range(0, 1, 1, 1).select(F.lit(header).alias("value"))
+    else:
+        lines = lines.coalesce(1) if single_file else lines
+        first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0       # row 0 of its partition
+        lines = lines.select(F.when(first, F.concat(F.lit(header + "\n"), "value")).otherwise(C("value")).alias("value"))
+    lines.write.mode("errorifexists").text(path)
 
 
 def export_json(df: DataFrame, path: str) -> None:

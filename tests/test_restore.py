@@ -102,3 +102,17 @@ def test_single_table_restore_reads_any_case_and_one_row_per_key(spark):
     restored = baseline.restore(live, base).drop("mirror_status")
     assert baseline.mismatch_count(restored, one, "internal_lot_number", cols).first().mismatches == 1
     assert baseline.mismatch_count(restored, one, "internal_lot_number", cols, remap={"status": restore.lot_status()}).first().mismatches == 0
+
+
+def test_constraints_in_one_scan(spark):
+    rows = [(1, "a", "x", 1.5, 5), (2, "a", "x", None, 6), (3, "a|b", "c", -1.0, None), (4, "a", "b|c", 2.0, 9), (5, None, "x", 0.0, 5), (6, None, None, 0.0, 5)]
+    df = spark.createDataFrame(rows, "id int, a string, b string, q double, parent int")
+    parents = spark.createDataFrame([(5,), (5,), (6,), (None,)], "p long")
+    got = changes.check_constraints(df, "id", not_null=["q"], enums={"a": ["a"]}, non_negative=["q"], unique=[["a", "b"], ["q"]],
+                                    foreign={"parent": (parents, "p")}, rules={"small": F.col("q") < 2})
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([
+        ("q_not_null", "2", None), ("a_check", "3", "a|b"), ("q_non_negative", "3", "-1.0"), ("small", "4", None),
+        ("a_b_unique", "1", "a|x"), ("a_b_unique", "2", "a|x"), ("q_unique", "5", "0.0"), ("q_unique", "6", "0.0"),
+        ("parent_fkey", "4", "9")], key=str)
+    assert changes.check_constraints(df.limit(0), "id", unique=[["a"]], foreign={"parent": (parents, "p")}).count() == 0
+    assert changes.check_constraints(df, "id", not_null=["q"]).count() == 1
