@@ -53,7 +53,7 @@ def small_side(df: DataFrame, most_rows: int) -> DataFrame:
 
 
 # ---- vectorised word hashes -------------------------------------------------------
-CHUNK = 1 << 20                     # bytes of text hashed at once; a longer text is a chunk of its own
+CHUNK = 1 << 18                     # bytes of text hashed at once; a longer text is a chunk of its own
 _R, _Q = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[32, 9, 10, 11, 12, 13]] = False
@@ -85,8 +85,8 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
-def chunks(texts):
-    """(first, last) runs of a string array with about CHUNK bytes of text each."""
+def chunks(texts, size: int = CHUNK):
+    """(first, last) runs of a string array with about ``size`` bytes of text each."""
     n = len(texts)
     if not n:
         return
@@ -94,7 +94,7 @@ def chunks(texts):
     off = off[texts.offset:texts.offset + n + 1].astype(np.int64)
     first = 0
     while first < n:
-        last = max(first + 1, int(np.searchsorted(off, off[first] + CHUNK, "right")) - 1)
+        last = max(first + 1, int(np.searchsorted(off, off[first] + size, "right")) - 1)
         yield first, min(last, n)
         first = last
 

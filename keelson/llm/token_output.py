@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from keelson.session import scratch_path
 
-from .encoding import tokenizers_encoder
-from .text import pick
+from .encoding import CHUNK, tokenizers_encoder
+from .text import chunks, pick
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 END_ID = 2
@@ -133,22 +133,23 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_i
             return row
 
         for b in batches:
-            for at in range(0, b.num_rows, 128):
-                some = b.slice(at, 128)
-                texts = [t or "" for t in some.column(1).to_pylist()]
-                for doc_id, raw in zip(some.column(0).to_pylist(), enc.encode_many(texts)):
-                    frame = z.compress(raw + end)
+            for first, last in chunks(b.column(1), CHUNK):
+                tokens, bounds = enc.encode(b.column(1).slice(first, last - first))
+                doc_ids = b.column(0).slice(first, last - first).to_pylist()
+                for doc_id, at, to in zip(doc_ids, bounds[:-1].tolist(), bounds[1:].tolist()):
+                    frame = z.compress(tokens[at:to].tobytes() + end)
                     if ids and (len(ids) >= SHARD_DOCS or size + len(frame) > SHARD_BYTES):
                         yield close()
                     ids.append(doc_id)
                     frames.append(frame)
-                    counts.append(len(raw) // width + 1)
+                    counts.append(to - at + 1)
                     size += len(frame)
         if ids:
             yield close()
 
     d = pick(docs, doc_id="long", text="string")
     d = d.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    d = d.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
     d.mapInArrow(run, SHARDS).write.option("compression", "none").parquet(f"{path}/shards")
 
 
