@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from keelson.operators import catalog, events, paging
+from keelson.operators import catalog, events, paging, profile
 from keelson.plans.event_plans import INGEST_EVENTS_SQL, NOW
 from keelson.plans.registry import query
 from keelson.session import scratch_path
@@ -185,3 +185,52 @@ def q_session_entity_pages(r):
     e = r.demo_session_entities.where("active")
     return paging.paged_strings(e, "session_id", ["entity_type", "entity_id"], F.concat("entity_type", F.lit(":"), "entity_id"),
                                 "entities", ", ", 3)
+
+
+# --------------------------------------------------------------------- K3
+def _stored_profile(r):
+    """Orders by year of their date, profiled folder by folder: all but the last year, then the last alone."""
+    path = _fresh(r, "orders-by-year")
+    r.table("orders").withColumn("part", F.year("o_orderdate")).repartition("part").write.partitionBy("part").parquet(path)
+    years = [row[0] for row in r.table("orders").select(F.year("o_orderdate").alias("y")).distinct().orderBy("y").collect()]
+    folders = {str(y): f"{path}/part={y}" for y in years}
+    store = profile.profile_store(r.spark, "orders")
+    first = dict(list(folders.items())[:-1])
+    profile.refresh(r.spark, first, store)
+    profile.refresh(r.spark, folders, store)
+    return profile.merged_profile(r.spark, store)
+
+
+_PROFILED = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+
+
+@query("stored_profile", "\nUNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count(*) AS row_count, count({c}) AS non_null, true AS distinct_close, true AS median_close, "
+    f"true AS bounds_exact, true AS frequent_close FROM orders" for c in _PROFILED))
+def q_stored_profile(r):
+    """K3 a profile merged from the folders' sketches, held against exact figures: distinct within 3 percent, the
+    median's rank within 2, lowest and highest exact, the most frequent items' counts within the sketch's bound."""
+    found = _stored_profile(r)
+    o = r.table("orders").select(*_PROFILED)
+    out = None
+    for c in _PROFILED:
+        text = C(c).cast("string")
+        value = F.unix_micros(C(c).cast("timestamp")).cast("double") if c == "o_orderdate" else C(c).cast("double")
+        ranked = c not in ("o_orderstatus", "o_orderpriority")
+        own = found.where(C("column_name") == c)
+        v = o.select(text.alias("t"), (value if ranked else F.lit(0.0)).alias("v")).crossJoin(F.broadcast(own))          # one row
+        bounds = v.groupBy("column_name", "row_count", "non_null").agg(
+            F.count_distinct("t").alias("d"), F.first("distinct_values").alias("e"), F.min("v").alias("lo"), F.max("v").alias("hi"),
+            F.first("low").alias("low"), F.first("high").alias("high"), F.count_if(C("v") < C("median")).alias("below"),
+            F.count_if(C("v") <= C("median")).alias("upto"), F.count(F.lit(1)).alias("n"))
+        top = own.select(F.explode("frequent").alias("f")).select("f.item", C("f.count").alias("guess"))
+        counts = o.groupBy(text.alias("item")).agg(F.count(F.lit(1)).alias("true_count")).join(F.broadcast(top), "item")
+        # every estimate lies within the sketch's error, rows / tracked items
+        worst = counts.agg(F.coalesce(F.max(F.abs(C("guess") - C("true_count"))), F.lit(0)).alias("off"))
+        row = bounds.crossJoin(worst).select(
+            "column_name", "row_count", "non_null", (F.abs(C("e") - C("d")) <= F.greatest(C("d") * 0.03, F.lit(1))).alias("distinct_close"),
+            (F.lit(not ranked) | ((C("below") <= C("n") * 0.52) & (C("upto") >= C("n") * 0.48))).alias("median_close"),
+            (F.lit(not ranked) | ((C("lo") == C("low")) & (C("hi") == C("high")))).alias("bounds_exact"),
+            (C("off") <= C("n") * 4.0 / profile.TRACKED + 1).alias("frequent_close"))
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -80,3 +80,23 @@ def test_a_key_with_a_million_matches(spark):
         [(i + 1, 10_000, 10_000, 10_000 * i, 10_000 * i + 9_999, True) for i in range(100)]
     assert sorted((r.k, r.page, r.n, r.vs) for r in out.where("k <> 'hot'").collect()) == [("cold", 1, 2, [1, 2]), ("none", 1, 0, [])]
     out.unpersist()
+
+
+def test_only_new_folders_are_profiled(spark):
+    from keelson.operators import profile
+    base, store = tempfile.mkdtemp(prefix="keelson-folders-"), tempfile.mkdtemp(prefix="keelson-profile-")
+    folders = {}
+    for k in range(3):
+        folders[f"d{k}"] = f"{base}/d{k}"
+        df = spark.range(1000 * k, 1000 * k + 1000).select("id", F.when(F.col("id") % 4 > 0, F.col("id") % 7).alias("v"),
+                                                           F.when(F.col("id") % 2 == 0, "x").otherwise("").alias("s"), F.lit(None).cast("int").alias("z"))
+        df.write.parquet(folders[f"d{k}"])
+    assert profile.refresh(spark, {k: folders[k] for k in ("d0", "d1")}, store) == ["d0", "d1"]
+    folders["d0"] = f"{base}/nowhere"                           # a refresh that read it again would fail
+    assert profile.refresh(spark, folders, store) == ["d2"] and profile.refresh(spark, folders, store) == []
+    p = {r.column_name: r for r in profile.merged_profile(spark, store).collect()}
+    assert (p["id"].row_count, p["id"].non_null, p["id"].low, p["id"].high) == (3000, 3000, 0.0, 2999.0)
+    assert abs(p["id"].distinct_values - 3000) < 90 and abs(p["id"].median - 1500) < 60
+    assert (p["v"].non_null, p["v"].distinct_values, p["z"].non_null, p["z"].distinct_values, p["z"].median) == (2250, 7, 0, 0, None)
+    assert sorted((f["item"], f["count"]) for f in p["s"].frequent) == [("", 1500), ("x", 1500)]
+    assert p["s"].distinct_values == 2 and p["s"].median is None
