@@ -166,8 +166,8 @@ def op7_decontamination(spark, sf_dir):
 
 @query("op5_token_rollup")
 def op5_token_rollup(spark, sf_dir):
-    """Totals after four batches over all documents: load, counts revised to include the end token, removal of
-    the documents without tokens, and the load again (already committed, so it adds nothing)."""
+    """Totals after four batches over all documents: load, counts revised to include the end token (both folded
+    into the totals table), removal of the documents without tokens, and the load again (already committed)."""
     import uuid
 
     from pyspark.sql import functions as F
@@ -181,6 +181,7 @@ def op5_token_rollup(spark, sf_dir):
     revised = counts.withColumn("old_tokens", F.col("n_tokens")).withColumn("n_tokens", F.col("n_tokens") + 1)
     R.commit(R.inserts(counts), path, "load")
     R.commit(R.revisions(revised), path, "end-token")
+    R.fold(spark, path)
     R.commit(R.deletes(revised.where(F.col("old_tokens") == 0)), path, "blank")
     R.commit(R.inserts(counts), path, "load")
     return R.totals(spark, path)
