@@ -32,7 +32,7 @@ def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     bench = spark.read.parquet(f"{SF_SMALL}/benchmark.parquet")
     ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
-    keep = [lambda d: apply_rules(d).where("kept"), lambda d: near_duplicates(d).where("kept"),
+    keep = [lambda d: apply_rules(d).where("kept"), lambda d: near_duplicates(d, 80, 5).where("kept"),
             lambda d: decontaminate(d, bench).where("not contaminated")]
     for (name, stage), wanted in zip(P.STAGES, keep):
         out = stored(stage(spark, docs, SF_SMALL), "test-stage")

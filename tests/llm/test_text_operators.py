@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -303,6 +304,17 @@ def test_token_rollup(spark, docs, empty, corpus, tmp_path):
     got = {(r.source, r.lang, r.tokenizer_version): (r.n_docs, r.n_tokens) for r in R.totals(spark, path).collect()}
     assert got == {k[:3]: (want[*k[:3], "docs"], want[*k[:3], "tokens"]) for k in want if k[3] == "docs"}
     assert R.commit(R.inserts(R.count_tokens(empty)), path, "nothing")
+    # a batch and a fold that broke off count nothing; folding changes no total and counts no batch twice
+    R.inserts(c).write.parquet(path + "/batch=broken")
+    R.inserts(c).write.parquet(path + "/totals/000000000009-x/rows")
+    Path(path, "batch=broken", "_SUCCESS").unlink()
+    before = bag(R.totals(spark, path).collect())
+    assert before == bag((*k, *v) for k, v in got.items())
+    assert R.fold(spark, path) == 4 == R.fold(spark, path) and bag(R.totals(spark, path).collect()) == before
+    assert R.commit(R.inserts(c), path, "broken") and R.commit(R.deletes(c), path, "undo")
+    assert bag(R.totals(spark, path).collect()) == before
+    assert R.fold(spark, path) == 6 and bag(R.totals(spark, path).collect()) == before
+    assert R.totals(spark, path + "-none").count() == 0
     with pytest.raises(ValueError):
         R.commit(R.inserts(c), path, "../x")
 
@@ -470,6 +482,36 @@ def test_ordinal_model_orders_grades():
     assert mean[0] < 0.4 < mean[1] < 1.5 < mean[2]
 
 
+def test_ordinal_likelihood_and_gradient(monkeypatch):
+    """Against the formula word by word, and against differences of it."""
+    from keelson.llm import toxicity as T
+    monkeypatch.setattr(T, "BITS", 6)
+    r = np.random.default_rng(1)
+    rows = [sorted(set(r.integers(0, 64, 8).tolist())) for _ in range(30)] + [[]]
+    grades = r.integers(0, 3, 31)
+    feature, row = np.array(sum(rows, [])), np.repeat(np.arange(31), [len(x) for x in rows])
+    weights, cuts = r.normal(0, 0.5, 64), np.array([-0.3, 0.9])
+
+    def plain(w, c):
+        total = 0.0
+        for words, g in zip(rows, grades):
+            above = [1.0] + [1 / (1 + math.exp(-(sum(w[x] for x in words) - b))) for b in c] + [0.0]
+            total += math.log(above[g] - above[g + 1])
+        return total / len(rows)
+
+    value, gw, gc = T.likelihood(T.OrdinalModel(weights, cuts), feature, row, grades)
+    assert abs(value - plain(weights, cuts)) < 1e-12
+    e = 1e-6
+    for i in range(64):
+        d = np.eye(64)[i] * e
+        assert abs((plain(weights + d, cuts) - plain(weights - d, cuts)) / (2 * e) - gw[i]) < 1e-7
+    for i in range(2):
+        d = np.eye(2)[i] * e
+        assert abs((plain(weights, cuts + d) - plain(weights, cuts - d)) / (2 * e) - gc[i]) < 1e-7
+    m = T.fit_pairs(feature, row, grades, 3, l1=0.0)
+    assert T.likelihood(m, feature, row, grades)[0] > value
+
+
 # ---- 10 --------------------------------------------------------------------------------
 def test_token_output(spark, docs, empty, corpus, tmp_path, monkeypatch):
     from tokenizers import Tokenizer
