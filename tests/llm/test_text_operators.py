@@ -63,6 +63,26 @@ def test_substring_dedup(spark, docs, empty, corpus, monkeypatch, most):
     assert S.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("length", [5, 100])
+def test_substring_dedup_of_any_length(spark, length):
+    from keelson.llm.substring_dedup import remove_repeats
+    shared = prose(70, 260)
+    rows = [(i, prose(500 + i, 40) + " " + shared[i % 3 * 7:] + " " + prose(900 + i, 30), "s", "en") for i in range(6)]
+    rows += [(50, prose(1, 99), "s", "en"), (51, prose(1, 99), "s", "en"), (52, prose(2, 130) + " x " + prose(2, 130), "s", "en")]
+    got = remove_repeats(make(spark, rows), length)
+    assert bag(got.collect()) == bag(brute_repeats(rows, length))
+
+
+def test_equal_windows_pick_one_anchor_in_any_chunk():
+    from keelson.llm.substring_dedup import pick_anchors
+    from keelson.llm.text import Words
+    passage = prose(5, 80).encode()
+    few, many = Words([passage]), Words([prose(6, 40_000).encode(), passage])
+    a, b = pick_anchors(few, 35, 12), pick_anchors(many, 35, 12)
+    inside = b[2] >= many.bounds[1]
+    assert (a[0] == b[0][inside]).all() and (a[2] == b[2][inside] - many.bounds[1]).all()
+
+
 def test_substring_dedup_keeps_real_text(spark, docs):
     from keelson.llm.substring_dedup import remove_repeats
     row = {r.doc_id: r for r in remove_repeats(docs, texts=True).collect()}[4]
