@@ -234,9 +234,8 @@ SELECT {_HEAD}, {_YIELD} AS batch_yield_pct, {_minutes('started_at', 'completed_
 
 
 def dashboard(r):
-    bk = kpi.batch_kpis(*_v1_args(r), unique_ids=PK_IDS)
-    return kpi.production_dashboard(bk, r.process_parameters, r.process_runs, r.batches, r.process_steps,
-                                    r.quality_results, r.packaging_records, r.batch_materials)
+    return kpi.dashboard_in_one(r.batches, r.production_orders, r.products, r.process_runs, r.deviations, r.process_parameters,
+                                r.process_steps, r.quality_results, r.packaging_records, r.batch_materials)
 
 
 @query("production_dashboard", V9_SQL, bench=True)
@@ -245,6 +244,14 @@ def q_production_dashboard(r):
     return dashboard(r)
 
 
+@query("production_dashboard_exact", V9_SQL)
+def q_production_dashboard_exact(r):
+    """V9 on exact distinct counts, for ids that may repeat."""
+    bk = kpi.batch_kpis(*_v1_args(r), unique_ids=False)
+    return kpi.production_dashboard(bk, r.process_parameters, r.process_runs, r.batches, r.process_steps,
+                                    r.quality_results, r.packaging_records, r.batch_materials)
+
+
 @query("process_health", f"""
 SELECT *, coalesce(CASE WHEN open_deviations > 0 THEN 'attention' END, CASE WHEN quality_fail_count > 0 THEN 'critical' END,
                    CASE WHEN cpp_out_of_spec > 0 THEN 'warning' END,
