@@ -14,7 +14,6 @@ from __future__ import annotations
 import os
 import re
 import sys
-import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -50,19 +49,17 @@ def main():
     rows = []
     for name in sorted(queries):
         df = queries[name](spark, sf_dir)
-        t0 = time.perf_counter()
         df.write.format("noop").mode("overwrite").save()
-        secs = time.perf_counter() - t0
         plan = df._jdf.queryExecution().executedPlan().toString()
-        rows.append((name, secs, shape(plan), name in oracles))
+        rows.append((name, shape(plan), name in oracles))
     cols = list(PATTERNS) + ["scans", "scans_with_pushed_filters"]
     lines = ["# Physical plan shapes", "",
-             f"Generated by `tools/plan_report.py` at `{sf_dir}` (local[8]); seconds are one cold-ish run.",
+             f"Generated by `tools/plan_report.py` at `{sf_dir}` (local[8]).",
              "Nested-loop joins appear only against one-row aggregates (global counts, totals) or",
              "bounded pages/charts; `single_partition` exchanges are the final merge of global aggregates.", "",
-             "| query | sec | " + " | ".join(cols) + " |", "| --- | --- | " + " | ".join("---" for _ in cols) + " |"]
-    for name, secs, sh, _ in rows:
-        lines.append(f"| {name} | {secs:.2f} | " + " | ".join(str(sh[c]) for c in cols) + " |")
+             "| query | " + " | ".join(cols) + " |", "| --- | " + " | ".join("---" for _ in cols) + " |"]
+    for name, sh, _ in rows:
+        lines.append(f"| {name} | " + " | ".join(str(sh[c]) for c in cols) + " |")
     path = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "PLANS.md")
     with open(path, "w") as fh:
         fh.write("\n".join(lines) + "\n")
