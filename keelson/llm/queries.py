@@ -313,9 +313,9 @@ WITH {CRC_TABLE},
 r AS (
   SELECT doc_id, coalesce(octet_length(encode(text)), 0) + 8 AS size, {crc_sql("coalesce(text, '')")} AS crc FROM documents, crc_table),
 g AS (SELECT doc_id, size, crc, count(*) AS m FROM r GROUP BY doc_id, size, crc),
-cut AS (SELECT *, unnest(range(0, (m - 1) // 256 + 1)) AS piece FROM g),
+cut AS (SELECT *, unnest(range(0, (m - 1) // 64 + 1)) AS piece FROM g),
 p AS (
-  SELECT doc_id, size, crc, piece, least(256, m - piece * 256) AS n,
+  SELECT doc_id, size, crc, piece, least(64, m - piece * 64) AS n,
          CAST('0x' || substr(md5(concat_ws(':', coalesce(CAST(doc_id AS VARCHAR), ''), crc, size, piece)), 1, 8) AS BIGINT) % 4096 AS vslot
   FROM cut),
 t AS (

@@ -21,7 +21,8 @@ from keelson.session import cut_lineage
 from .text import pick
 
 SHARDS, SLOTS = 24, 4096
-PIECE = 256                 # equal rows that stay together at most
+PIECE = 64                  # equal rows that stay together at most
+BLOCK = PIECE << 10         # rows of a group that are cut into pieces at once
 EXTRA = 8                   # bytes a record takes besides its text
 LAW = "bytes"
 
@@ -42,8 +43,11 @@ def slot_of(piece: Column, slots: int = SLOTS) -> Column:
 def pieces(records: DataFrame, slots: int = SLOTS) -> DataFrame:
     """(doc_id, size, text_crc32, piece, n, vslot): equal records as pieces of at most PIECE rows."""
     groups = records.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("m"))
-    last = F.expr(f"(m - 1) div {PIECE}")
-    cut = groups.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    # two steps, so that no array of a very large group is long
+    each = lambda rows, size: F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({rows} - 1) div {size}")))
+    cut = groups.withColumn("block", each("m", BLOCK))
+    cut = cut.withColumn("k", each(f"least(m - block * {BLOCK}, {BLOCK})", PIECE))
+    cut = cut.withColumn("piece", F.col("k") + F.col("block") * (BLOCK // PIECE))
     n = F.least(F.lit(PIECE), F.col("m") - F.col("piece") * PIECE).cast("long")
     return cut.select("doc_id", "size", "text_crc32", "piece", n.alias("n"), slot_of(F.col("piece"), slots).alias("vslot"))
 

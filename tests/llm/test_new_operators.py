@@ -132,9 +132,9 @@ def check_shards(rows, out, shards=24, slots=4096):
     assert all(sorted(v) == list(range(len(v))) for v in by.values()) and set(by) <= set(range(shards))
     load = [0] * slots
     for (d, size, crc), n in Counter(facts).items():
-        for piece in range((n - 1) // 256 + 1):
+        for piece in range((n - 1) // 64 + 1):
             key = f"{'' if d is None else d}:{crc}:{size}:{piece}"
-            load[int(hashlib.md5(key.encode()).hexdigest()[:8], 16) % slots] += size * min(256, n - 256 * piece)
+            load[int(hashlib.md5(key.encode()).hexdigest()[:8], 16) % slots] += size * min(64, n - 64 * piece)
     where, freed, held = {}, [], [0] * shards
     for s in range(shards):
         run = 0
