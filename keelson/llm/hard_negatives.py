@@ -253,7 +253,7 @@ def routed(anchors: DataFrame, index: Index, home: bool) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 some = b.slice(at, 1024)
-                least = some.column("least").cast(pa.float64()).fill_null(-np.inf).to_numpy(zero_copy_only=False)
+                least = some.column("least").cast(pa.float64(), safe=False).fill_null(-np.inf).to_numpy(zero_copy_only=False)
                 own = some.column("shard").to_numpy()
                 tops = index.shard_bounds(matrix(some.column("vec"), index.dims))
                 row, to = np.nonzero((tops >= least[:, None]) & (index.shards[None, :] != own[:, None]))
