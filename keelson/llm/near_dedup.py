@@ -199,8 +199,8 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFr
     def run(batches):
         for b in batches:
             keep = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = (np.frombuffer(s.as_py(), np.uint64) for s in (x, y))
+            for x, y in zip(binary_views(b.column(2)), binary_views(b.column(3))):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
@@ -270,6 +270,13 @@ def in_blocks(members: DataFrame) -> DataFrame:
         F.concat(inside, F.coalesce(outside, F.array().cast("array<struct<i:int,j:int,outside:int>>")))))
 
 
+def binary_views(column: pa.Array):
+    """The values of a binary column without copies."""
+    off = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1].tolist() if len(column) else [0]
+    data = memoryview(column.buffers()[2] or b"")
+    return (data[a:z] for a, z in zip(off[:-1], off[1:]))
+
+
 def complete_blocks(blocks: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links (u, v) that join different components, from rows (bucket, band, i, j, outside, id, comp, sig, shingles).
 
@@ -319,7 +326,9 @@ def complete_blocks(blocks: DataFrame, percent: int = PERCENT) -> DataFrame:
     def run(batches):
         rows, key, found = [], None, []
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in range(9))):
+            # signatures and sets stay where they arrived; a block only points into its batches
+            plain = (b.column(c).to_pylist() for c in range(7))
+            for row in zip(*plain, binary_views(b.column(7)), binary_views(b.column(8))):
                 at = (row[0], row[2], row[3])
                 if at != key:
                     if rows:
