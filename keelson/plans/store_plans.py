@@ -211,26 +211,22 @@ def q_stored_profile(r):
     """K3 a profile merged from the folders' sketches, held against exact figures: distinct within 3 percent, the
     median's rank within 2, lowest and highest exact, the most frequent items' counts within the sketch's bound."""
     found = _stored_profile(r)
-    o = r.table("orders").select(*_PROFILED)
-    out = None
-    for c in _PROFILED:
-        text = C(c).cast("string")
-        value = F.unix_micros(C(c).cast("timestamp")).cast("double") if c == "o_orderdate" else C(c).cast("double")
-        ranked = c not in ("o_orderstatus", "o_orderpriority")
-        own = found.where(C("column_name") == c)
-        v = o.select(text.alias("t"), (value if ranked else F.lit(0.0)).alias("v")).crossJoin(F.broadcast(own))          # one row
-        bounds = v.groupBy("column_name", "row_count", "non_null").agg(
-            F.count_distinct("t").alias("d"), F.first("distinct_values").alias("e"), F.min("v").alias("lo"), F.max("v").alias("hi"),
-            F.first("low").alias("low"), F.first("high").alias("high"), F.count_if(C("v") < C("median")).alias("below"),
-            F.count_if(C("v") <= C("median")).alias("upto"), F.count(F.lit(1)).alias("n"))
-        top = own.select(F.explode("frequent").alias("f")).select("f.item", C("f.count").alias("guess"))
-        counts = o.groupBy(text.alias("item")).agg(F.count(F.lit(1)).alias("true_count")).join(F.broadcast(top), "item")
-        # every estimate lies within the sketch's error, rows / tracked items
-        worst = counts.agg(F.coalesce(F.max(F.abs(C("guess") - C("true_count"))), F.lit(0)).alias("off"))
-        row = bounds.crossJoin(worst).select(
-            "column_name", "row_count", "non_null", (F.abs(C("e") - C("d")) <= F.greatest(C("d") * 0.03, F.lit(1))).alias("distinct_close"),
-            (F.lit(not ranked) | ((C("below") <= C("n") * 0.52) & (C("upto") >= C("n") * 0.48))).alias("median_close"),
-            (F.lit(not ranked) | ((C("lo") == C("low")) & (C("hi") == C("high")))).alias("bounds_exact"),
-            (C("off") <= C("n") * 4.0 / profile.TRACKED + 1).alias("frequent_close"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    number = lambda c: F.unix_micros(C(c).cast("timestamp")).cast("double") if c == "o_orderdate" else C(c).cast("double")
+    texts = ("o_orderstatus", "o_orderpriority")
+    rows = r.table("orders").select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), C(c).cast("string").alias("t"),
+                 (F.lit(None).cast("double") if c in texts else number(c)).alias("v")) for c in _PROFILED])).alias("x")).select("x.*")
+    known = rows.join(F.broadcast(found), "column_name")                # one row per column
+    exact = known.groupBy("column_name", "row_count", "non_null").agg(
+        F.count_distinct("t").alias("d"), F.first("distinct_values").alias("e"), F.min("v").alias("lo"), F.max("v").alias("hi"),
+        F.first("low").alias("low"), F.first("high").alias("high"), F.count_if(C("v") < C("median")).alias("below"),
+        F.count_if(C("v") <= C("median")).alias("upto"), F.count("v").alias("n"))
+    top = found.select("column_name", F.explode("frequent").alias("f")).select("column_name", C("f.item").alias("t"), C("f.count").alias("guess"))
+    counts = rows.groupBy("column_name", "t").agg(F.count(F.lit(1)).alias("times")).join(F.broadcast(top), ["column_name", "t"])
+    off = counts.groupBy("column_name").agg(F.max(F.abs(C("guess") - C("times"))).alias("off"))
+    ranked = ~C("column_name").isin(*texts)
+    return exact.join(off, "column_name").select(
+        "column_name", "row_count", "non_null", (F.abs(C("e") - C("d")) <= F.greatest(C("d") * 0.03, F.lit(1))).alias("distinct_close"),
+        (~ranked | ((C("below") <= C("n") * 0.52) & (C("upto") >= C("n") * 0.48))).alias("median_close"),
+        (~ranked | ((C("lo") == C("low")) & (C("hi") == C("high")))).alias("bounds_exact"),
+        (C("off") <= C("row_count") * 4.0 / profile.TRACKED + 1).alias("frequent_close"))
