@@ -63,6 +63,16 @@ def test_substring_dedup(spark, docs, empty, corpus, monkeypatch, most):
     assert S.remove_repeats(empty).count() == 0
 
 
+def test_substring_dedup_tells_words_of_equal_hash_apart(spark, monkeypatch):
+    from keelson.llm import substring_dedup as S
+    monkeypatch.setattr(S, "MOST_SEGMENTS", 0)
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))      # sums over powers mod 2**64 cannot tell them apart
+    two = one.translate(str.maketrans("ab", "ba"))
+    before, after = prose(61, 20), prose(62, 20)
+    rows = [(i, f"{before} {x} {after}", "s", "en") for i, x in enumerate((one, two, "c", "c"))]
+    assert bag(S.remove_repeats(make(spark, rows)).collect()) == bag(brute_repeats(rows, 35))
+
+
 @pytest.mark.parametrize("length", [5, 100])
 def test_substring_dedup_of_any_length(spark, length):
     from keelson.llm.substring_dedup import remove_repeats
