@@ -87,3 +87,19 @@ def test_unique_ids_mode_equals_exact_mode(spark):
     r = Roles(spark, SF_SMALL)
     args = (r.batches, r.production_orders, r.products, r.process_runs, r.deviations, r.quality_results)
     assert _rows(kpi.batch_kpis(*args, unique_ids=True)) == _rows(kpi.batch_kpis(*args))
+
+
+def test_recipe_expand_takes_every_order_of_the_customer_and_skips_what_a_batch_has(spark, tmp_path):
+    from keelson.plans.change_plans import q_recipe_expand
+    from keelson.plans.roles import Roles
+    ts = "timestamp_ntz'1995-01-01 00:00:00'"
+    spark.sql(f"SELECT * FROM VALUES (10L, 7L, 'F', 1D, {ts}, '2-HIGH'), (11L, 7L, 'O', 1D, {ts}, '2-HIGH') "
+              "AS t(o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority)").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql("SELECT l_orderkey, l_partkey, 1L AS l_suppkey, l_linenumber, l_quantity, 0D AS l_discount, 0D AS l_tax, "
+              f"'A' AS l_returnflag, 'F' AS l_linestatus, {ts} AS l_shipdate FROM VALUES (10L, 1L, 1, 5D), (11L, 2L, 1, 6D), "
+              "(11L, 1L, 2, 4D), (99L, 3L, 1, 9D) AS t(l_orderkey, l_partkey, l_linenumber, l_quantity)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.sql("SELECT id AS p_partkey, 'n' AS p_name, 'b' AS p_brand, 't' AS p_type, 1 AS p_size, 1D AS p_retailprice "
+              "FROM range(1, 4)").write.parquet(f"{tmp_path}/part.parquet")
+    got = q_recipe_expand(Roles(spark, str(tmp_path))).collect()
+    # Batch 11 has both materials; batch 10 gets what the customer's second order asked for.
+    assert [(r.batch_id, r.material_id, float(r.required_quantity)) for r in got] == [(10, 2, 6.0)]
