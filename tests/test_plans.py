@@ -50,3 +50,17 @@ def test_distinct_counts_without_expand(spark, name):
 def test_row_counts_scan_each_source_once(spark):
     plan = QUERIES["row_counts"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 5  # part, customer, orders, lineitem, supplier
+
+
+def _joins_of_the_first_input(df):
+    node, kinds = df._jdf.queryExecution().optimizedPlan(), []
+    while node.children().size():
+        if node.nodeName() == "Join":
+            kinds.append(node.joinType().toString())
+        node = node.children().apply(0)
+    return kinds
+
+
+def test_traceability_joins_wide_rows_by_own_id_batch_and_material_only(spark):
+    # material, batch with its order, then issue, weighing and request lines by the material's own id
+    assert _joins_of_the_first_input(QUERIES["traceability"](spark, SF_SMALL)) == ["Inner", "Inner"] + ["LeftOuter"] * 3
