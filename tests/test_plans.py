@@ -64,3 +64,7 @@ def _joins_of_the_first_input(df):
 def test_traceability_joins_wide_rows_by_own_id_batch_and_material_only(spark):
     # material, batch with its order, then issue, weighing and request lines by the material's own id
     assert _joins_of_the_first_input(QUERIES["traceability"](spark, SF_SMALL)) == ["Inner", "Inner"] + ["LeftOuter"] * 3
+
+
+def test_request_lines_drop_existing_ones_before_the_other_joins(spark):
+    assert _joins_of_the_first_input(QUERIES["derive_request_lines"](spark, SF_SMALL)) == ["Inner", "Inner", "LeftAnti"]
