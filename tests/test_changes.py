@@ -88,6 +88,22 @@ def test_ledger_cycle_idempotent_with_checkpoints(spark):
     assert two["issues"].count() == one["issues"].count() == 1
 
 
+def test_ledger_cycle_cuts_new_rows_before_the_states_read_them(spark):
+    lots = spark.createDataFrame([("L1", "n1", Decimal("9.0000"), Decimal("9.0000"), Decimal("0.0000"))],
+                                 "material_lot_id string, internal_lot_number string, received_quantity decimal(18,4), "
+                                 "available_quantity decimal(18,4), reserved_quantity decimal(18,4)")
+    lines = spark.createDataFrame([("a", "L1", Decimal("4.0000"))],
+                                  "material_request_line_id string, material_lot_id string, requested_quantity decimal(18,4)")
+    res = spark.createDataFrame([("r", "z", "L1", Decimal("1.0000"), "reserved")],
+                                "reservation_id string, material_request_line_id string, material_lot_id string, "
+                                "reserved_quantity decimal(18,4), status string")
+    iss = spark.createDataFrame([], "material_issue_id string, reservation_id string, material_lot_id string, "
+                                    "issued_quantity decimal(18,4)")
+    cuts = []
+    ledger.ledger_cycle(lines, lots, res, iss, F.lit(dt.datetime(2024, 2, 1)), cut=lambda d: cuts.append(d.count()) or d)
+    assert cuts == [1, 1, 2, 1]     # the new reservation, its issue, then both ledgers
+
+
 def test_review_transition_rules(spark):
     req = spark.createDataFrame(
         [(1, 10, "Requested", None, None, None, None), (2, 20, "Approved", None, None, None, None),
