@@ -174,6 +174,29 @@ def test_network_is_a_distribution_and_its_gradient_is_right():
         assert abs((before[name][at] - q[name][at]) - slope) < 2e-3 * max(1, abs(slope)) + 1e-4, name
 
 
+def test_network_softmax_calls_do_not_grow_with_the_classes(monkeypatch):
+    from keelson.llm import lm_scoring as L
+    lex = L.Lexicon([f"w{i}".encode() for i in range(4000)], np.arange(4000, 0, -1), 20000, 4100, 40)
+    p = L.new_params(lex)
+    before = {k: v.copy() for k, v in p.items()}
+    acc = {k: np.full_like(v, 1e-6) for k, v in p.items()}
+    ids, goal = np.random.default_rng(3).integers(0, 4002, (2, 6, 30))
+    calls, pieces, real, share = [], [], L.shares, L.log_share
+    monkeypatch.setattr(L, "shares", lambda x: (calls.append(len(x)), real(x))[1])
+    h = L.train_window(p, acc, np.zeros((30, L.HIDDEN), np.float32), ids, goal, np.ones((6, 30), bool), 0.08)
+    named = goal[goal != L.RARE]
+    assert calls == [180, len(named)] and len(set(L.place(named, p)[0])) > 50     # one softmax of classes, one of words
+    touched = np.unique(L.place(named, p)[0])
+    assert sorted(np.flatnonzero((p["V"] != before["V"]).any((1, 2)))) == list(touched)
+    # pieces of the output layer change no score
+    states = np.tile(h, (200, 1))
+    ids = np.tile(goal[0], 200)
+    monkeypatch.setattr(L, "log_share", lambda x, at: (pieces.append(len(x)), share(x, at))[1])
+    logs = L.output_logs(p, states, ids)
+    assert max(pieces) <= L.PIECE < len(ids)
+    assert np.allclose(logs, np.tile(L.output_logs(p, h, goal[0]), 200), atol=1e-5)
+
+
 def test_network_keeps_its_size():
     from keelson.llm import lm_scoring as L
     p = L.new_params(L.Lexicon([b"a", b"b"], np.array([3, 2]), 10, 3, 5))
