@@ -68,3 +68,17 @@ def test_traceability_joins_wide_rows_by_own_id_batch_and_material_only(spark):
 
 def test_request_lines_drop_existing_ones_before_the_other_joins(spark):
     assert _joins_of_the_first_input(QUERIES["derive_request_lines"](spark, SF_SMALL)) == ["Inner", "Inner", "LeftAnti"]
+
+
+def test_exact_dashboard_deals_batches_once(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")        # as where no side is small
+    try:
+        df = QUERIES["production_dashboard_exact"](spark, SF_SMALL)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        rows = df.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("LeftSemi") == 1                                  # steps; no table is read to test that batches exist
+    assert plan.count("hashpartitioning(batch_id") == 5                 # ids, counts, roll-ups, CPP by batch and step, the batches
+    assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, QUERIES["production_dashboard"](spark, SF_SMALL).collect()), key=str)
