@@ -102,9 +102,10 @@ SELECT 'staged', CAST(2 * count(*) AS BIGINT), CAST(0 AS BIGINT) FROM staging_ba
 def q_restore_published(r):
     """R4 after a published restore: every table agrees with the snapshot, remapped alike."""
     root = scratch_path(r.spark, f"restored-{uuid.uuid4().hex}")
-    restore.restore_and_publish(live(r), saved(r), MORNING, root)
+    rows = restore.stored_snapshot(saved(r), MORNING)
+    restore.restore_and_publish(live(r), saved(r), MORNING, root, rows)
     states = {name: published(r.spark, root, name) for name in live(r)}
-    return restore.compared(states, saved(r), MORNING)
+    return restore.compared(states, saved(r), MORNING, rows=rows)
 
 
 @query("restore_differences", f"""

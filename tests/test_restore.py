@@ -50,6 +50,21 @@ def test_restore_publishes_all_tables_together(spark):
     assert all(sorted(map(tuple, again[n].collect()), key=str) == rows(n) for n in live)
 
 
+def test_restore_reduces_the_snapshot_once(spark, monkeypatch):
+    live, saved = tables(spark)
+    got, real = [], restore.of_snapshot
+    monkeypatch.setattr(restore, "of_snapshot", lambda rows, snapshot, key: (got.append(key), real(rows, snapshot, key))[1])
+    root = scratch_path(spark, f"restore-{uuid.uuid4().hex}")
+    rows = restore.stored_snapshot(saved, "a")
+    assert restore.restore_and_publish(live, saved, "a", root, rows) == 1
+    now = {n: published(spark, root, n) for n in live}
+    found = {r.table_name: (r.compared, r.mismatches) for r in restore.compared(now, saved, "a", rows=rows).collect()}
+    assert found == {"lots": (2, 0), "mirror": (1, 0), "staged": (2, 0), "tanks": (1, 0)}
+    assert sorted(got) == ["internal_lot_number", "tank_code"]          # new states, audit and report read the stored rows
+    assert sorted(map(tuple, rows["lots"].collect())) == [("L1", 4, 1, "Released"), ("L3", 7, 0, "on HOLD")]
+    assert restore.restore_and_publish(live, saved, "a", root) == 2 and len(got) == 4
+
+
 def test_failed_publication_leaves_the_old_tables(spark):
     root = scratch_path(spark, f"publish-{uuid.uuid4().hex}")
     with pytest.raises(FileNotFoundError):
