@@ -1,6 +1,7 @@
 """Idempotence and conservation properties of the change and ledger operators."""
 
 import datetime as dt
+import hashlib
 from decimal import Decimal
 
 from pyspark.sql import functions as F
@@ -104,6 +105,59 @@ def test_ledger_cycle_cuts_new_rows_before_the_states_read_them(spark):
     assert cuts == [1, 1, 2, 1]     # the new reservation, its issue, then both ledgers
 
 
+LOT = "material_lot_id string, internal_lot_number string, received_quantity decimal(18,4), " \
+      "available_quantity decimal(18,4), reserved_quantity decimal(18,4)"
+RES = "reservation_id string, material_request_line_id string, material_lot_id string, " \
+      "reserved_quantity decimal(18,4), status string"
+
+
+def test_ledger_cycle_balances_do_not_need_the_states_cut(spark):
+    q = lambda v: Decimal(f"{v}.0000")
+    lots = spark.createDataFrame([("L1", "n1", q(9), q(9), q(0)), ("L2", "n2", q(5), q(5), q(0)), (None, "n3", q(2), q(2), q(0))], LOT)
+    lines = spark.createDataFrame([("a", "L1", q(4)), ("b", "L2", q(1))],
+                                  "material_request_line_id string, material_lot_id string, requested_quantity decimal(18,4)")
+    id_a = hashlib.sha256(b"reservation|a").hexdigest()
+    # An open reservation with the id of the new one is issued with it; the others stay, with or without id and status.
+    res = spark.createDataFrame([(id_a, "z", "L1", q(1), "reserved"), ("r2", "y", "L1", q(2), "reserved"),
+                                 (None, "x", "L2", q(1), "reserved"), ("r4", "w", "L2", q(3), "issued"),
+                                 ("r5", "v", "L2", q(1), None), ("r6", "u", None, q(1), "reserved")], RES)
+    iss = spark.createDataFrame([("i4", "r4", "L2", q(3))], "material_issue_id string, reservation_id string, "
+                                                            "material_lot_id string, issued_quantity decimal(18,4)")
+    got = {}
+    for cut_states in (True, False):
+        cuts = []
+        out = ledger.ledger_cycle(lines, lots, res, iss, F.lit(dt.datetime(2024, 2, 1)),
+                                  cut=lambda d: cuts.append(d.count()) or d, cut_states=cut_states)
+        assert cuts == ([2, 2, 8, 3] if cut_states else [2, 2])
+        got[cut_states] = [sorted(map(tuple, out[k].collect()), key=str) for k in ("balances", "reservations", "issues")]
+    assert got[True] == got[False]
+    balances = {r[0]: tuple(map(int, r[2:6])) for r in got[False][0]}       # received, issued, reserved, available
+    assert balances == {"L1": (9, 4, 2, 3), "L2": (5, 4, 1, 0), None: (2, 0, 1, 1)}
+
+
+def test_ledger_cycle_query_stores_the_new_rows_alone(spark, monkeypatch):
+    from keelson import session
+    from keelson.plans.registry import load_all
+    cuts, cut = [], session.cut_lineage
+    monkeypatch.setattr(session, "cut_lineage", lambda df: cuts.append(df.columns) or cut(df))
+    df = load_all()[0]["ledger_cycle"](spark, "/root/testdata/sf0.001")
+    assert cuts == [ledger.RES_COLS, ledger.ISSUE_COLS]
+    assert df.count() > 0
+
+
+def test_lot_balances_leave_closed_reservations_out_before_the_shuffle(spark):
+    lots = spark.createDataFrame([("L1", "n1", Decimal("9.0000"), Decimal("9.0000"), Decimal("0.0000"))], LOT)
+    res = spark.createDataFrame([("r1", "a", "L1", Decimal("1.0000"), "reserved"), ("r2", "b", "L1", Decimal("2.0000"), "issued"),
+                                 ("r3", "c", "L1", Decimal("4.0000"), None)], RES)
+    iss = spark.createDataFrame([], "material_lot_id string, issued_quantity decimal(18,4)")
+    out = ledger.lot_balances(lots, res, iss)
+    node = out._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "Union":
+        node = node.children().apply(0)
+    assert "Filter" in node.children().apply(1).toString()
+    assert [int(r.reserved_quantity) for r in out.collect()] == [1]
+
+
 def test_review_transition_rules(spark):
     req = spark.createDataFrame(
         [(1, 10, "Requested", None, None, None, None), (2, 20, "Approved", None, None, None, None),
